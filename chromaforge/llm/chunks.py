@@ -14,10 +14,21 @@ import numpy as np
 
 #: White space as the tokenizers' patterns know it.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: Byte-level rule: one space may lead a word; other runs of white space leave their last one to what follows.
-BYTE_LEVEL = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Word rule for tokenizers that drop white space.
-ASCII_WORDS = r"[^\t\n\x0b\x0c\r ]+"
+#: Letters that need no care (the one whose lower case is two characters does), ASCII punctuation, and what may follow a run of each: places where both tokenizers cut
+#: for certain. An apostrophe may begin a contraction, so it begins a run only before a digit, white space or the end.
+_L, _P = "A-Za-zÀ-ÖØ-öø-įı-ɏ", r"!-/:-@\[-`{-~"
+_AFTER_L, _AFTER_P = r"(?=[\x00-@\[-`{-\x7f]|\Z)", rf"(?=[{_L}0-9\t\n\r ]|\Z)"
+_NO_QUOTE = r"!-&(-/:-@\[-`{-~"
+#: Byte-level rule: one space may lead a word; other runs of white space leave their last one to what follows. What
+#: is not certain stays together up to the next white space.
+BYTE_LEVEL = (
+    rf" ?[{_L}]++{_AFTER_L}|(?: [{_P}]|[{_NO_QUOTE}])[{_P}]*+{_AFTER_P}|'[{_P}]*+(?=[0-9\t\n\r ]|\Z)"
+    rf"| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+)
+#: The same for tokenizers that drop white space.
+ASCII_WORDS = (
+    rf"[{_L}]++{_AFTER_L}|[{_NO_QUOTE}][{_P}]*+{_AFTER_P}|'[{_P}]*+(?=[0-9\t\n\r ]|\Z)|[^\t\n\x0b\x0c\r ]+"
+)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -47,13 +58,14 @@ class ChunkEncoder:
         self,
         pattern: str,
         encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
-        most: int = 300_000,
+        most: int = 600_000,
         specials: Sequence[str] = (),
     ):
         self._find, self._encode, self._most = re.compile(pattern).findall, encode, most
         #: Strings that the tokenizer cuts out before its own pattern; what is left between them stands alone.
         self._specials = tuple(specials)
         self._special = re.compile("(" + "|".join(map(re.escape, self._specials)) + ")") if specials else None
+        self.size = 0  # of the vocabulary, where it is known
         self._forget()
 
     def _forget(self) -> None:
@@ -69,7 +81,8 @@ class ChunkEncoder:
         codes, n_chunks = [], []
         for text in texts:
             if any(x in text for x in self._specials):
-                got = [look(c) for part in self._special.split(text) for c in self._find(part)]
+                parts = self._special.split(text)  # every second one is a special string
+                got = [look(c) for i, p in enumerate(parts) for c in ([p] if i % 2 else self._find(p))]
             else:
                 got = list(map(look, self._find(text)))
             n_chunks.append(len(got))
@@ -105,7 +118,10 @@ def library_encoder(path: str, pattern: str) -> ChunkEncoder:
                 parts += ids
         return np.asarray(parts, np.int32), np.asarray(lengths, np.int64)
 
-    return ChunkEncoder(pattern, encode, specials=[t.content for t in tokenizer.get_added_tokens_decoder().values()])
+    added = tokenizer.get_added_tokens_decoder()
+    encoder = ChunkEncoder(pattern, encode, specials=[t.content for t in added.values()])
+    encoder.size = max([tokenizer.get_vocab_size(with_added_tokens=True), *(i + 1 for i in added)])
+    return encoder
 
 
 _made: dict[tuple[str, str], ChunkEncoder] = {}
