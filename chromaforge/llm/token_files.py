@@ -1,9 +1,9 @@
 """Token ids as Arrow files of equal-length sequences.
 
 Documents are range-partitioned by id; each partition writes one shard: an Arrow file whose record batches hold
-two fixed-size-list columns, ``ids`` (uint32) and ``mask`` (uint8: 0 filling, 1 token, 2 last token of a document),
-and a second Arrow file with each document's id, start and length in the shard. A memory-mapped shard gives any
-sequence and its mask as numpy views without a copy.
+two fixed-size-list columns, ``ids`` (uint16 for vocabularies that it holds, else uint32) and ``mask`` (bits: whether
+a token stands there, or filling at the shard's end), and a second Arrow file with each document's id, start and
+length in the shard. A memory-mapped shard gives any sequence and its mask as views without a copy.
 
 Shards lie in the folder that driver and executors share. A task that is run again writes a new file under a new
 name; only files named by the finished job count.
@@ -38,49 +38,47 @@ def _filesystem(uri: str):
 class _ShardWriter:
     """Writes one shard batch by batch."""
 
-    def __init__(self, uri: str, length: int, id_type: pa.DataType):
+    def __init__(self, uri: str, length: int, id_type: pa.DataType, token: np.dtype):
         self.fs, path = _filesystem(uri)
         self.fs.create_dir(path.rpartition("/")[0], recursive=True)
-        self.length, self.total = length, 0
-        kind = [("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))]
+        self.length, self.total, self.token = length, 0, np.dtype(token)
+        kind = [("ids", pa.list_(pa.from_numpy_dtype(self.token), length)), ("mask", pa.list_(pa.bool_(), length))]
         self.schema = pa.schema(kind)
         self.index_schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.out, self.index_out = self.fs.open_output_stream(path), self.fs.open_output_stream(path + ".index")
         self.file = pa.ipc.new_file(self.out, self.schema)
         self.index = pa.ipc.new_file(self.index_out, self.index_schema)
-        self.ids, self.mask = np.empty(0, np.uint32), np.empty(0, np.uint8)
+        self.ids = np.empty(0, self.token)
 
-    def _write(self, ids: np.ndarray, mask: np.ndarray) -> None:
-        columns = [
-            pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)
-        ]
+    def _write(self, ids: np.ndarray, filling: int = 0) -> None:
+        mask = np.ones(len(ids) + filling, bool)
+        mask[len(ids) :] = False
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (np.pad(ids, (0, filling)), mask)]
         self.file.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
     def add(self, doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray, end_id: int) -> None:
         """Append documents: flat ids with the number of each document's, without end ids."""
         ends = np.cumsum(counts + 1)
-        flat, mask = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32), None
-        mask = np.ones(len(flat), np.uint8)
-        last = ends - 1
-        mask[last] = 2
-        flat[mask == 1] = ids
+        flat = np.empty(int(ends[-1]) if len(ends) else 0, self.token)
+        last = np.zeros(len(flat), bool)
+        last[ends - 1] = True
+        flat[~last] = ids
         flat[last] = end_id
         starts = self.total + ends - (counts + 1)
         self.index.write_batch(
             pa.RecordBatch.from_arrays([doc_ids, pa.array(starts), pa.array(counts + 1)], schema=self.index_schema)
         )
         self.total += len(flat)
-        self.ids, self.mask = np.concatenate([self.ids, flat]), np.concatenate([self.mask, mask])
+        self.ids = np.concatenate([self.ids, flat])
         step = BATCH * self.length
         whole = len(self.ids) // step * step
         for at in range(0, whole, step):
-            self._write(self.ids[at : at + step], self.mask[at : at + step])
-        self.ids, self.mask = self.ids[whole:], self.mask[whole:]
+            self._write(self.ids[at : at + step])
+        self.ids = self.ids[whole:]
 
     def close(self) -> None:
         if len(self.ids):
-            fill = -len(self.ids) % self.length
-            self._write(np.pad(self.ids, (0, fill)), np.pad(self.mask, (0, fill)))
+            self._write(self.ids, -len(self.ids) % self.length)
         for x in (self.file, self.index, self.out, self.index_out):
             x.close()
 
@@ -96,11 +94,12 @@ class Shard:
         self.file, self.index = pa.ipc.open_file(self._source), pa.ipc.open_file(self._index)
         self.length = self.file.schema.field("ids").type.list_size
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """(ids, mask) of sequence i as views."""
         batch = self.file.get_batch(i // BATCH)
         at = i % BATCH * self.length
-        return tuple(batch.column(c).values.to_numpy()[at : at + self.length] for c in (0, 1))
+        ids, mask = (batch.column(c).values for c in (0, 1))
+        return ids.to_numpy()[at : at + self.length], mask.slice(at, self.length)
 
     def tokens(self, start: int, stop: int) -> np.ndarray:
         """Ids from start to stop, which may span batches."""
@@ -109,7 +108,7 @@ class Shard:
             self.file.get_batch(b).column(0).values.to_numpy()[max(0, start - b * step) : stop - b * step]
             for b in range(start // step, -(-stop // step))
         ]
-        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.uint32)
+        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.uint16)
 
     def documents(self) -> Iterator[pa.RecordBatch]:
         for i in range(self.index.num_record_batches):
@@ -142,7 +141,8 @@ def write(
         writer, n_docs = None, 0
         for whole in batches:
             for batch in slices(whole, 1):
-                writer = writer or _ShardWriter(uri, length, batch.schema.field(0).type)
+                token = np.uint16 if encoder.size <= 1 << 16 else np.uint32
+                writer = writer or _ShardWriter(uri, length, batch.schema.field(0).type, token)
                 ids, counts = encoder.ids(batch.column(1).to_pylist())
                 writer.add(batch.column(0), ids, counts, end_id)
                 n_docs += batch.num_rows
@@ -180,5 +180,6 @@ def read(shards: DataFrame, id_type: str = "bigint") -> DataFrame:
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    spread = shards.select("shard", "uri", "start").repartition(F.col("shard"))
+    n = max(1, shards.count())  # a number of tasks of its own: the rows are few, but the files behind them are not
+    spread = shards.select("shard", "uri", "start").repartition(n, "shard")
     return spread.mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
