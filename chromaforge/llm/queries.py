@@ -68,5 +68,60 @@ def queries() -> dict[str, Query]:
     }
 
 
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4
+   THEN list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])
+   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS MATERIALIZED (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles FROM s),
+e AS MATERIALIZED (SELECT doc_id, unnest(s) AS shingle FROM s),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.shingle = b.shingle
+   WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS MATERIALIZED (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+   WHERE 100 * c >= 80 * (p.n_shingles + q.n_shingles - c)),
+reach AS (SELECT doc_id, doc_id AS v FROM n UNION SELECT r.doc_id, l.y FROM reach r JOIN link l ON l.x = r.v)
+SELECT n.doc_id, n_shingles, component_id, n.doc_id = component_id AS kept
+FROM n JOIN (SELECT doc_id, min(v) AS component_id FROM reach GROUP BY 1) c ON c.doc_id = n.doc_id
+"""
+
+
+def _op10_sql(limit: float = 0.8) -> str:
+    rules = quality.RULES
+    line = r"regexp_matches(x, '[^\x20\x09-\x0D]')"
+    moments = ", ".join(f"sum(k_{r}) AS t_{r}, sum(k_{r} * k_{r} / n) AS s_{r}" for r in rules)
+
+    def rate(r: str) -> str:
+        m = f"(t_{r} / all_n)"
+        spread = f"((s_{r} - all_n * {m} * {m} - (all_h - 1) * {m} * (1 - {m})) / nullif(all_n - all_n2 / all_n, 0))"
+        strength = f"greatest({m} * (1 - {m}) / {spread} - 1, 1.0)"
+        return f"CASE WHEN {spread} > 0 AND all_h >= 2 THEN (k_{r} + {strength} * {m}) / (n + {strength}) ELSE {m} END"
+
+    return f"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w,
+   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {line}) AS l FROM documents),
+win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t
+   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+rep AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, t) AS c FROM win) WHERE c > 1),
+reps AS (SELECT doc_id, count(DISTINCT j) AS k FROM rep GROUP BY 1),
+c AS (SELECT w.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars,
+   CAST(len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines,
+   CAST(coalesce(k, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN reps ON reps.doc_id = w.doc_id),
+f AS MATERIALIZED (SELECT *, n_words < 50 AS f_short, 100 * n_repeat_words > 50 * n_words AS f_repeats,
+   n_symbols > CAST(0.1 AS DOUBLE) * n_words AS f_symbols, n_dup_lines > CAST(0.3 AS DOUBLE) * n_lines AS f_lines,
+   n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) AS f_word_length FROM c),
+h AS MATERIALIZED (SELECT source, CAST(count(*) AS DOUBLE) AS n, {", ".join(f"CAST(sum(f_{r}::INT) AS DOUBLE) AS k_{r}" for r in rules)} FROM f GROUP BY 1),
+m AS (SELECT sum(n) AS all_n, count(*) AS all_h, sum(n * n) AS all_n2, {moments} FROM h),
+v AS (SELECT source, greatest({", ".join(rate(r) for r in rules)}) > {limit} AS host_bad FROM h, m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f_short OR f_repeats AS base_failed,
+   NOT (f_short OR f_repeats OR f_symbols OR host_bad) AS kept, f_short, f_repeats, f_symbols, f_lines, f_word_length, host_bad
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express in full; the others are tested against plain versions."""
+    return {"op2_minhash_near_dedup": OP2_SQL, "op10_quality_rules": _op10_sql()}
