@@ -29,23 +29,25 @@ ADDRESS = {
     "n": ["Dr", "Prof", "Professor", "Mx"],
 }
 _ANY_ADDRESS = "|".join(a for group in ADDRESS.values() for a in sorted(group, key=len, reverse=True))
+_FIRST = "".join(sorted({a[0] for group in ADDRESS.values() for a in group}))
 _B, _E = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 #: Patterns by type, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "secret": r"(?<=(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_+/-]{8,}"
-    rf"|{_B}AKIA[0-9A-Z]{{16}}{_E}|{_B}(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}}){_E}",
-    "ip": rf"(?<![\d.])(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?!\.?\d)",
-    "iban": rf"{_B}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_E}",
-    "card": r"(?<![\d.+-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,4}){2,4}(?!\d)"
-    r"|(?<![\d+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)",
-    "name": rf"{_B}(?:{_ANY_ADDRESS})\.? \p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+){{0,2}}",
+    # a short look back first: the long one is slow and would be tried at every place
+    "secret": r"(?<=[=:\"'\s])(?<=[=:\"']|[=:]\s{1,3})(?<=(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_+/-]{8,}"
+    rf"|AKIA(?<![\p{{L}}\p{{N}}_]AKIA)[0-9A-Z]{{16}}{_E}|(?=[0-9a-fA-F]{{32}}){_B}(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}}){_E}",
+    "ip": rf"(?=\d)(?<![\d.])(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?!\.?\d)",
+    "iban": rf"(?=[A-Z]{{2}}\d){_B}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_E}",
+    "card": r"(?=\d{4})(?<![\d.+-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d)",
+    "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "phone": r"(?=[+(\d])(?:(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,4}){2,4}(?!\d)"
+    r"|(?<![\d+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d))",
+    "name": rf"(?=[{_FIRST}]){_B}(?:{_ANY_ADDRESS})\.? \p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+){{0,2}}",
 }
 #: What a text must hold before the patterns are worth a try.
-HINT = rf"[0-9@]|{_B}(?:{_ANY_ADDRESS})\.? \p{{Lu}}|(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{{0,3}}[=:]"
+HINT = rf"[0-9@]|[=:]\s{{0,3}}[\"']?[A-Za-z_+/-]{{8}}|(?=[{_FIRST}]){_B}(?:{_ANY_ADDRESS})\.? \p{{Lu}}"
 _ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 #: Syllables of made-up names by script, and endings by script and gender.
