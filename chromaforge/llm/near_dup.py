@@ -6,10 +6,10 @@ merge by the larger register, and registers agree about as often as the sets ove
 class first, and only classes go on. Bands of registers deal classes into buckets, candidate pairs are estimated
 jointly by likelihood from their registers, and what is near the limit or over it is verified on the full sets.
 
-Buckets are never turned into all their pairs. In each round a bucket names a few hubs, every other member of
-another component is compared with them, components are merged, and the hubs leave; a bucket is done when what is
-left of it lies in one component. This compares, in the end, every pair of a bucket that could still join two
-components.
+Large buckets are never turned into rows of all their pairs. Every member is compared with its bucket's first one;
+what is left counts only where it lies in several components. Small buckets are then compared pair by pair; large ones
+are gathered into families, and blocks of bounded size of a family meet in tasks that compare whole sets at once and
+return only links that join components. So every pair that shares a bucket and could join two components is compared.
 
 With 40 bands of 6 registers a pair at a similarity of 0.8 misses all buckets with a chance of 5 in a million.
 
@@ -24,6 +24,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -203,32 +204,41 @@ def _verify(percent: int):
 def connected(edges: DataFrame) -> DataFrame:
     """(v, comp): the smallest vertex reachable from v over edges (a, b), for every vertex of an edge.
 
-    Each round takes the smallest label of the neighbours and then the label of that label, until nothing changes.
+    Every vertex takes the label of its smallest neighbour (or keeps its own), and the label of that one; then edges
+    are drawn between labels, and those inside one label are gone. The rounds go on over what is left, which shrinks
+    fast; labels of all rounds are chained.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialize(both, "edges")
-    labels = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("comp"))
-    labels = materialize(labels, "labels")
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = materialize(edges, "edges")
+    labels: DataFrame | None = None
     while True:
-        of_neighbours = (
-            both.join(labels.select(F.col("v").alias("b"), "comp"), "b")
-            .groupBy(F.col("a").alias("v"))
-            .agg(F.min("comp").alias("m"))
-        )
-        stepped = labels.join(of_neighbours, "v", "left").select(
-            "v", F.col("comp").alias("old"), F.least("comp", F.coalesce("m", "comp")).alias("step")
-        )
-        jump = labels.select(F.col("v").alias("step"), F.col("comp").alias("far"))
-        new = materialize(
-            stepped.join(jump, "step", "left").select("v", "old", F.least("step", F.coalesce("far", "step")).alias("comp")),
-            "labels",
-        )
-        done = new.filter(F.col("old") != F.col("comp")).limit(1).count() == 0
-        labels = new.select("v", "comp")
-        if done:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("near"))
+        near = materialize(near, "nearest")
+        far = near.select(F.col("v").alias("near"), F.col("near").alias("far"))
+        step = materialize(near.join(far, "near").select("v", F.col("far").alias("comp")), "labels")
+        if labels is None:
+            labels = step
+        else:
+            after = step.select(F.col("v").alias("comp"), F.col("comp").alias("then"))
+            chained = labels.join(after, "comp", "left").select("v", F.coalesce("then", "comp").alias("comp"))
+            labels = materialize(chained, "labels")
+        moved = edges.join(step.select(F.col("v").alias("a"), F.col("comp").alias("x")), "a")
+        moved = moved.join(step.select(F.col("v").alias("b"), F.col("comp").alias("y")), "b").filter("x != y")
+        edges = materialize(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        if not edges.limit(1).count():
             return labels
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, size: int, few: int) -> DataFrame:
+    """(rep, members) of the documents in ids (doc_id)."""
+    ids = materialize(ids.distinct(), "set-ids")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.join(F.broadcast(ids) if ids.count() <= few else ids, "doc_id", "left_semi")
+    sets = texts.select("doc_id", "text").mapInArrow(_set_rows(size), f"rep {kind}, members binary")
+    return materialize(sets.dropDuplicates(["rep"]), "sets")
+
+
 def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, few: int) -> DataFrame:
     """Those of pairs (a, b) whose sets are similar enough; classes has rep, n, registers."""
     side = lambda x: classes.select(
@@ -240,10 +250,7 @@ def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, p
     kind = pairs.schema["a"].dataType.simpleString()
     likely = with_registers.mapInArrow(_estimate_filter(percent / 100 - slack), f"a {kind}, b {kind}")
     likely = materialize(likely, "likely-pairs")
-    ids = materialize(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
-    texts = docs.join(F.broadcast(ids) if ids.count() <= few else ids, "doc_id", "left_semi")
-    sets = texts.select("doc_id", "text").mapInArrow(_set_rows(size), f"rep {kind}, members binary")
-    sets = materialize(sets.dropDuplicates(["rep"]) if _repeats(docs, ids) else sets, "pair-sets")
+    sets = _sets_of(likely.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, size, few)
     full = (
         likely.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("ma")), "a")
         .join(sets.select(F.col("rep").alias("b"), F.col("members").alias("mb")), "b")
@@ -252,60 +259,130 @@ def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, p
     return materialize(full.mapInArrow(_verify(percent), f"a {kind}, b {kind}"), "links")
 
 
-def _repeats(docs: DataFrame, ids: DataFrame) -> bool:
-    """Whether an id occurs more than once in docs."""
-    return docs.select("doc_id").groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all pairwise intersections of a block of sets, as products of 0/1 matrices."""
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1  # what one set has alone is in no intersection
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(sets), len(sets)), np.float64)
+    for at in range(0, int(shared.sum()), columns):
+        low, high = np.searchsorted(column, (at, at + columns))
+        m = np.zeros((len(sets), columns), np.float32)
+        m[row[low:high], column[low:high] - at] = 1
+        total += m @ m.T
+    return total
+
+
+def _block_links(percent: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """Links that join components among the rows of two blocks: never more than there are rows."""
+        sets = [np.frombuffer(x, np.uint64) for x in group["members"]]
+        rep, comp = (group[c].tolist() for c in ("rep", "comp"))
+        sizes = np.array([len(x) for x in sets], np.float64)
+        common = overlaps(sets)
+        near = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+        root = {c: c for c in comp}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        links = []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1))), strict=True):
+            x, y = find(comp[i]), find(comp[j])
+            if x != y:
+                root[x] = y
+                links.append((rep[i], rep[j]))
+        return pd.DataFrame(links, columns=["a", "b"]).astype({"a": group["rep"].dtype, "b": group["rep"].dtype})
+
+    return run
+
 
+def _families(crowded: DataFrame, docs: DataFrame, size: int, percent: int, few: int, block: int = 192) -> DataFrame:
+    """Links between components among the members of crowded buckets (bucket, rep, comp).
 
-def _links(classes: DataFrame, docs: DataFrame, size: int, percent: int, few: int) -> DataFrame | None:
-    """(v, comp) of classes that are linked with another; None where none is."""
+    Members of buckets that share members form a family. A family is cut into blocks of bounded size: of one
+    component where that is large, of several else. Every two blocks that can hold two components meet in one task,
+    which compares all their sets and returns no more links than it has rows.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    star = crowded.groupBy("bucket").agg(F.min("rep").alias("a"))
+    family = connected(crowded.select("bucket", F.col("rep").alias("b")).join(star, "bucket").filter("a != b").select("a", "b"))
+    members = crowded.select("rep", "comp").distinct().join(family.select(F.col("v").alias("rep"), F.col("comp").alias("family")), "rep")
+    members = materialize(members, "families")
+    per = members.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n_comp"))
+    large = F.col("n_comp") > block
+    rest = per.groupBy("family").agg(F.sum(F.when(~large, F.col("n_comp"))).alias("n_rest"))
+    sized = members.join(per, ["family", "comp"]).join(rest, "family")
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.ceil(n / (block // 2)))
+    placed = sized.select(
+        "family",
+        "rep",
+        "comp",
+        F.when(large, F.struct(F.col("comp").alias("of"), part("rep", F.col("n_comp")).alias("part")))
+        .otherwise(F.struct(F.lit(None).cast(kind).alias("of"), part("comp", F.col("n_rest")).alias("part")))
+        .alias("block"),
+    )
+    placed = materialize(placed, "blocks")
+    blocks = placed.select("family", "block").distinct()
+    x, y = blocks.withColumnRenamed("block", "bx"), blocks.withColumnRenamed("block", "by")
+    meets = x.join(y, "family").filter("bx <= by and not (bx.of is not null and bx.of <=> by.of)")
+    meets = materialize(meets.withColumn("meet", F.xxhash64("family", "bx", "by")), "block-pairs")
+    sides = meets.select("meet", "family", F.col("bx").alias("block")).unionByName(
+        meets.filter("not (bx <=> by)").select("meet", "family", F.col("by").alias("block"))
+    )
+    sets = _sets_of(placed.select(F.col("rep").alias("doc_id")), docs, size, few)
+    rows = placed.join(sets, "rep").join(sides, ["family", "block"]).select("meet", "rep", "comp", "members")
+    return materialize(rows.groupBy("meet").applyInPandas(_block_links(percent), f"a {kind}, b {kind}"), "links")
+
+
+def _links(classes: DataFrame, docs: DataFrame, size: int, percent: int, few: int, small: int = 32) -> DataFrame | None:
+    """(v, comp) of classes that are linked with another; None where none is.
+
+    First every member of a bucket is compared with the bucket's first one. What is left of a bucket then matters
+    only if it lies in several components: buckets of at most ``small`` members are compared pair by pair, larger
+    ones in blocks.
+    """
     kind = classes.schema["rep"].dataType.simpleString()
     bands = classes.select("rep", "registers").mapInArrow(_bands, f"rep {kind}, bucket long")
-    crowded = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    left = materialize(bands.join(crowded, "bucket").distinct(), "buckets").withColumn("comp", F.col("rep"))
-    edges: DataFrame | None = None
-    tested: DataFrame | None = None
-    labels: DataFrame | None = None
-    hubs = 1
-    while True:
-        # hubs: the first members of each bucket; one aggregate, so hot buckets are combined before the shuffle
-        chosen = left.groupBy("bucket").agg(F.min(F.struct("rep", "comp")).alias("h0"))
-        for i in range(1, hubs):
-            rest = left.join(chosen.select("bucket", F.col(f"h{i - 1}.rep").alias("last")), "bucket").filter("rep > last")
-            more = rest.groupBy("bucket").agg(F.min(F.struct("rep", "comp")).alias(f"h{i}"))
-            chosen = materialize(chosen.join(more, "bucket", "left"), "hubs")
-        named = left.join(
-            chosen.select("bucket", F.explode(F.array(*(F.col(f"h{i}") for i in range(hubs)))).alias("h")).filter(
-                "h is not null"
-            ),
-            "bucket",
-        )
-        pairs = (
-            named.filter((F.col("rep") > F.col("h.rep")) & (F.col("comp") != F.col("h.comp")))
-            .select(F.col("h.rep").alias("a"), F.col("rep").alias("b"))
-            .distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if pairs.limit(1).count():
-            found = _compare(pairs, classes, docs, size, percent, few)
-            edges = found if edges is None else edges.unionByName(found)
-            labels = connected(edges)
-        last = chosen.select("bucket", F.coalesce(*(F.col(f"h{i}.rep") for i in reversed(range(hubs)))).alias("last"))
-        left = left.join(last, "bucket").filter("rep > last").select("bucket", "rep")
-        if labels is None:
-            left = left.withColumn("comp", F.col("rep"))
+    firsts = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first")).filter("n > 1")
+    left = materialize(bands.join(firsts.select("bucket", "first"), "bucket").filter("rep > first"), "buckets")
+    pairs = materialize(left.select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    if not pairs.limit(1).count():
+        return None
+    edges = _compare(pairs, classes, docs, size, percent, few)
+
+    def still_open(members: DataFrame) -> DataFrame:
+        """(bucket, rep, comp, n) of buckets whose members lie in several components as far as edges say."""
+        if edges.limit(1).count():
+            now = connected(edges).select(F.col("v").alias("rep"), "comp")
+            members = members.select("bucket", "rep").join(now, "rep", "left")
+            members = members.select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
         else:
-            left = left.join(labels.withColumnRenamed("v", "rep"), "rep", "left")
-            left = left.select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
-        open_buckets = left.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-        left = left.join(open_buckets.filter("x != y").select("bucket"), "bucket", "left_semi")
-        left = materialize(left, "buckets")
-        if not left.limit(1).count():
-            return labels
-        hubs = min(2 * hubs, 8)
+            members = members.select("bucket", "rep", F.col("rep").alias("comp"))
+        several = members.groupBy("bucket").agg(
+            F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")
+        )
+        return materialize(members.join(several.filter("x != y").select("bucket", "n"), "bucket"), "open-buckets")
+
+    left = still_open(left)
+    few_members = left.filter(F.col("n") <= small)
+    other = few_members.select("bucket", F.col("rep").alias("a"), F.col("comp").alias("comp_a"))
+    more = few_members.join(other, "bucket").filter("a < rep and comp != comp_a").select("a", F.col("rep").alias("b")).distinct()
+    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if more.limit(1).count():
+        edges = edges.unionByName(_compare(more, classes, docs, size, percent, few))
+    crowded = still_open(left.filter(F.col("n") > small))
+    if crowded.limit(1).count():
+        edges = edges.unionByName(_families(crowded, docs, size, percent, few))
+    return connected(edges) if edges.limit(1).count() else None
 
 
 def components(

@@ -99,3 +99,45 @@ def test_sketches_merge_and_estimate():
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         est = near_dup.joint_estimate(sk[:1], sk[1:], np.array([1000.0]), np.array([1000.0]))[0]
         assert abs(est - true) < 0.1
+
+
+def test_crowded_buckets_are_compared_in_blocks(spark, monkeypatch):
+    """Many copies that are near one another by chance only, with blocks and buckets of a few members."""
+    from functools import partial
+
+    monkeypatch.setattr(near_dup, "_links", partial(near_dup._links, small=2))
+    monkeypatch.setattr(near_dup, "_families", partial(near_dup._families, block=6))
+    r = random.Random(9)
+    vocab = ["w%d" % i for i in range(3000)]
+    base = [r.choice(vocab) for _ in range(80)]
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        rows.append((i, " ".join(w), "en", "s", 1, "k", 1))
+    got = near_dup.components(spark.createDataFrame(rows, SCHEMA), size=4).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in got} == brute(rows)
+
+
+def test_overlaps_of_a_block():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 60, n)).astype(np.uint64) for n in (1, 5, 40, 60, 200)]
+    got = near_dup.overlaps(sets, columns=16)
+    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+
+
+def test_connected_follows_paths_and_random_graphs(spark):
+    r = random.Random(11)
+    graphs = [[(i, i + 1) for i in range(50)], [(i, i + 7) for i in range(0, 60, 3)], [(r.randrange(200), r.randrange(200)) for _ in range(150)]]
+    shuffled = list(range(60))
+    r.shuffle(shuffled)
+    graphs.append([(shuffled[i], shuffled[i + 1]) for i in range(59)])
+    for edges in graphs:
+        edges = [(a, b) for a, b in edges if a != b]
+        comp = {v: v for e in edges for v in e}
+        for _ in comp:
+            for a, b in edges:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+        got = near_dup.connected(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert {x.v: x.comp for x in got} == comp and len(got) == len(comp)
