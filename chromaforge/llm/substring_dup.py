@@ -1,9 +1,11 @@
 """Substring deduplication by sliding sentence spans.
 
-Texts are cut into sentences. Every run of three consecutive sentences is a span; so are two sentences or one that
-are long by themselves. Spans are hashed (128 bits, over lower-cased words), joined over all documents, and each
-sentence that lies in a span which is not its first occurrence goes. First means the smallest doc_id, and in a
-document the first place. A document names each span once; what recurs inside it is known without the join.
+Texts are cut into sentences. Every run of two or more consecutive sentences with ``WORDS`` words is a span, however
+many sentences it takes; so is one sentence of ``ALONE`` words. Spans are hashed (128 bits, over lower-cased words),
+joined over all documents, and each sentence that lies in a span which is not its first occurrence goes. First means
+the smallest doc_id, and in a document the first place. Only the shortest run that begins at a sentence and the
+shortest that ends at one are hashed: inside any repeated run these cover each of its sentences. A document names
+each span once; what recurs inside it is known without the join.
 
 Defined cases: null stays null and blank texts stay as they are; a text without a repeated span is returned
 unchanged, byte for byte; rows of one id are one document (exact repeats of a row keep their spans alike); rows of
@@ -25,8 +27,10 @@ from pyspark.sql import types as T
 
 from .chunks import slices
 
-#: (sentences of a span, words it has at least)
-SPANS = ((3, 15), (2, 40), (1, 25))
+#: Words that a run of sentences, and a single sentence, has at least
+WORDS, ALONE = 15, 25
+#: (sentences of a span, words it has at least); a shortest run has no more sentences than words
+SPANS = (*((k, WORDS) for k in range(2, WORDS + 1)), (1, ALONE))
 _CUT = re.compile(r"[.!?]+[\"')\]]*\s+|\n\s*")
 _LANES = ((0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9), (0xD6E8FEB86659FD93, 0x94D049BB133111EB))
 
@@ -34,6 +38,8 @@ _LANES = ((0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9), (0xD6E8FEB86659FD93, 0x94D04
 def sentences(text: str) -> list[int]:
     """Places where sentences begin, and the end of text; a sentence takes the white space that follows it."""
     cuts = [0, *(m.end() for m in _CUT.finditer(text))]
+    if len(cuts) > 1 and text[: cuts[1]].isspace():  # blank lines before the first sentence are no sentence
+        del cuts[1]
     return cuts if cuts[-1] == len(text) else [*cuts, len(text)]
 
 
@@ -42,7 +48,22 @@ def _mix(h: np.ndarray, a: int, b: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(b)
 
 
-def spans(texts: list[str], kinds=SPANS) -> tuple[np.ndarray, ...]:
+def _shortest(sizes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first sentence, end) of every sentence's shortest run from it and up to it, and of long single sentences."""
+    n = len(sizes)
+    before = np.concatenate(([0], np.cumsum(sizes)))
+    each = np.arange(n)
+    end = np.maximum(each + 2, np.searchsorted(before, before[:-1] + WORDS, "left"))
+    onward = end <= np.searchsorted(owner, owner, "right")
+    start = np.minimum(each - 1, np.searchsorted(before, before[1:] - WORDS, "right") - 1)
+    back = start >= np.searchsorted(owner, owner, "left")
+    alone = sizes >= ALONE
+    starts = np.concatenate((each[onward], start[back], each[alone]))
+    ends = np.concatenate((end[onward], each[back] + 1, each[alone] + 1))
+    return np.divmod(np.unique(starts * (n + 1) + ends), n + 1)
+
+
+def spans(texts: list[str]) -> tuple[np.ndarray, ...]:
     """(text number, first sentence, sentences, hash, second hash) of the spans of all texts."""
     hashes, sizes, owner = [], [], []
     for row, text in enumerate(texts):
@@ -57,18 +78,17 @@ def spans(texts: list[str], kinds=SPANS) -> tuple[np.ndarray, ...]:
             sizes.append(len(words))
             hashes.append(xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass")))
         owner += [row] * len(parts)
-    n = len(owner)
+    if not owner:
+        return tuple(np.empty(0, np.int64) for _ in range(5))
     owner_, sizes_ = np.array(owner, np.int64), np.array(sizes, np.int64)
     mask = (1 << 64) - 1
     lanes = [np.array([h >> s & mask for h in hashes], np.uint64) for s in (0, 64)]
     first_of = np.searchsorted(owner_, owner_)
+    starts, ends = _shortest(sizes_, owner_)
+    lengths = ends - starts
     found = []
-    for k, least in kinds:
-        if n < k:
-            continue
-        inside = owner_[: n - k + 1] == owner_[k - 1 :]
-        total = np.convolve(sizes_, np.ones(k, np.int64), "valid")
-        at = np.flatnonzero(inside & (total >= least))
+    for k in np.unique(lengths).tolist():
+        at = starts[lengths == k]
         run = []
         for lane, (a, b) in zip(lanes, _LANES, strict=True):
             h = np.full(len(at), k, np.uint64)

@@ -77,3 +77,33 @@ def test_sentences_cover_the_text():
         cuts = sentences(t)
         assert "".join(t[a:b] for a, b in zip(cuts, cuts[1:], strict=False)) == t
         assert not re.search("[.!?]\\s+\\S", "".join(t[a:b].strip() + "|" for a, b in zip(cuts, cuts[1:], strict=False)))
+
+
+def plain(rows):
+    """What is left by the rule itself: all runs of 2 or more sentences with 15 words, and sentences of 25."""
+    seen, drop = {}, {}
+    parts = {i: re.findall(r"(?:[^.!?\n]|[.!?](?!\s))+(?:[.!?]\s*|\n\s*|$)", t) for i, t in rows}
+    for i, ps in sorted(parts.items()):
+        for a in range(len(ps)):
+            for b in range(a + 1, len(ps) + 1):
+                run = tuple(tuple(p.lower().split()) for p in ps[a:b])
+                if sum(map(len, run)) >= (25 if b == a + 1 else 15) and seen.setdefault(run, (i, a)) != (i, a):
+                    drop.setdefault(i, set()).update(range(a, b))
+    return {i: "".join(p for j, p in enumerate(ps) if j not in drop.get(i, ())) for i, ps in parts.items()}
+
+
+def test_passages_of_short_lines_and_of_two_sentences(spark):
+    r = random.Random(5)
+    say = lambda n: " ".join("u%d" % r.randrange(10**6) for _ in range(n))
+    lines = lambda n, k: "".join(say(k) + "\n" for _ in range(n))
+    verse, words, two = lines(20, 4), lines(20, 1), f"{say(24)}. {say(15)}.\n"
+    tail, less = f"{say(10)}. {say(10)}. {say(3)}.\n", lines(14, 1)
+    passages = [verse, words, two, tail, less]
+    rows = [(j, "".join(say(5) + "\n" + p for p in passages)) for j in range(2)]
+    rows += [(2, lines(3, 2) + verse + two), (3, words * 2 + say(4) + "\n"), (4, "\n\n" + say(24) + ".")]
+    rows.append((5, rows[-1][1]))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "p") for i, t in rows], SCHEMA)
+    got = {x.doc_id: x.text for x in substring_dup.remove(docs).collect()}
+    assert verse not in got[1] and words not in got[1] and two not in got[1] and tail not in got[1] and less in got[1]
+    assert got[4] == got[5] == rows[4][1]
+    assert {i: t for i, t in got.items() if i < 4} == plain(rows[:4])
