@@ -1,13 +1,16 @@
 """Document fingerprints by order MinHash over word k-mers.
 
-Each k-mer of words gets its occurrence number (first, second, ... time in the text), the numbered k-mer is
-hashed, and the hash picks one of ``buckets`` draws. In every draw the ``tuple_size`` smallest hashes are kept,
-put back in text order and hashed as a tuple: a reordered or edited text changes tuples even where its set of
-k-mers stays. Likeness of two fingerprints is the share of equal draws among those that either text fills.
+Each k-mer of words gets its occurrence number (first, second, ... time in the text), and the numbered k-mer is
+hashed. Every one of ``buckets`` draws ranks all numbered k-mers of the text: first those whose hash begins with the
+draw's number, by their hash, then all others, by a hash of hash and draw. The two first ones are put back in text
+order and hashed as a tuple: a reordered or edited text changes tuples even where its set of k-mers stays. The second
+part of a ranking is computed only in draws whose number begins fewer than two hashes: a few in long texts, most in
+short ones. Likeness of two fingerprints is the share of equal draws among those that either text fills.
 
 Defined cases: null is the empty text; an empty text has an empty fingerprint, which is like another empty one (1)
-and unlike all else (0); a text of fewer than k words is one k-mer; equal texts have equal fingerprints; an empty
-table gives an empty result; extra columns are ignored.
+and unlike all else (0); any other text fills all draws; a text of fewer than k words is one k-mer, and a single
+k-mer is the tuple of every draw; equal texts have equal fingerprints; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,15 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import let, materialize, words
 
-K, BUCKETS, TUPLE = 3, 64, 2
+K, BUCKETS = 3, 64
 #: Bits for a word's place in the packed values that are sorted; a text may have 16 million words.
 PLACE_BITS = 24
 #: Consecutive ids in one block of ``with_next``.
 BLOCK = 1024
 
 
-def sketch(text: Column, k: int = K, buckets: int = BUCKETS, tuple_size: int = TUPLE) -> Column:
-    """The fingerprint as array<int>: a value for every filled draw, by draw; none for an empty text."""
+def sketch(text: Column, k: int = K, buckets: int = BUCKETS) -> Column:
+    """The fingerprint as array<int>: a value for every draw, by draw; none for an empty text."""
     place = (1 << PLACE_BITS) - 1
     bucket_bits = (buckets - 1).bit_length()
     if buckets != 1 << bucket_bits:
@@ -82,45 +85,62 @@ def sketch(text: Column, k: int = K, buckets: int = BUCKETS, tuple_size: int = T
 
         return F.sort_array(F.concat(firsts, let(later, renamed)))
 
-    def draws(s: Column) -> Column:
-        """From sorted packed values, a value for every filled draw: its number in the low bits, its tuple's hash."""
-
-        def bucket_of(x: Column) -> Column:
-            return F.shiftrightunsigned(x, 64 - bucket_bits)
+    def bucket_of(x: Column) -> Column:
+        return F.shiftrightunsigned(x, 64 - bucket_bits).cast("int")
 
-        kept = F.filter(
-            s,
-            lambda x, i: (i < tuple_size) | (bucket_of(F.get(s, i - tuple_size)) != bucket_of(x)),
+    def value(draw: Column, pair: Column) -> Column:
+        """Draw and value: the draw's number in the low bits, the hash of its k-mers in text order above."""
+        ordered = F.sort_array(
+            F.transform(
+                pair,
+                lambda y: F.struct(y.bitwiseAND(F.lit(place)).alias("at"), F.shiftright(y, PLACE_BITS).alias("key")),
+            )
+        )
+        h = F.hash(F.transform(ordered, lambda y: y["key"]))
+        return F.struct(draw.alias("draw"), h.bitwiseAND(F.lit(-(1 << bucket_bits))).bitwiseOR(draw).alias("value"))
+
+    def first_two(s: Column, draw: Column) -> Column:
+        """The two first k-mers of all in s (one if there is but one) by the draw's ranking."""
+
+        def rank(x: Column, i: Column) -> Column:
+            other = F.xxhash64(F.shiftright(x, PLACE_BITS), draw)
+            # s is sorted, so equal ranks of the draw's own k-mers leave them by their hash
+            return packed(F.when(bucket_of(x) == draw, F.lit(-(1 << 63))).otherwise(other), i)
+
+        two = let(
+            F.transform(s, rank),
+            lambda r: let(
+                F.array_min(r), lambda a: F.array(a, F.array_min(F.filter(r, lambda y: y != a)))
+            ),
+        )
+        return F.transform(
+            F.filter(two, lambda r: r.isNotNull()), lambda r: F.get(s, r.bitwiseAND(F.lit(place)).cast("int"))
         )
 
-        def tuples(q: Column) -> Column:
-            return F.filter(
-                F.transform(
-                    q,
-                    lambda x, i: F.when(
-                        (i == 0) | (bucket_of(F.get(q, i - 1)) != bucket_of(x)),
-                        let(
-                            F.sort_array(
-                                F.transform(
-                                    F.filter(
-                                        F.slice(q, i + 1, F.lit(tuple_size)), lambda y: bucket_of(y) == bucket_of(x)
-                                    ),
-                                    lambda y: F.struct(
-                                        y.bitwiseAND(F.lit(place)).alias("at"),
-                                        F.shiftright(y, PLACE_BITS).alias("key"),
-                                    ),
-                                )
-                            ),
-                            lambda o: F.hash(F.transform(o, lambda y: y["key"]))
-                            .bitwiseAND(F.lit(-(1 << bucket_bits)))
-                            .bitwiseOR(bucket_of(x).cast("int")),
-                        ),
-                    ),
+    def draws(s: Column) -> Column:
+        """From sorted packed values, a value for every draw."""
+        # places in s of the two first of every draw whose number begins two hashes or more
+        full = F.filter(
+            F.transform(
+                s,
+                lambda x, i: F.when(
+                    ((i == 0) | (bucket_of(F.get(s, i - 1)) != bucket_of(x)))
+                    & (bucket_of(F.get(s, i + 1)) == bucket_of(x)),
+                    F.array(x, F.get(s, i + 1)),
                 ),
-                lambda e: e.isNotNull(),
+            ),
+            lambda p: p.isNotNull(),
+        )
+
+        def all_draws(f: Column) -> Column:
+            own = F.transform(f, lambda p: value(bucket_of(p[0]), p))
+            others = F.array_except(
+                F.sequence(F.lit(0), F.lit(buckets - 1)), F.transform(f, lambda p: bucket_of(p[0]))
             )
+            ranked = F.transform(others, lambda b: value(b, first_two(s, b)))
+            return F.transform(F.sort_array(F.concat(own, ranked)), lambda e: e["value"])
 
-        return let(kept, tuples)
+        return let(full, all_draws)
 
     return let(
         words(text),
