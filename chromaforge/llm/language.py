@@ -5,8 +5,11 @@ segment forwards, one backwards, and both states at a byte give that byte's lang
 probabilities are the mean over all its bytes. Segments are lower-cased words with the space after them, long ones in
 pieces; a segment's result depends on nothing else, so each distinct one is computed once by a worker.
 
-Training takes a bounded sample: ``train_docs`` labelled documents (those with the smallest hash of their id) and at
-most ``train_segments`` of their segments.
+Training takes a sample of every label: of ``train_docs`` labelled documents and ``train_segments`` segments each label
+gets an equal part, what one can't use goes to the others, and at least ``LEAST_DOCS`` documents and
+``LEAST_SEGMENTS`` segments (all it has, if fewer), so the sample is bounded by these and by the number of labels. A
+label's documents are those with the smallest hash of their id. A label with fewer segments than the least has them
+repeated up to it, so that training does not pass over it.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows without a label or with a null id
 or text are never learned from; if there is nothing to learn from, all is ``und``; repeated rows are predicted alike;
@@ -15,18 +18,20 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import slices
 
 _LETTER = re.compile(r"[^\W\d_]")
 WIDTH = 24  # bytes of a segment at most
+LEAST_DOCS, LEAST_SEGMENTS = 20, 400  # of a label in training
 
 
 def segments(text: str) -> list[bytes]:
@@ -213,30 +218,77 @@ def train(
     batch: int = 128,
     rate: float = 0.01,
 ) -> ByteGRU | None:
-    """Network learned from a bounded sample of docs (doc_id, text, lang); None without labelled rows."""
+    """Network learned from a bounded sample of every label of docs (doc_id, text, lang); None without labelled rows."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    n = usable.select("doc_id").count()
-    # a share of about one and a half times what is wanted reaches the driver, in all tasks together
-    share = int(min(1.0, 1.5 * train_docs / max(n, 1)) * (1 << 30))
-    keyed = usable.select("text", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    few = keyed.filter(F.pmod("h", F.lit(1 << 30)) < share)
-    sample = few.orderBy(F.pmod("h", F.lit(1 << 30)), "h", "lang", "text").limit(train_docs).collect()
-    if not sample:
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    if not counts:
         return None
-    labels = sorted({r["lang"] for r in sample})
-    rng = np.random.default_rng(7)
-    per_doc = max(1, train_segments // len(sample))
+    labels = sorted(counts)
+    wanted = _shares(counts, train_docs, LEAST_DOCS)
+    h = F.xxhash64(F.col("doc_id").cast("string"))
+    keyed = usable.select("text", "lang", h.alias("h"), F.pmod(h, F.lit(1 << 30)).alias("place"))
+    # all of a label whose documents are few; a share with a wide margin of the others
+    words = max(LEAST_SEGMENTS, train_segments // len(labels))
+    limits = [(x, _limit(counts[x], wanted[x]), wanted[x], 4 * -(-words // wanted[x])) for x in labels]
+    limits = docs.sparkSession.createDataFrame(limits, "lang string, most long, wanted long, each long")
+    few = keyed.join(F.broadcast(limits), "lang").filter("place < most")  # one row a label
+    # documents give at most four times their part, so that long ones make up for short ones; texts stay in the tasks
+    few = few.select("lang", "place", "h", "wanted", "each", "text").mapInArrow(
+        _some_segments, "lang string, place long, h long, wanted long, parts array<binary>"
+    )
+    order = Window.partitionBy("lang").orderBy("place", "h", "parts")  # little more than the sample
+    few = few.withColumn("rank", F.row_number().over(order)).filter("rank <= wanted")
+    rows = sorted(few.select("lang", "rank", "parts").collect(), key=lambda r: (r["lang"], r["rank"]))
+    own: dict[str, list[list[bytes]]] = {x: [] for x in labels}
+    for row in rows:
+        own[row["lang"]].append([bytes(p) for p in row["parts"]])
+    use = _shares({x: sum(map(len, own[x])) for x in labels}, train_segments, LEAST_SEGMENTS)
     parts: list[bytes] = []
     y: list[int] = []
-    for row in sample:
-        own = segments(row["text"])
-        picked = own if len(own) <= per_doc else [own[i] for i in rng.choice(len(own), per_doc, replace=False)]
+    for number, label in enumerate(labels):
+        picked = _in_turn(own[label], use[label])
+        if picked:
+            picked = [picked[i % len(picked)] for i in range(max(len(picked), LEAST_SEGMENTS))]
         parts += picked
-        y += [labels.index(row["lang"])] * len(picked)
+        y += [number] * len(picked)
     model = ByteGRU(labels, hidden)
     return model.fit(parts, np.array(y, np.int64), epochs, batch, rate) if parts else model
 
 
+def _shares(have: dict[str, int], total: int, least: int) -> dict[str, int]:
+    """How much of total each label gets of what it has: equal parts, the unused rest dealt on, but least at least."""
+    out, left = {}, total
+    for at, label in enumerate(sorted(have, key=lambda x: (have[x], x))):
+        out[label] = min(have[label], max(least, left // (len(have) - at)))
+        left = max(0, left - out[label])
+    return out
+
+
+def _limit(n: int, wanted: int) -> int:
+    """Bound of a 30-bit hash under which n rows surely (by ten standard deviations) have the wanted number."""
+    return min(1 << 30, int((wanted + 10 * wanted**0.5 + 60) / n * (1 << 30)) + 1)
+
+
+def _in_turn(docs: list[list[bytes]], most: int) -> list[bytes]:
+    """At most so many segments, one of each document in turn."""
+    longest = max(map(len, docs), default=0)
+    turns = (d[i] for i in range(longest) for d in docs if i < len(d))
+    return list(itertools.islice(turns, most))
+
+
+def _some_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace the bound and the text (last columns) by at most so many of the text's segments, drawn by its id's hash."""
+    for whole in batches:
+        for batch in slices(whole, 5, 1_000_000):
+            out = []
+            for h, most, text in zip(*(batch.column(i).to_pylist() for i in (2, 4, 5)), strict=True):
+                own = segments(text)
+                order = np.random.default_rng(h % (1 << 63)).permutation(len(own))[:most]
+                out.append([own[i] for i in order])
+            columns = [*batch.columns[:4], pa.array(out, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "place", "h", "wanted", "parts"])
+
+
 _workers: dict[bytes, _Pooled] = {}
 
 

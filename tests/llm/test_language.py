@@ -65,3 +65,18 @@ def test_nothing_to_learn_and_empty_table(spark):
     none = spark.createDataFrame([(1, "text", None, None, None), (2, "text", None, None, None)], SCHEMA)
     assert {x.lang_pred for x in language.identify(none).collect()} == {"und"}
     assert language.identify(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_every_label_of_the_training_rows_is_learned(spark):
+    """A label with one row in a thousand, and fewer rows than the sample has by chance, is still predicted."""
+    r = random.Random(9)
+    make = lambda parts: " ".join("".join(r.choice(parts) for _ in range(3)) for _ in range(12))
+    data = [(i, make(["ka", "lo", "mi"]), "aa", "s", "h") for i in range(3000)]
+    data += [(5000 + i, make(["ße", "üt", "sch"]), "bb", "s", "h") for i in range(12)]
+    data += [(6000 + i, make(["qwx", "zzy", "vvu"]), "cc", "s", "h") for i in range(3)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    model = language.train(docs.select("doc_id", "text", "lang"), train_docs=60, train_segments=1200)
+    assert model.labels == ["aa", "bb", "cc"]
+    got = {x.doc_id: x.lang_pred for x in language.predict(docs.select("doc_id", "text"), model).collect()}
+    assert all(got[i] == lang for i, _, lang, *_ in data if i >= 5000)
+    assert np.mean([got[i] == "aa" for i in range(3000)]) > 0.97
