@@ -3,7 +3,8 @@
 All rolling word k-gram hashes of every text are joined with the positions of the same k-grams in a fixed set of
 license templates. A hit votes for a diagonal (its place in the text less its place in the template); votes are
 summed by document, template and diagonal; neighbouring diagonals (a few words put in or left out) are merged;
-and a merged span counts when it covers enough of the template and is not much longer than it.
+and a merged span counts when it covers enough of the template and is not much longer than it. Digits are all taken
+for 0, so that a notice of any version is found.
 
 Beside it stands a plain phrase search, whose places are exact.
 
@@ -14,6 +15,8 @@ of the input are ignored.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,11 +56,6 @@ TEMPLATES = [
         "public license as published by the free software foundation either version 3 of the license or at your "
         "option any later version",
     ),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
     (
         "bsd",
         "redistribution and use in source and binary forms with or without modification are permitted provided that "
@@ -70,8 +68,118 @@ TEMPLATES = [
         "not distributed with this file you can obtain one at http mozilla org mpl 2 0",
     ),
     ("proprietary", "all rights reserved no part of this publication may be reproduced"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+        "documentation files the software to deal in the software without restriction including without limitation "
+        "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to "
+        "permit persons to whom the software is furnished to do so subject to the following conditions the above "
+        "copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        "software the software is provided as is without warranty of any kind express or implied including but not "
+        "limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no "
+        "event shall the authors or copyright holders be liable for any claim damages or other liability whether in "
+        "an action of contract tort or otherwise arising from out of or in connection with the software or the use or "
+        "other dealings in the software",
+    ),
+    (
+        "apache",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance "
+        "with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless "
+        "required by applicable law or agreed to in writing software distributed under the license is distributed on "
+        "an as is basis without warranties or conditions of any kind either express or implied see the license for "
+        "the specific language governing permissions and limitations under the license",
+    ),
+    *(
+        (
+            label,
+            f"this {work} is free software you can redistribute it and or modify it under the terms of the gnu {name} "
+            "public license as published by the free software foundation either version 3 of the license or at your "
+            f"option any later version this {work} is distributed in the hope that it will be useful but without any "
+            "warranty without even the implied warranty of merchantability or fitness for a particular purpose see "
+            f"the gnu {name} public license for more details you should have received a copy of the gnu {name} public "
+            f"license along with this {work} if not see http www gnu org licenses",
+        )
+        for label, work, name in (
+            ("gpl", "program", "general"),
+            ("gpl", "library", "lesser general"),
+            ("gpl", "program", "affero general"),
+        )
+    ),
+    *(
+        (
+            "bsd",
+            "redistribution and use in source and binary forms with or without modification are permitted provided "
+            "that the following conditions are met redistributions of source code must retain the above copyright "
+            "notice this list of conditions and the following disclaimer redistributions in binary form must "
+            "reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+            f"documentation and or other materials provided with the distribution {third}this software is provided by "
+            "the copyright holders and contributors as is and any express or implied warranties including but not "
+            "limited to the implied warranties of merchantability and fitness for a particular purpose are "
+            "disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect "
+            "incidental special exemplary or consequential damages including but not limited to procurement of "
+            "substitute goods or services loss of use data or profits or business interruption however caused and on "
+            "any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+            "arising in any way out of the use of this software even if advised of the possibility of such damage",
+        )
+        for third in (
+            "",
+            "neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+            "promote products derived from this software without specific prior written permission ",
+        )
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+        "granted provided that the above copyright notice and this permission notice appear in all copies the "
+        "software is provided as is and the author disclaims all warranties with regard to this software including "
+        "all implied warranties of merchantability and fitness in no event shall the author be liable for any special "
+        "direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or "
+        "profits whether in an action of contract negligence or other tortious action arising out of or in connection "
+        "with the use or performance of this software",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held "
+        "liable for any damages arising from the use of this software permission is granted to anyone to use this "
+        "software for any purpose including commercial applications and to alter it and redistribute it freely "
+        "subject to the following restrictions the origin of this software must not be misrepresented you must not "
+        "claim that you wrote the original software if you use this software in a product an acknowledgment in the "
+        "product documentation would be appreciated but is not required altered source versions must be plainly "
+        "marked as such and must not be misrepresented as being the original software this notice may not be removed "
+        "or altered from any source distribution",
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish "
+        "use compile sell or distribute this software either in source code form or as a compiled binary for any "
+        "purpose commercial or non commercial and by any means",
+    ),
+    (
+        "epl",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license "
+        "v 2 0 which accompanies this distribution and is available at",
+    ),
+    ("epl", "made available under the terms of the eclipse public license 2 0 which is available at"),
+    ("cc0", "cc0 1 0 universal"),
+    ("cc0", "creative commons zero v 1 0 universal"),
+    (
+        "cc0",
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to "
+        "this work",
+    ),
 ]
 
+#: Elements of a Creative Commons license: short form, and how they are written out.
+_CC = {"nc": ("noncommercial", "non commercial"), "sa": ("sharealike", "share alike")}
+_CC["nd"] = ("noderivatives", "no derivatives", "noderivs", "no derivs")
+for _parts in ((), ("nc",), ("sa",), ("nd",), ("nc", "sa"), ("nc", "nd")):
+    _label = "-".join(("cc", "by", *_parts))
+    TEMPLATES.append((_label, f"{_label.replace('-', ' ')} 4 0"))
+    TEMPLATES += [
+        (_label, " ".join(("creative commons attribution", *names, "4 0")))
+        for names in itertools.product(*(_CC[x] for x in _parts))
+    ]
+
 
 def word_list(text: Column) -> Column:
     """Words of text (letters A-Z in lower case), in order."""
@@ -88,6 +196,11 @@ def word_list(text: Column) -> Column:
     )
 
 
+def _any_version(text: Column) -> Column:
+    """text with every digit as 0."""
+    return F.translate(text, "123456789", "000000000")
+
+
 def _grams(ws: Column, k: int) -> Column:
     """Hash of the k words from each place on."""
     return F.transform(
@@ -100,19 +213,20 @@ def template_grams(docs: DataFrame, k: int = K) -> DataFrame:
     """(gram, template, label, size, tpos) of the fixed templates: a few hundred rows."""
     rows = [(i, label, len(text.split()), text) for i, (label, text) in enumerate(TEMPLATES)]
     t = docs.sparkSession.createDataFrame(rows, "template int, label string, size int, text string")
-    return t.select("template", "label", "size", F.posexplode(_grams(F.split("text", " "), k)).alias("tpos", "gram"))
+    return t.select("template", "label", "size", F.posexplode(_grams(F.split(_any_version(F.col("text")), " "), k)).alias("tpos", "gram"))
 
 
 def notices(docs: DataFrame, k: int = K, slack: int = 3, coverage: float = 0.7) -> DataFrame:
     """Verified notices: one row per span with its template, label, first and last word and coverage.
 
-    docs has doc_id and text. Only k-gram hits are shuffled, as one row a place and template.
+    docs has doc_id and text. Only k-gram hits are shuffled, as one row a place and template. Diagonals up to slack
+    words apart, or an eighth of the template's words if that is more, are neighbours.
     """
     grams = docs.select(
         "doc_id",
         F.inline(
             F.transform(
-                F.array(word_list(F.col("text"))),
+                F.array(word_list(_any_version(F.col("text")))),
                 lambda ws: F.struct(F.xxhash64(F.array_join(ws, " ")).alias("copy"), _grams(ws, k).alias("grams")),
             )
         ),
@@ -123,22 +237,23 @@ def notices(docs: DataFrame, k: int = K, slack: int = 3, coverage: float = 0.7)
         hits.withColumn("diag", F.col("wpos") - F.col("tpos"))
         .groupBy(*key, "label", "size", "diag")
         .agg(
-            F.countDistinct("tpos").alias("votes"),
+            F.collect_set("tpos").alias("votes"),
             F.min("wpos").alias("first"),
             F.max("wpos").alias("last"),
         )
     )
     by_place = Window.partitionBy(*key).orderBy("diag")
-    step = F.when(F.col("diag") - F.lag("diag").over(by_place) <= slack, 0).otherwise(1)
+    near = F.greatest(F.lit(slack), F.floor(F.col("size") / 8))
+    step = F.when(F.col("diag") - F.lag("diag").over(by_place) <= near, 0).otherwise(1)
     runs = votes.withColumn("step", step).withColumn("run", F.sum("step").over(by_place))
     spans = runs.groupBy(*key, "label", "size", "run").agg(
-        F.sum("votes").alias("votes"), F.min("first").alias("first"), (F.max("last") + (k - 1)).alias("last")
+        F.size(F.array_distinct(F.flatten(F.collect_list("votes")))).alias("votes"), F.min("first").alias("first"), (F.max("last") + (k - 1)).alias("last")
     )
     covered = F.least(F.lit(1.0), F.col("votes") / (F.col("size") - (k - 1)))
     return (
         spans.withColumn("coverage", covered)
         .filter(F.col("coverage") >= coverage)
-        .filter(F.col("last") - F.col("first") + 1 <= F.col("size") + 2 * F.lit(slack))
+        .filter(F.col("last") - F.col("first") + 1 <= F.col("size") + 2 * near)
         .select("doc_id", "copy", "template", "label", "first", "last", "coverage")
     )
 
@@ -165,7 +280,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     none = F.array().cast("array<struct<start:int,label:string>>")
     counted = F.transform(
-        F.array(word_list(F.col("text"))),
+        F.array(word_list(_any_version(F.col("text")))),
         lambda ws: F.struct(
             F.xxhash64(F.array_join(ws, " ")).alias("copy"),
             F.size(ws).cast("long").alias("n_words"),

@@ -61,3 +61,25 @@ def test_notices_survive_edits_and_stay_out_of_other_text(spark):
 
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_versions_elements_whole_texts_and_long_insertions(spark):
+    mit = max((t for label, t in licenses.TEMPLATES if label == "mit"), key=len).split()
+    named = mit[:60] + ["the", "very", "long", "name", "of", "one", "holder"] + mit[60:]
+    zlib = next(t for label, t in licenses.TEMPLATES if label == "zlib").split()
+    lines = [w for i in range(0, len(zlib), 12) for w in [str(i // 12 + 1), *zlib[i : i + 12]]]
+    short = [f"CC BY{e} {v}" for e in ("", "-NC", "-SA", "-ND", "-NC-SA", "-NC-ND") for v in ("4.0", "3.0", "2.5")]
+    long = [
+        ("cc-by", "a Creative Commons Attribution 3.0 Unported License"),
+        ("cc-by-nc", "a Creative Commons Attribution-NonCommercial 4.0 International License"),
+        ("cc-by-nc-sa", "the Creative Commons Attribution-Non Commercial-Share Alike 3.0 License"),
+        ("cc-by-nd", "a Creative Commons Attribution-NoDerivs 2.0 License"),
+    ]
+    want = [(" ".join(x.split()[:-1]).lower().replace(" ", "-"), f"Licensed under {x}.") for x in short]
+    want += [(label, f"This work is licensed under {text}.") for label, text in long]
+    want += [("mit", " ".join(named)), ("zlib", " ".join(lines)), ("cc0", "Dedicated under CC0 1.0 Universal")]
+    want += [("", "We write cc by hand and by 4 0 others, under a creative commons of attribution.")]
+    want += [(label, t) for label, t in licenses.TEMPLATES if label in ("isc", "unlicense", "epl")]
+    docs = spark.createDataFrame([(i, f"Some words. {t} Some more.", "l", "c") for i, (_, t) in enumerate(want)], SCHEMA)
+    got = {x.doc_id: x.labels for x in licenses.scan(docs).collect()}
+    assert [got[i] for i in range(len(want))] == [label for label, _ in want]
