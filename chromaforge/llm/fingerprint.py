@@ -1,162 +1,159 @@
-"""Document fingerprints by order MinHash over word k-mers.
+"""Document fingerprints by order MinHash over character k-mers.
 
-Each k-mer of words gets its occurrence number (first, second, ... time in the text), and the numbered k-mer is
-hashed. Every one of ``buckets`` draws ranks all numbered k-mers of the text: first those whose hash begins with the
-draw's number, by their hash, then all others, by a hash of hash and draw. The two first ones are put back in text
-order and hashed as a tuple: a reordered or edited text changes tuples even where its set of k-mers stays. The second
-part of a ranking is computed only in draws whose number begins fewer than two hashes: a few in long texts, most in
-short ones. Likeness of two fingerprints is the share of equal draws among those that either text fills.
+Each k-mer of ``K`` code points gets its occurrence number (first, second, ... time in the text), and the numbered
+k-mer is hashed. Every one of ``DRAWS`` draws ranks all numbered k-mers of the text: first those whose hash bears the
+draw's number, by the rest of their hash, then all others, by a hash of hash and draw. The two first ones are put back
+in text order and hashed as a tuple: a reordered or edited text changes tuples even where its set of k-mers stays.
+The second part of a ranking is computed only in draws whose number fewer than two hashes bear: none in long texts,
+most in short ones. Likeness of two fingerprints is the share of equal draws among those that either text fills.
+
+A k-mer is one long: its hash (rank, then draw) above, its place below. So numbering, ranking and drawing are sorts
+and element-wise passes over arrays of longs, and a text may be as long as a string can be.
 
 Defined cases: null is the empty text; an empty text has an empty fingerprint, which is like another empty one (1)
-and unlike all else (0); any other text fills all draws; a text of fewer than k words is one k-mer, and a single
-k-mer is the tuple of every draw; equal texts have equal fingerprints; an empty table gives an empty result; extra
+and unlike all else (0); any other text fills all draws; a text of at most K code points is one k-mer, and a single
+k-mer is the tuple of every draw; equal texts have equal fingerprints; ids are numbers or null (else ValueError); null
+ids come first, rows of one id follow each other by a hash of their text; an empty table gives an empty result; extra
 columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import let, materialize, words
+from .common import let, materialize
 
-K, BUCKETS = 3, 64
-#: Bits for a word's place in the packed values that are sorted; a text may have 16 million words.
-PLACE_BITS = 24
+K, DRAWS = 8, 64
+#: Bits for a k-mer's place; above them lie the draw's number and the rank.
+PLACE_BITS = 31
+_PLACE = (1 << PLACE_BITS) - 1
+_HASH = (1 << 63) - 1 - _PLACE
+#: So many of a text's first k-mers by rank hold two of every draw nearly always; draws they don't fill see all.
+_FIRST = 9 * DRAWS  # 4,096 at most: an index takes 12 bits
 #: Consecutive ids in one block of ``with_next``.
-BLOCK = 1024
+BLOCK = 256
 
 
-def sketch(text: Column, k: int = K, buckets: int = BUCKETS) -> Column:
-    """The fingerprint as array<int>: a value for every draw, by draw; none for an empty text."""
-    place = (1 << PLACE_BITS) - 1
-    bucket_bits = (buckets - 1).bit_length()
-    if buckets != 1 << bucket_bits:
-        raise ValueError("buckets must be a power of two")
+def _packed(h: Column, place: Column) -> Column:
+    return h.bitwiseAND(F.lit(_HASH)).bitwiseOR(place)
 
-    def packed(h: Column, at: Column) -> Column:
-        """A value to sort by: draw (top bits), key, place (low bits)."""
-        return h.bitwiseAND(F.lit(~place)).bitwiseOR(at.cast("long"))
 
-    def same_kmer(x: Column, y: Column) -> Column:
-        return F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS)
+def _key(x: Column) -> Column:
+    return F.shiftright(x, PLACE_BITS)
 
-    def kmers(ws: Column) -> Column:
-        last = F.greatest(F.size(ws) - (k - 1), F.least(F.size(ws), F.lit(1)))
-        return F.transform(
-            F.slice(ws, F.lit(1), last),
-            lambda w, i: packed(F.xxhash64(w, *(F.get(ws, i + j) for j in range(1, k))), i),
-        )
 
-    def numbered(s: Column, firsts: Column) -> Column:
-        """Sorted values in which every later occurrence of a k-mer has a hash of its own."""
-        later = F.filter(
-            F.transform(s, lambda x, i: F.when((i > 0) & same_kmer(x, F.get(s, i - 1)), i)), lambda i: i.isNotNull()
-        )
+def _draw(x: Column) -> Column:
+    return F.shiftright(x, PLACE_BITS).bitwiseAND(F.lit(DRAWS - 1).cast("long"))
 
-        def count_up(at: Column) -> Column:
-            """1, 2, 3, ... within each run of consecutive indices."""
-            starts = F.filter(
-                F.transform(at, lambda i, j: F.when((j == 0) | (F.get(at, j - 1) != i - 1), j)), lambda j: j.isNotNull()
-            )
-            return let(
-                starts,
-                lambda st: F.flatten(
-                    F.transform(
-                        st,
-                        lambda a, r: F.sequence(F.lit(1), F.coalesce(F.get(st, r + 1), F.size(at)) - a),
-                    )
-                ),
-            )
-
-        def renamed(at: Column) -> Column:
-            return F.zip_with(
-                at,
-                count_up(at),
-                lambda i, occurrence: let(
-                    F.get(s, i),
-                    lambda x: packed(
-                        F.xxhash64(F.shiftright(x, PLACE_BITS), occurrence), x.bitwiseAND(F.lit(place))
-                    ),
-                ),
-            )
 
-        return F.sort_array(F.concat(firsts, let(later, renamed)))
+def _without(marked: Column) -> Column:
+    """The elements of an array of longs that are not -1."""
+    return F.array_remove(marked, F.lit(-1).cast("long"))
 
-    def bucket_of(x: Column) -> Column:
-        return F.shiftrightunsigned(x, 64 - bucket_bits).cast("int")
 
-    def value(draw: Column, pair: Column) -> Column:
-        """Draw and value: the draw's number in the low bits, the hash of its k-mers in text order above."""
-        ordered = F.sort_array(
-            F.transform(
-                pair,
-                lambda y: F.struct(y.bitwiseAND(F.lit(place)).alias("at"), F.shiftright(y, PLACE_BITS).alias("key")),
-            )
-        )
-        h = F.hash(F.transform(ordered, lambda y: y["key"]))
-        return F.struct(draw.alias("draw"), h.bitwiseAND(F.lit(-(1 << bucket_bits))).bitwiseOR(draw).alias("value"))
+def _or_none(x: Column) -> Column:
+    """x, or -1 for null: zip_with pads with nulls, and arrays that can't hold any are sorted and compared faster."""
+    return F.coalesce(x, F.lit(-1).cast("long"))
 
-    def first_two(s: Column, draw: Column) -> Column:
-        """The two first k-mers of all in s (one if there is but one) by the draw's ranking."""
 
-        def rank(x: Column, i: Column) -> Column:
-            other = F.xxhash64(F.shiftright(x, PLACE_BITS), draw)
-            # s is sorted, so equal ranks of the draw's own k-mers leave them by their hash
-            return packed(F.when(bucket_of(x) == draw, F.lit(-(1 << 63))).otherwise(other), i)
+def _next_of(a: Column) -> Column:
+    return F.slice(a, F.lit(2), F.size(a))
 
-        two = let(
-            F.transform(s, rank),
-            lambda r: let(
-                F.array_min(r), lambda a: F.array(a, F.array_min(F.filter(r, lambda y: y != a)))
-            ),
-        )
-        return F.transform(
-            F.filter(two, lambda r: r.isNotNull()), lambda r: F.get(s, r.bitwiseAND(F.lit(place)).cast("int"))
-        )
 
-    def draws(s: Column) -> Column:
-        """From sorted packed values, a value for every draw."""
-        # places in s of the two first of every draw whose number begins two hashes or more
-        full = F.filter(
-            F.transform(
-                s,
-                lambda x, i: F.when(
-                    ((i == 0) | (bucket_of(F.get(s, i - 1)) != bucket_of(x)))
-                    & (bucket_of(F.get(s, i + 1)) == bucket_of(x)),
-                    F.array(x, F.get(s, i + 1)),
+def kmers(text: Column, k: int = K, first_place: Column | int = 0) -> Column:
+    """Packed k-mers of text in text order; a text of at most k code points is one k-mer, the empty text has none."""
+    start = (F.lit(first_place) if isinstance(first_place, int) else first_place).cast("long")
+    none = F.slice(F.array(F.lit(0).cast("long")), 1, 0)  # of elements that can't be null, so that sorts are those of longs
+    each = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{k}}}))."), F.lit(1))
+    return (
+        F.when(F.length(text) == 0, none)
+        .when(F.length(text) <= k, F.array(_packed(F.xxhash64(text), start)))
+        .otherwise(F.transform(each, lambda x, i: _packed(F.xxhash64(x), start + i)))
+    )
+
+
+def with_sketch(df: DataFrame, packed: str, name: str) -> DataFrame:
+    """df with the fingerprint ``name`` (array<int>, a value for every draw, by draw) of the k-mers in column packed.
+
+    Steps are projections of their own, one array each: so each is computed once, and sorts are those of longs.
+    """
+    s, l, ends, t, b, two = (f"_{name}_{x}" for x in ("s", "l", "ends", "t", "b", "two"))  # noqa: E741
+    col = F.col
+    one = F.lit(1 << PLACE_BITS)
+    df = df.withColumn(s, F.sort_array(col(packed)))
+    # equal k-mers lie side by side: all but the first of each are later occurrences
+    later = F.zip_with(col(s), _next_of(col(s)), lambda x, y: _or_none(F.when(x.bitwiseXOR(y) < one, y)))
+    df = df.withColumn(l, _without(later))
+    last = F.zip_with(col(l), _next_of(col(l)), lambda x, y: F.coalesce(x.bitwiseXOR(y) >= one, F.lit(True)))
+    df = df.withColumn(ends, F.array_remove(F.transform(last, lambda e, i: F.when(e, i).otherwise(F.lit(-1))), F.lit(-1)))
+    counts = F.zip_with(
+        col(ends), F.concat(F.array(F.lit(-1)), col(ends)), lambda a, before: F.coalesce(a - before, F.lit(0))
+    )
+    numbers = F.flatten(F.transform(F.filter(counts, lambda n: n > 0), lambda n: F.sequence(F.lit(2), n + 1)))
+    renamed = F.zip_with(
+        col(l), numbers, lambda x, n: _or_none(_packed(F.xxhash64(_key(x), n), x.bitwiseAND(F.lit(_PLACE).cast("long"))))
+    )
+    unique = F.concat(F.array_except(col(s), col(l)), renamed)
+    df = df.withColumn(t, F.when(F.size(l) == 0, col(s)).otherwise(F.sort_array(unique)))
+    # the first ones by rank, dealt to their draws: draw above, index below
+    df = df.withColumn(
+        b, F.sort_array(F.transform(F.slice(col(t), 1, _FIRST), lambda x, i: F.shiftleft(_draw(x), 32).bitwiseOR(i.cast("long"))))
+    )
+
+    # a draw's first one stands where the draw changes, its second one beside it: draw, index, index
+    before = F.concat(F.array(F.lit(-(1 << 32))), col(b))
+    lead = F.zip_with(col(b), before, lambda x, y: _or_none(F.when(F.shiftright(x, 32) != F.shiftright(y, 32), x)))
+    both = F.zip_with(
+        lead,
+        _next_of(col(b)),
+        lambda x, y: _or_none(
+            F.when(F.shiftright(x, 32) == F.shiftright(y, 32), F.shiftleft(x, 12).bitwiseOR(y.bitwiseAND(F.lit(4095).cast("long"))))
+        ),
+    )
+    df = df.withColumn(two, _without(both))
+
+    def value(draw: Column, x: Column, y: Column) -> Column:
+        """Draw above; below it the hash of the two k-mers in text order."""
+        at = lambda v: v.bitwiseAND(F.lit(_PLACE).cast("long"))
+        h = F.when(at(x) < at(y), F.hash(_key(x), _key(y))).otherwise(F.hash(_key(y), _key(x)))
+        return F.shiftleft(draw, 32).bitwiseOR(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    def of_all(draw: Column) -> Column:
+        """The draw's value from its ranking of all k-mers."""
+        ranks = F.transform(
+            col(t),
+            lambda x, i: F.when(_draw(x) == draw, i.cast("long")).otherwise(_packed(F.xxhash64(_key(x), draw), i.cast("long"))),
+        )
+        pick = lambda r: F.get(col(t), r.bitwiseAND(F.lit(_PLACE).cast("long")).cast("int"))
+        return let(
+            ranks,
+            lambda r: let(
+                F.array_min(r),
+                lambda a: let(
+                    F.coalesce(F.array_min(F.array_remove(r, a)), a), lambda c: value(draw, pick(a), pick(c))
                 ),
             ),
-            lambda p: p.isNotNull(),
         )
 
-        def all_draws(f: Column) -> Column:
-            own = F.transform(f, lambda p: value(bucket_of(p[0]), p))
-            others = F.array_except(
-                F.sequence(F.lit(0), F.lit(buckets - 1)), F.transform(f, lambda p: bucket_of(p[0]))
-            )
-            ranked = F.transform(others, lambda b: value(b, first_two(s, b)))
-            return F.transform(F.sort_array(F.concat(own, ranked)), lambda e: e["value"])
-
-        return let(full, all_draws)
-
-    return let(
-        words(text),
-        lambda ws: F.when(F.size(ws) == 0, F.array().cast("array<int>")).otherwise(
-            let(
-                F.sort_array(kmers(ws)),
-                lambda s: let(
-                    F.filter(s, lambda x, i: (i == 0) | ~same_kmer(x, F.get(s, i - 1))),
-                    lambda firsts: let(
-                        F.when(F.size(firsts) == F.size(s), s).otherwise(numbered(s, firsts)),
-                        draws,
-                    ),
-                ),
-            )
-        ),
+    filled = f"_{name}_filled"
+    df = df.withColumn(filled, F.transform(col(two), lambda x: F.shiftright(x, 44)))
+    here = lambda i: F.get(col(t), i.bitwiseAND(F.lit(4095).cast("long")).cast("int"))
+    own = F.transform(col(two), lambda x: value(F.shiftright(x, 44), here(F.shiftright(x, 12)), here(x)))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(DRAWS - 1).cast("long"))
+    others = F.transform(F.array_except(every, col(filled)), of_all)
+    values = f"_{name}_values"
+    df = df.withColumn(values, F.when(F.size(t) == 0, F.array().cast("array<bigint>")).otherwise(F.concat(own, others)))
+    # a value of its own for each draw: the draw's number takes the lowest bits
+    out = F.transform(
+        F.sort_array(col(values)),
+        lambda v: F.shiftright(F.shiftleft(v, 32), 32)
+        .bitwiseAND(F.lit(-DRAWS).cast("long"))
+        .bitwiseOR(F.shiftright(v, 32))
+        .cast("int"),
     )
+    return df.withColumn(name, out).drop(s, l, ends, t, b, two, filled, values)
 
 
 def as_text(fp: Column) -> Column:
@@ -164,10 +161,9 @@ def as_text(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda v: F.lpad(F.lower(F.hex(v.cast("long").bitwiseAND(0xFFFFFFFF))), 8, "0")), "")
 
 
-def likeness(a: Column, b: Column, buckets: int = BUCKETS) -> Column:
+def likeness(a: Column, b: Column) -> Column:
     """Share of equal draws among the draws that a or b fills."""
-    number = (1 << (buckets - 1).bit_length()) - 1
-    filled = F.size(F.array_distinct(F.transform(F.concat(a, b), lambda v: v.bitwiseAND(F.lit(number)))))
+    filled = F.greatest(F.size(a), F.size(b))  # a fingerprint fills all draws or none
     return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / filled)
 
 
@@ -191,30 +187,34 @@ def _following(blocks: DataFrame, base: int = BLOCK, small: int = 4096) -> DataF
     )
 
 
-def with_next(docs: DataFrame, derive: Callable[[DataFrame], DataFrame], broadcast_rows: int = 1_000_000) -> DataFrame:
-    """derive(docs) and, for text and every derived column, next_<column>: that of the next id's row.
+def with_next(rows: DataFrame, columns: list[str], broadcast_rows: int = 1_000_000) -> DataFrame:
+    """rows (doc_id, text_hash and others) with next_<column>: that of the next row; the first follows the last.
 
-    docs has doc_id and text; the first row follows the last. Rows are dealt by blocks of consecutive ids; the
-    first row of each block also goes to the block before it. So whole rows are shuffled once, and no window spans
-    more than one block. Rows of one id follow each other in the order of their text. A null id comes first of all.
+    The order is by doc_id, then text_hash. Rows are dealt by blocks of consecutive ids (those without an id by blocks
+    of hashes); the first row of each block also goes to the block before it. So rows are shuffled once, a window spans
+    one block only, and a task's share does not grow with the table.
     """
-    key = F.coalesce(F.floor(F.col("doc_id") / BLOCK), F.lit(-(1 << 62)))
-    blocks = docs.select("doc_id", key.alias("block")).groupBy("block").agg(F.min("doc_id").alias("head_id"))
-    blocks = materialize(blocks, "id-blocks")
+    hashed = F.shiftright(F.col("text_hash"), 54) - F.lit(1 << 62)
+    key = F.coalesce(F.floor(F.col("doc_id") / BLOCK).cast("long"), hashed)
+    blocks = rows.select(F.struct("doc_id", "text_hash").alias("id"), key.alias("block"))
+    blocks = materialize(blocks.groupBy("block").agg(F.min("id").alias("head")), "id-blocks")
     order = materialize(_following(blocks.select("block")), "block-order")
     first = order.agg(F.min("block").alias("first_block"))
     before = order.crossJoin(F.broadcast(first)).select(  # first is one row
         F.coalesce("next_block", "first_block").alias("block"), F.col("block").alias("previous")
     )
-    head_ids = materialize(blocks.join(before, "block").select("head_id", "previous"), "block-heads")
-    few = head_ids.count() <= broadcast_rows
-    heads = docs.join(F.broadcast(head_ids) if few else head_ids, F.col("doc_id").eqNullSafe(F.col("head_id")))
-    heads = derive(heads.select("doc_id", "text", F.col("previous").alias("block"), F.lit(1).alias("is_head")))
-    own = derive(docs.select("doc_id", "text", key.alias("block"), F.lit(0).alias("is_head")))
-    both = own.unionByName(heads)
-    w = Window.partitionBy("block").orderBy("is_head", "doc_id", "text")
-    more = [c for c in both.columns if c not in ("doc_id", "block", "is_head")]
-    out = both.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in more))
+    heads = blocks.join(before, "block").select(
+        F.col("head.doc_id").alias("head_id"), F.col("head.text_hash").alias("head_hash"), "previous"
+    )
+    heads = materialize(heads, "block-heads")
+    few = heads.count() <= broadcast_rows  # three longs a row
+    same = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("text_hash") == F.col("head_hash"))
+    sent = rows.join(F.broadcast(heads) if few else heads, same)
+    sent = sent.select("doc_id", "text_hash", *columns, F.col("previous").alias("block"), F.lit(1).alias("is_head"))
+    own = rows.select("*", key.alias("block"), F.lit(0).alias("is_head"))
+    both = own.unionByName(sent, allowMissingColumns=True)
+    w = Window.partitionBy("block").orderBy("is_head", F.col("doc_id").asc_nulls_first(), "text_hash")
+    out = both.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns))
     return out.filter("is_head = 0").drop("is_head", "block")
 
 
@@ -224,17 +224,33 @@ def edit(text: Column, following: Column) -> Column:
     return F.concat(F.substr(text, F.lit(1), F.length(text) - half), F.substr(following, F.lit(1), half))
 
 
-def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pairs = with_next(d, lambda x: x.select("*", F.inline(F.array(F.struct(sketch(F.col("text")).alias("fp"))))))
-    edited = F.inline(
-        F.transform(
-            F.array(edit(F.col("text"), F.col("next_text"))),
-            lambda e: F.struct(F.sha2(e, 256).alias("edited_sha256"), sketch(e).alias("edited_fp")),
-        )
+    if not isinstance(docs.schema[id_col].dataType, T.NumericType):
+        raise ValueError(f"{id_col} is not a number: rows are dealt by blocks of consecutive ids")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    d = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    pairs = with_next(d, ["text"], **options)
+    cut = F.length("text") - F.floor(F.length("text") / 2).cast("int")
+    # k-mers before this place lie in the half that stays: they are the text's own
+    kept = F.greatest(cut - (K - 1), F.lit(0)).alias("kept")
+    pairs = pairs.select("*", kept, edit(F.col("text"), F.col("next_text")).alias("edited"), kmers(F.col("text")).alias("own"))
+    tail = kmers(F.substr(F.col("edited"), F.col("kept") + 1), first_place=F.col("kept"))
+    shared = F.length("edited") - F.col("kept") > K  # else the tail is no run of k-mers
+    pairs = pairs.withColumn(
+        "changed",
+        F.when(shared, F.concat(F.slice(F.col("own"), F.lit(1), F.col("kept")), tail)).otherwise(kmers(F.col("edited"))),
+    )
+    pairs = pairs.select(
+        "doc_id",
+        "text_hash",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "own",
+        "changed",
     )
-    done = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), "fp", "next_fp", edited)
+    done = with_sketch(with_sketch(pairs, "own", "fp"), "changed", "edited_fp").drop("own", "changed")
+    done = with_next(materialize(done, "fingerprints"), ["fp"], **options)
     return done.select(
         "doc_id",
         "n_chars",
