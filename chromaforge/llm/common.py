@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
 
+_own_folders: dict[str, str] = {}
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents table."""
@@ -20,11 +22,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset, a local session gets a temporary folder of its own; any other session must name one.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        context = spark.sparkContext
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _own_folders:
+            _own_folders[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        where = _own_folders[context.applicationId]
     return where.rstrip("/")
 
 
@@ -33,7 +42,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.table_path = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of materialized tables that no later plan reads."""
+    for table in tables:
+        path = getattr(table, "table_path", None)
+        if path:
+            context = table.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
