@@ -80,6 +80,64 @@ def test_key_decides_and_case_does_not(spark):
 
 
 def test_every_first_choice_is_a_function_of_key_and_value(spark):
-    df = spark.createDataFrame([("ip", "1.2.3.4")], "type string, value string")
-    new = [df.select(pii.surrogate(F.col("type"), F.col("value"), "k", F.lit(a))).first()[0] for a in (0, 0, 1)]
+    df = spark.createDataFrame([("ip", "1.2.3.4", None)], "type string, value string, gender string")
+    made = lambda a: pii.surrogate(F.col("type"), F.col("value"), F.col("gender"), "k", F.lit(a))
+    new = [df.select(made(a)).first()[0] for a in (0, 0, 1)]
     assert new[0] == new[1] != new[2]
+
+
+def test_values_without_letter_or_digit_are_no_secrets_and_formats_never_run_out(spark):
+    odd = ["Password: ________", "token: --------", "token: _______a", "token: _______b"]
+    out = [t for t, _ in replaced(spark, odd + [f"token: _______{c}" for c in "cdefghijklmnopqrstuvwxyz"])]
+    assert out[:2] == odd[:2] and len(set(out)) == len(out) and not set(out[2:]) & set(odd)
+
+
+def test_lengths_and_spaces_do_not_matter(spark):
+    long = "0123456789abcdef" * 10
+    out = replaced(spark, [long, long.upper(), "password    = abcdefgh1234", 'API-KEY :\n\n "abcd-efgh_ijkl"', "token=" + "aB3" * 40_000])
+    assert all(n == 1 for _, n in out)
+    assert re.fullmatch("[0-9a-f]{160}", out[0][0]) and re.fullmatch("[0-9A-F]{160}", out[1][0]) and long not in out[0][0]
+    assert re.fullmatch(r"password    = [a-z]{8}\d{4}", out[2][0]) and out[2][0][14:] != "abcdefgh1234"
+    assert re.fullmatch(r'API-KEY :\n\n "[a-z]{4}-[a-z]{4}_[a-z]{4}"', out[3][0])
+    assert re.fullmatch(r"token=(?:[a-z][A-Z]\d){40000}", out[4][0])
+
+
+def test_one_person_has_one_surrogate_in_all_forms(spark):
+    out = replaced(
+        spark,
+        [
+            "Mrs Anna Berg came. Dr Anna Berg left. Anna Berg slept. Berg ate, and BERG sang; Bergen is a town.",
+            "Prof Anna Berg wrote. My name is Anna Berg and John Smith.",
+            "Anna went to Berg.",
+            "Call (407) 555-7710, 407-555-7710 or 407.555.7710; 4111 1111 1111 1111 is 4111-1111-1111-1111.",
+        ],
+    )
+    a = re.fullmatch(r"Mrs (\w+) (\w+) came\. Dr (\w+) (\w+) left\. (\w+) (\w+) slept\. (\w+) ate, and (\w+) sang; Bergen is a town\.", out[0][0])
+    assert a and a[1] == a[3] == a[5] and a[2] == a[4] == a[6] == a[7] == a[8].capitalize() and a[1].endswith("na")
+    b = re.fullmatch(r"Prof (\w+) (\w+) wrote\. My name is (\w+) (\w+) and (\w+) (\w+)\.", out[1][0])
+    assert b and (b[1], b[2]) == (b[3], b[4]) == (a[1], a[2]) and b[5] != "John" and b[6] != "Smith"
+    assert out[2] == ("Anna went to Berg.", 0)
+    c = re.fullmatch(r"Call \((\d{3})\) (\d{3})-(\d{4}), (\S+) or (\S+); (\d{4} \d{4} \d{4} \d{4}) is (\S+)\.", out[3][0])
+    assert c and c[4] == f"{c[1]}-{c[2]}-{c[3]}" and c[5] == c[4].replace("-", ".") and c[7] == c[6].replace(" ", "-")
+
+
+def test_documents_keep_distinctness_and_coreference(spark):
+    """Over a whole table: an entity has one replacement, no two share one, and none is a real entity."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    for few in (32 << 20, 0):  # by broadcast and by shuffle
+        new = pii.replace(docs, "k", few_bytes=few).withColumnRenamed("text", "new")
+        to, real = {}, set()
+        for row in docs.join(new, "doc_id").filter("text != new").collect():
+            # single-word matches keep their number and order
+            old_, new_ = (re.findall(r"[\w.+-]+@[\w.-]+|\b[0-9a-f]{32,}\b|\b\d{3}-\d{2}-\d{4}\b", t) for t in (row.text, row.new))
+            assert len(old_) == len(new_)
+            for x, y in zip(old_, new_, strict=True):
+                assert to.setdefault(x.lower(), y.lower()) == y.lower()
+                real.add(x.lower())
+        assert to and len(set(to.values())) == len(to) and not real & set(to.values())
+
+
+def test_null_ids_repeated_rows_and_shared_ids(spark):
+    rows = [(None, "Mail an.b@x.example.com"), (None, "Mail an.b@x.example.com"), (1, "10.20.30.40"), (1, "no data"), (1, None)]
+    out = pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+    assert len(out) == 5 and len({r.text for r in out if r.doc_id is None}) == 1 and {None, "no data"} <= {r.text for r in out}
