@@ -1,18 +1,27 @@
 """Quality rules on documents with host-level verdicts.
 
 Every document gets counts and rule failures from its whole text. The failures are summed by host (the
-``source`` column), each host's failure rates are shrunk towards the corpus by an empirical beta prior
-(method of moments over hosts), and a host whose shrunk rate is too high rejects its documents. A document
-goes when it fails the base rule, when more than a tenth as many symbols as words stand in it, or when its
-host is rejected.
+``source`` column), and each host's failure rates are shrunk towards the corpus by an empirical beta prior
+(method of moments over hosts). A host's shrunk rates give two verdicts, which are joined back to its documents:
+
+- it is *rejected* when one rate is over ``REJECT``, one half: its next document is more likely to fail than not;
+- it is *strict* in a soft rule (``SOFT``) when its rate is not under that rule's corpus rate, the prior's mean. A
+  document that fails a soft rule goes where its host is strict in that rule; elsewhere it has the benefit of the doubt.
+
+Neither limit is fitted to a table: one is a majority, the other the prior's own mean. A document goes when it fails
+the base rule, when its host is rejected, or by a soft rule as said. One that fails no rule goes only with its host.
 
 Defined cases: a null or blank text has no words and all counts 0, so it fails the base rule; documents of a
-null host form one host; repeated rows count and are returned as often as they occur; an empty table gives an
-empty result; other columns of the input are ignored by ``assess`` and kept by ``keep``.
+null host form one host; where hosts do not differ, all have the corpus rate, so all are strict; repeated rows count
+and are returned as often as they occur; an empty table gives an empty result; other columns of the input are ignored
+by ``assess`` and kept by ``keep``; null ids are ids like others.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +29,10 @@ from .common import let, materialize, words
 
 #: The rules whose failures hosts are judged by.
 RULES = ("short", "repeats", "symbols", "lines", "word_length")
+#: Those of them that count against a document only where its host is strict.
+SOFT = RULES[2:]
+#: A host goes when a shrunk rate is over this.
+REJECT = 0.5
 
 
 def _repeat_words(ws: Column, n: Column) -> Column:
@@ -77,8 +90,8 @@ def with_counts(df: DataFrame, text: Column, host: Column) -> DataFrame:
     return out.select("*", *(fails[r].alias(f"f_{r}") for r in RULES))
 
 
-def host_verdicts(counts: DataFrame, limit: float = 0.8) -> DataFrame:
-    """One row per host: its documents, and for each rule the shrunk failure rate; ``host_bad`` if one is over limit.
+def host_verdicts(counts: DataFrame, reject: float = REJECT) -> DataFrame:
+    """One row per host: its documents, for each rule the shrunk failure rate, and the verdicts of this module.
 
     The prior of a rule is the beta distribution with the mean of all documents and the spread of the hosts'
     rates beyond their binomial noise; where hosts do not differ, every host gets the corpus rate.
@@ -94,57 +107,48 @@ def host_verdicts(counts: DataFrame, limit: float = 0.8) -> DataFrame:
         *(F.sum(F.col(f"k_{r}") * F.col(f"k_{r}") / F.col("n")).alias(f"all_s_{r}") for r in RULES),
     )
     joined = hosts.crossJoin(F.broadcast(moments))  # moments is one row
-    rates = []
+    rates, strict = {}, []
     for r in RULES:
         m = F.col(f"all_k_{r}") / F.col("all_n")
         between = F.col(f"all_s_{r}") - F.col("all_n") * m * m
         spread = (between - (F.col("all_h") - 1) * m * (1 - m)) / (F.col("all_n") - F.col("all_n2") / F.col("all_n"))
         strength = F.when(spread > 0, F.greatest(m * (1 - m) / spread - 1, F.lit(1.0)))
-        shrunk = F.when(
-            strength.isNull() | (F.col("all_h") < 2), m
-        ).otherwise((F.col(f"k_{r}") + strength * m) / (F.col("n") + strength))
-        rates.append(shrunk.alias(f"rate_{r}"))
-    out = joined.select("host", "n", *rates)
-    return out.withColumn("host_bad", F.greatest(*(F.col(f"rate_{r}") for r in RULES)) > limit)
-
-
-def _judged(counts: DataFrame, broadcast_hosts: int = 100_000) -> DataFrame:
-    """counts with its host's verdict. Only hosts that reject are joined; their number decides how."""
-    bad = materialize(host_verdicts(counts).filter("host_bad").select("host"), "bad-hosts")
-    n_bad = bad.count()
-    if n_bad == 0:
-        return counts.withColumn("host_bad", F.lit(False))
-    bad = bad.select(F.col("host").alias("bad_host"), F.lit(True).alias("host_bad"))
-    bad = F.broadcast(bad) if n_bad <= broadcast_hosts else bad
-    joined = counts.join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left")
-    return joined.withColumn("host_bad", F.coalesce("host_bad", F.lit(False))).drop("bad_host")
-
-
-def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Counts, base rule and verdict of every row of docs."""
+        rates[r] = F.when(strength.isNull() | (F.col("all_h") < 2), m).otherwise(
+            (F.col(f"k_{r}") + strength * m) / (F.col("n") + strength)
+        )
+        if r in SOFT:
+            strict.append((rates[r] >= m).alias(f"strict_{r}"))
+    out = joined.select("host", "n", *(x.alias(f"rate_{r}") for r, x in rates.items()), *strict)
+    return out.withColumn("host_bad", F.greatest(*(F.col(f"rate_{r}") for r in RULES)) > reject)
+
+
+def _judged(counts: DataFrame, broadcast_hosts: int) -> DataFrame:
+    """counts with its host's verdicts, and ``kept``. The number of hosts, counted first, decides how they are joined."""
+    verdicts = host_verdicts(counts).select(F.col("host").alias("_host"), "host_bad", *(f"strict_{r}" for r in SOFT))
+    verdicts = materialize(verdicts, "host-verdicts")
+    few = verdicts.count() <= broadcast_hosts
+    joined = counts.join(F.broadcast(verdicts) if few else verdicts, F.col("host").eqNullSafe(F.col("_host")))
+    soft = reduce(or_, (F.col(f"f_{r}") & F.col(f"strict_{r}") for r in SOFT))
+    base = F.col("f_short") | F.col("f_repeats")
+    return joined.withColumn("base_failed", base).withColumn("kept", ~(base | soft | F.col("host_bad")))
+
+
+def assess(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", broadcast_hosts: int = 100_000
+) -> DataFrame:
+    """Counts, base rule, the host's verdicts and the document's own, of every row of docs."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
     counts = with_counts(d, F.col("text"), F.col("host"))
-    names = ["host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(f"f_{r}" for r in RULES)]
-    counts = materialize(counts.select(F.col("row.doc_id").alias("doc_id"), *names), "quality-counts")
-    base = F.col("f_short") | F.col("f_repeats")
-    return _judged(counts).select(
-        "doc_id",
-        *names[1:6],
-        base.alias("base_failed"),
-        (~base & ~F.col("f_symbols") & ~F.col("host_bad")).alias("kept"),
-        *names[6:],
-        "host_bad",
-    )
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    rules = [f"f_{r}" for r in RULES]
+    counts = counts.select(F.col("row.doc_id").alias("doc_id"), F.col("row.host").alias("host"), *names, *rules)
+    counts = materialize(counts, "quality-counts")
+    strict = [f"strict_{r}" for r in SOFT]
+    return _judged(counts, broadcast_hosts).select("doc_id", *names, "base_failed", "kept", *rules, *strict, "host_bad")
 
 
-def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of docs that pass, with all their columns. Texts never leave their partition."""
+def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source", broadcast_hosts: int = 100_000) -> DataFrame:
+    """The rows of docs that pass, with all their columns. Texts are read and counted once, and written with the counts."""
     counts = with_counts(docs, F.col(text_col), F.col(host_col))
-    slim = materialize(counts.select("host", *(f"f_{r}" for r in RULES)), "quality-failures")
-    bad = materialize(host_verdicts(slim).filter("host_bad").select("host"), "bad-hosts")
-    n_bad = bad.count()
-    passed = counts.filter(~(F.col("f_short") | F.col("f_repeats") | F.col("f_symbols")))
-    if n_bad:
-        bad = F.broadcast(bad) if n_bad <= 100_000 else bad
-        passed = passed.join(bad.select(F.col("host").alias("bad_host")), F.col("host").eqNullSafe(F.col("bad_host")), "left_anti")
-    return passed.select("row.*")
+    counted = materialize(counts.select("row", "host", *(f"f_{r}" for r in RULES)), "quality-counts")
+    return _judged(counted, broadcast_hosts).filter("kept").select("row.*")

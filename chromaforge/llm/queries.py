@@ -88,7 +88,7 @@ FROM n JOIN (SELECT doc_id, min(v) AS component_id FROM reach GROUP BY 1) c ON c
 """
 
 
-def _op10_sql(limit: float = 0.8) -> str:
+def _op10_sql(limit: float = quality.REJECT) -> str:
     rules = quality.RULES
     line = r"regexp_matches(x, '[^\x20\x09-\x0D]')"
     moments = ", ".join(f"sum(k_{r}) AS t_{r}, sum(k_{r} * k_{r} / n) AS s_{r}" for r in rules)
@@ -115,9 +115,11 @@ f AS MATERIALIZED (SELECT *, n_words < 50 AS f_short, 100 * n_repeat_words > 50
    n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) AS f_word_length FROM c),
 h AS MATERIALIZED (SELECT source, CAST(count(*) AS DOUBLE) AS n, {", ".join(f"CAST(sum(f_{r}::INT) AS DOUBLE) AS k_{r}" for r in rules)} FROM f GROUP BY 1),
 m AS (SELECT sum(n) AS all_n, count(*) AS all_h, sum(n * n) AS all_n2, {moments} FROM h),
-v AS (SELECT source, greatest({", ".join(rate(r) for r in rules)}) > {limit} AS host_bad FROM h, m)
+v AS (SELECT source, greatest({", ".join(rate(r) for r in rules)}) > {limit} AS host_bad,
+   {", ".join(f"{rate(r)} >= t_{r} / all_n AS strict_{r}" for r in quality.SOFT)} FROM h, m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f_short OR f_repeats AS base_failed,
-   NOT (f_short OR f_repeats OR f_symbols OR host_bad) AS kept, f_short, f_repeats, f_symbols, f_lines, f_word_length, host_bad
+   NOT (f_short OR f_repeats OR host_bad OR {" OR ".join(f"f_{r} AND strict_{r}" for r in quality.SOFT)}) AS kept,
+   f_short, f_repeats, f_symbols, f_lines, f_word_length, {", ".join(f"strict_{r}" for r in quality.SOFT)}, host_bad
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
 

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from chromaforge.llm import quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, host string, row string"
@@ -60,6 +62,40 @@ def test_bad_hosts_are_rejected_and_small_ones_shrunk(spark):
     assert sorted(x.doc_id for x in kept.collect()) == [i for i in range(160)] + [401]
 
 
+def test_soft_failures_count_where_the_host_is_strict(spark):
+    good = " ".join("w%d" % i for i in range(80))
+    marked = good + " # * $ % & | < > # * $ %"
+    rows = [(i, marked if i % 100 < share else good, "en", host) for host, share, at in (("a", 2, 0), ("b", 40, 100)) for i in range(at, at + 100)]
+    rows += [(900, marked, "en", None)] + [(901 + i, good, "en", None) for i in range(99)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for hosts in (100_000, 0):  # joined by broadcast and by shuffle
+        got = {x.doc_id: x for x in quality.assess(docs, broadcast_hosts=hosts).collect()}
+        assert got[0].f_symbols and not got[0].strict_symbols and got[0].kept
+        assert got[100].f_symbols and got[100].strict_symbols and not got[100].kept
+        assert got[150].kept and got[900].kept and not got[900].strict_symbols
+        kept = sorted(x.doc_id for x in quality.keep(docs, broadcast_hosts=hosts).collect())
+        assert kept == [i for i in sorted(got) if got[i].kept]
+
+
+def test_verdicts_decide_rows_of_documents(spark):
+    """Where hosts differ, some documents that fail a soft rule go and others stay, by their host alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    marked = F.regexp_count("text", F.lit(r"[#*$%&|<>]")) * 40 > F.length("text")
+    docs = docs.withColumn("source", F.when(marked & (F.col("doc_id") % 4 > 0), "marked").otherwise(F.col("source")))
+    soft = quality.assess(docs).filter("(f_symbols or f_lines or f_word_length) and not base_failed and not host_bad")
+    rows = soft.collect()
+    assert {x.kept for x in rows} == {True, False} or not any(x.f_symbols for x in rows)
+    for x in rows:
+        assert x.kept != (x.f_symbols and x.strict_symbols or x.f_lines and x.strict_lines or x.f_word_length and x.strict_word_length)
+
+
+def test_null_ids_and_very_long_texts(spark):
+    long = " ".join("u%d" % (i % 5000) for i in range(400_000))
+    docs = spark.createDataFrame([(None, long, "s"), (None, None, "s"), (1, long, None)], "doc_id long, text string, source string")
+    got = quality.assess(docs).collect()
+    assert sorted(x.n_words for x in got) == [0, 400_000, 400_000] and sum(x.n_repeat_words == 400_000 for x in got) == 2
+
+
 def test_equal_hosts_keep_the_corpus_rate_and_empty_tables_work(spark):
     rows = fixture()
     assert quality.assess(spark.createDataFrame(rows + rows, SCHEMA)).count() == 2 * len(rows)
