@@ -2,15 +2,19 @@
 
 Texts are cut into sentences. Every run of two or more consecutive sentences with ``WORDS`` words is a span, however
 many sentences it takes; so is one sentence of ``ALONE`` words. Spans are hashed (128 bits, over lower-cased words),
-joined over all documents, and each sentence that lies in a span which is not its first occurrence goes. First means
-the smallest doc_id, and in a document the first place. Only the shortest run that begins at a sentence and the
-shortest that ends at one are hashed: inside any repeated run these cover each of its sentences. A document names
-each span once; what recurs inside it is known without the join.
+joined over all rows, and each sentence that lies in a span which is not its first occurrence goes. First means the
+smallest doc_id, then the smaller hash of the row, and in a row the first place. Only the shortest run that begins at
+a sentence and the shortest that ends at one are hashed: inside any repeated run these cover each of its sentences. A
+row names each span once; what recurs inside it is known without the join. Spans are computed once and written;
+counts of a span are combined before they are dealt, and a span that very many rows hold meets its first row in a join
+of two shuffles, which adaptive execution splits.
+
+``WORDS`` keeps clean text: without it, two short sentences that recur by chance are a repeated span.
 
 Defined cases: null stays null and blank texts stay as they are; a text without a repeated span is returned
-unchanged, byte for byte; rows of one id are one document (exact repeats of a row keep their spans alike); rows of
-a null id are only compared with themselves; an empty table gives an empty result; all columns of the input are kept,
-n_chars is brought up to date where it exists.
+unchanged, byte for byte; a row is known by its id and text, so rows of one id with other texts are rows like others,
+and exact repeats of a row keep or lose spans alike; rows without an id are only compared with themselves; an empty
+table gives an empty result; all columns of the input are kept, n_chars is brought up to date where it exists.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import slices
+from .common import discard, materialize
 
 #: Words that a run of sentences, and a single sentence, has at least
 WORDS, ALONE = 15, 25
@@ -114,36 +119,53 @@ def _firsts(row: np.ndarray, at: np.ndarray, h1: np.ndarray, h2: np.ndarray) ->
 
 def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, 1, 2_000_000):
-            row, at, k, h1, h2 = spans(batch.column(1).fill_null("").to_pylist())
+        for batch in slices(whole, 2, 2_000_000):
+            row, at, k, h1, h2 = spans(batch.column(2).fill_null("").to_pylist())
             keep = _firsts(row, at, h1, h2)
             row, at, k, h1, h2 = row[keep], at[keep], k[keep], h1[keep], h2[keep]
+            take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(h1), pa.array(h2), pa.array(at << 8 | k)],
-                ["doc", "h1", "h2", "place"],
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(h1), pa.array(h2), pa.array(at << 8 | k)],
+                ["doc", "row", "h1", "h2", "place"],
             )
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """(doc, place) of spans that an earlier document has; place is first sentence * 256 + sentences."""
+    """(doc, row, place) of spans of docs (doc_id, row, text) that an earlier row has.
+
+    place is first sentence * 256 + sentences.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.filter("doc_id is not null").select("doc_id", "text")
-    rows = rows.mapInArrow(_span_rows, f"doc {kind}, h1 long, h2 long, place long")
-    first = rows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first != last")
-    return rows.join(first.select("h1", "h2", "first"), ["h1", "h2"]).filter("doc != first").select("doc", "place")
+    named = docs.filter("doc_id is not null").select("doc_id", "row", "text")
+    rows = named.mapInArrow(_span_rows, f"doc {kind}, row long, h1 long, h2 long, place long")
+    rows = materialize(rows, "spans")
+    several = rows.groupBy("h1", "h2").agg(
+        F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("row").alias("low"), F.max("row").alias("high")
+    )
+    several = materialize(several.filter("first != last or low != high").select("h1", "h2", "first"), "repeated-spans")
+    held = materialize(rows.join(several, ["h1", "h2"]), "held-spans")
+    # several rows of the smallest id may hold a span: the one with the smallest hash is first
+    same = held.filter("doc = first")
+    lowest = same.groupBy("h1", "h2").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low != high")
+    later = same.join(lowest.select("h1", "h2", "low"), ["h1", "h2"]).filter("row != low")
+    found = held.filter("doc != first").select("doc", "row", "place").unionByName(later.select("doc", "row", "place"))
+    discard(rows)
+    return found
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
     """docs without repeated spans; with report, also how many sentences and words went (n_removed, words_removed)."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    row = F.xxhash64(F.col(id_col), F.col(text_col))
+    slim = docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.col(text_col).alias("text"))
     name = "_places"
     while name in map(str.lower, docs.columns):
         name += "_"
-    places = covered(slim).groupBy("doc").agg(F.collect_list("place").alias(name))  # bounded by a document's length
+    places = covered(slim).groupBy("doc", "row").agg(F.collect_list("place").alias(name))  # bounded by the row's length
     fields = docs.schema.fields
     text_at = docs.columns.index(text_col)
-    packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"))
-    joined = packed.join(places, F.col("_id") == F.col("doc"), "left").select("_row.*", name)
+    packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), row.alias("_hash"))
+    same = (F.col("_hash") == F.col("row")) & (F.col("_id") == F.col("doc"))
+    joined = packed.join(places, same, "left").select("_row.*", name)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -107,3 +107,24 @@ def test_passages_of_short_lines_and_of_two_sentences(spark):
     assert verse not in got[1] and words not in got[1] and two not in got[1] and tail not in got[1] and less in got[1]
     assert got[4] == got[5] == rows[4][1]
     assert {i: t for i, t in got.items() if i < 4} == plain(rows[:4])
+
+
+def test_rows_that_share_an_id_are_rows_of_their_own(spark):
+    passage = "The quick brown fox jumps over the lazy dog today. It then rests beside the quiet river for hours. Nobody saw it there."
+    other = "Wholly unique alpha words stand here alone now. Wholly unique beta words stand here too. Gamma ends it. Delta."
+    rows = [(1, passage), (2, passage), (2, other), (None, passage), (None, other + " More."), (3, "Own words only.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((x.doc_id or 9, x.text) for x in substring_dup.remove(docs).collect()))
+    assert got == sorted([(1, passage), (2, ""), (2, other), (9, passage), (9, other + " More."), (3, "Own words only.")])
+    # two rows of the smallest id: one of them is first, whatever the order
+    twice = [(1, passage + " End one."), (1, passage + " End two."), (2, passage)]
+    for rows in (twice, twice[::-1]):
+        out = [x.text for x in substring_dup.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+        assert sum(passage in t for t in out) == 1 and sorted(map(len, out))[0] == 0
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"Sentence number {i} has its own seven words." for i in range(30_000))
+    rows = [(1, long), (2, "Before it all. " + long)]
+    got = {x.doc_id: x.text for x in substring_dup.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: long, 2: "Before it all. "}
