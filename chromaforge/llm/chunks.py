@@ -1,8 +1,8 @@
 """Exact token ids of many texts, each distinct chunk encoded once.
 
 A tokenizer whose merges never cross certain places gives the same ids for a text as for its chunks one after the
-other. Natural text repeats its words, so a worker keeps the ids of chunks it has seen (a bounded number) and
-only looks them up after that.
+other. Natural text repeats its words, so a worker keeps the ids of chunks it has seen and only looks them up after
+that. What it keeps is bounded in number and in bytes (before a batch of texts; the batch itself is bounded too).
 """
 
 from __future__ import annotations
@@ -59,9 +59,10 @@ class ChunkEncoder:
         pattern: str,
         encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
         most: int = 600_000,
+        most_bytes: int = 256 << 20,
         specials: Sequence[str] = (),
     ):
-        self._find, self._encode, self._most = re.compile(pattern).findall, encode, most
+        self._find, self._encode, self._most, self._most_bytes = re.compile(pattern).findall, encode, most, most_bytes
         #: Strings that the tokenizer cuts out before its own pattern; what is left between them stands alone.
         self._specials = tuple(specials)
         self._special = re.compile("(" + "|".join(map(re.escape, self._specials)) + ")") if specials else None
@@ -70,12 +71,13 @@ class ChunkEncoder:
 
     def _forget(self) -> None:
         self._numbers = _Numbers()
+        self._bytes = 0  # of what is kept, roughly
         self._flat = np.empty(0, np.int32)
         self._starts, self._lengths = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def ids(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, number of ids of each text)."""
-        if len(self._numbers) > self._most:
+        if len(self._numbers) > self._most or self._bytes > self._most_bytes:
             self._forget()
         look = self._numbers.__getitem__
         codes, n_chunks = [], []
@@ -89,6 +91,7 @@ class ChunkEncoder:
             codes += got
         if self._numbers.new:
             flat, lengths = self._encode(self._numbers.new)
+            self._bytes += 180 * len(lengths) + 2 * sum(map(len, self._numbers.new)) + 4 * len(flat)
             self._numbers.new = []
             self._starts = np.concatenate([self._starts, len(self._flat) + np.cumsum(lengths) - lengths])
             self._lengths = np.concatenate([self._lengths, lengths])

@@ -3,14 +3,17 @@
 Words (runs that no vocabulary piece crosses) lie one after the other in flat numpy arrays. In each round every
 word finds its best adjacent pair (smallest rank, the leftmost of equals) by one segmented minimum, all words merge
 at once, the arrays are compacted, and words without a pair leave. Characters outside the vocabulary become bytes.
+A word of more than ``LONG`` symbols would take as many rounds over itself; its merges are taken from a heap instead,
+in the same order, which is n log n.
 
 Defined cases: null is the empty text, which has no ids and decodes to the empty text; repeated rows are encoded
-alike; an empty table gives an empty result; extra columns are ignored; a very long word only takes more rounds.
+alike; an empty table gives an empty result; extra columns and null ids change nothing; words may have any length.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +25,7 @@ from .chunks import ChunkEncoder, ragged, shared_encoder, slices
 
 MARK = "▁"
 NONE = np.int64(1 << 40)
+LONG = 512  # symbols of a word that still goes by rounds
 
 
 class PieceModel:
@@ -71,6 +75,7 @@ class PieceModel:
         self.text_starts = np.cumsum(self.text_lengths) - self.text_lengths
         self.text_bytes = np.frombuffer(b"".join(text), np.uint8)
         self.decimal = [str(i) for i in range(self.size)]
+        self._pair_of: dict[int, tuple[int, int]] | None = None  # made when the first long word comes
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, merged symbol) of adjacent symbols; rank NONE where they don't merge."""
@@ -94,6 +99,15 @@ class PieceModel:
         done_sym, done_word = [], []
         rank, to = self._pairs(np.minimum(sym, (1 << 21) - 1), np.minimum(np.append(sym[1:], 0), (1 << 21) - 1))
         rank[np.append(word[1:] != word[:-1], True)[: len(rank)]] = NONE
+        is_long = np.repeat(lengths > LONG, lengths)
+        if is_long.any():
+            ends = np.cumsum(lengths)
+            for w in np.flatnonzero(lengths > LONG).tolist():
+                at = slice(int(ends[w] - lengths[w]), int(ends[w]))
+                merged = self._merge_long(sym[at], rank[at])
+                done_sym.append(merged)
+                done_word.append(np.full(len(merged), w))
+            sym, word, rank, to = sym[~is_long], word[~is_long], rank[~is_long], to[~is_long]
         while len(sym):
             heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             counts = np.diff(np.append(heads, len(sym)))
@@ -128,6 +142,39 @@ class PieceModel:
         sym, word = sym[order], word[order]
         return self._to_bytes(sym, word, len(words))
 
+    def _merge_long(self, symbols: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        """Symbols of one long word after all merges: always the pair of smallest rank, the leftmost of equals."""
+        if self._pair_of is None:
+            pairs = zip(self.ranks[:-1].tolist(), self.merged[:-1].tolist(), strict=True)
+            self._pair_of = dict(zip(self.keys.tolist(), pairs, strict=True))
+        pair_of, n = self._pair_of.get, len(symbols)
+        sym = symbols.tolist()
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [r << 32 | i for i, r in enumerate(ranks.tolist()) if r < NONE]
+        heapq.heapify(heap)
+
+        def pair(i: int) -> tuple[int, int] | None:
+            j = after[i]
+            return pair_of(sym[i] << 21 | sym[j]) if j < n and sym[i] < 1 << 21 and sym[j] < 1 << 21 else None
+
+        while heap:
+            top = heapq.heappop(heap)
+            i = top & 0xFFFFFFFF
+            if sym[i] < 0:  # merged into its left neighbour
+                continue
+            now = pair(i)
+            if now is None or now[0] != top >> 32:  # another pair stands here by now, with an entry of its own
+                continue
+            j = after[i]
+            sym[i], sym[j] = now[1], -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and (new := pair(k)):
+                    heapq.heappush(heap, new[0] << 32 | k)
+        return np.array([x for x in sym if x >= 0], np.int64)
+
     def _to_bytes(self, sym: np.ndarray, word: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
         """Replace symbols that are no pieces by the ids of their bytes."""
         odd = np.flatnonzero(sym >= self.size)
