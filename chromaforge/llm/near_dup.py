@@ -7,15 +7,22 @@ class first, and only classes go on. Bands of registers deal classes into bucket
 jointly by likelihood from their registers, and what is near the limit or over it is verified on the full sets.
 
 Large buckets are never turned into rows of all their pairs. Every member is compared with its bucket's first one;
-what is left counts only where it lies in several components. Small buckets are then compared pair by pair; large ones
-are gathered into families, and blocks of bounded size of a family meet in tasks that compare whole sets at once and
-return only links that join components. So every pair that shares a bucket and could join two components is compared.
+what is left counts only where it lies in several components. Small buckets are then compared pair by pair. Members of
+large ones are compared with one pivot of their bucket after the other, and components drawn together in between, as
+long as that finds links: groups of near copies end there. What is open then is gathered into families, and blocks of
+bounded size that share a bucket meet in tasks that compare whole sets at once and return only links that join
+components. So every pair that shares a bucket and could join two components is compared.
+
+Buckets with more than a few thousandths of all rows are few, whatever the input; they are looked up by broadcast, so
+that no task gets a whole one.
 
 With 40 bands of 6 registers a pair at a similarity of 0.8 misses all buckets with a chance of 5 in a million.
 
 Defined cases: null and blank texts have an empty set and are linked with nothing; texts shorter than a shingle are
-one shingle; rows of one id are one document; a null id is linked with nothing and kept; an empty table gives an
-empty result; extra columns are ignored by ``components`` and kept by ``keep``.
+one shingle; each row is judged by its own text, so rows of one id with differing texts are documents of their own,
+whose components carry the smallest id of each; a null id is linked with nothing and kept; ``keep`` returns one row of
+an id's rows with equal sets; an empty table gives an empty result; extra columns are ignored by ``components`` and
+kept by ``keep``; texts may have any length.
 """
 
 from __future__ import annotations
@@ -29,9 +36,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .chunks import slices
-from .common import materialize
+from .common import discard, materialize
 
 BANDS, ROWS = 40, 6
 #: SetSketch parameters: base of the truncation, rate, and the largest register value.
@@ -126,24 +134,32 @@ def _band_hashes(registers: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _set_key(members: np.ndarray) -> bytes:
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+
+
+def _rep(key: bytes) -> int:
+    """Number of the class of equal sets with this key."""
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
 def _sketch_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1, 2_000_000):
-                flat, counts = shingle_sets(batch.column(1).fill_null("").to_pylist(), size)
+            for batch in slices(whole, 2, 2_000_000):
+                flat, counts = shingle_sets(batch.column(2).fill_null("").to_pylist(), size)
                 full = np.flatnonzero(counts)
                 ends = np.cumsum(counts)
-                keys = [
-                    hashlib.blake2b(flat[e - n : e].tobytes(), digest_size=16).digest() if n else None
-                    for e, n in zip(ends.tolist(), counts.tolist(), strict=True)
-                ]
+                keys = [_set_key(flat[e - n : e]) if n else None for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
                 registers: list[bytes | None] = [None] * len(counts)
                 if len(full):
                     for i, row in zip(full.tolist(), sketches(flat, counts[full]), strict=True):
                         registers[i] = row.tobytes()
+                reps = pa.array([None if k is None else _rep(k) for k in keys], pa.int64())
+                columns = [pa.array(counts), pa.array(keys, pa.binary()), reps, pa.array(registers, pa.binary())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(counts), pa.array(keys, pa.binary()), pa.array(registers, pa.binary())],
-                    ["doc_id", "n_shingles", "key", "registers"],
+                    [batch.column(0), batch.column(1), *columns],
+                    ["doc_id", "text_hash", "n_shingles", "key", "rep", "registers"],
                 )
 
     return run
@@ -182,8 +198,9 @@ def _set_rows(size: int):
             for batch in slices(whole, 1, 2_000_000):
                 flat, counts = shingle_sets(batch.column(1).fill_null("").to_pylist(), size)
                 ends = np.cumsum(counts).tolist()
-                sets = [flat[e - n : e].tobytes() for e, n in zip(ends, counts.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "members"])
+                sets = [flat[e - n : e] for e, n in zip(ends, counts.tolist(), strict=True)]
+                reps = pa.array([_rep(_set_key(x)) for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([reps, pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "members"])
 
     return run
 
@@ -222,41 +239,56 @@ def connected(edges: DataFrame) -> DataFrame:
         else:
             after = step.select(F.col("v").alias("comp"), F.col("comp").alias("then"))
             chained = labels.join(after, "comp", "left").select("v", F.coalesce("then", "comp").alias("comp"))
-            labels = materialize(chained, "labels")
+            old, labels = labels, materialize(chained, "labels")
+            discard(old)
         moved = edges.join(step.select(F.col("v").alias("a"), F.col("comp").alias("x")), "a")
         moved = moved.join(step.select(F.col("v").alias("b"), F.col("comp").alias("y")), "b").filter("x != y")
-        edges = materialize(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        drawn = moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        old, edges = edges, materialize(drawn, "edges")
+        discard(old, near)
         if not edges.limit(1).count():
+            discard(edges)
             return labels
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame, size: int, few: int) -> DataFrame:
-    """(rep, members) of the documents in ids (doc_id)."""
-    ids = materialize(ids.distinct(), "set-ids")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.join(F.broadcast(ids) if ids.count() <= few else ids, "doc_id", "left_semi")
-    sets = texts.select("doc_id", "text").mapInArrow(_set_rows(size), f"rep {kind}, members binary")
-    return materialize(sets.dropDuplicates(["rep"]), "sets")
+def _sets_of(reps: DataFrame, classes: DataFrame, docs: DataFrame, size: int, few: int) -> DataFrame:
+    """(rep, members) of the classes in reps (rep), from the text of each one's first document."""
+    ids = materialize(classes.select("rep", "doc_id").join(reps.distinct(), "rep"), "set-ids")
+    is_few = ids.count() <= few and _narrow(docs)
+    wanted = ids.select("doc_id").distinct()
+    texts = docs.join(F.broadcast(wanted) if is_few else wanted, "doc_id", "left_semi")
+    sets = texts.select("doc_id", "text").mapInArrow(_set_rows(size), "rep long, members binary")
+    known = ids.select("rep")  # an id may have other texts, whose sets nobody asked for
+    sets = sets.join(F.broadcast(known) if is_few else known, "rep", "left_semi")
+    made = materialize(sets.dropDuplicates(["rep"]), "sets")
+    discard(ids)
+    return made
+
+
+def _narrow(docs: DataFrame) -> bool:
+    """Whether ids are numbers, so that a number of them bounds their size."""
+    return isinstance(docs.schema["doc_id"].dataType, T.NumericType)
 
 
 def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, few: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets are similar enough; classes has rep, n, registers."""
+    """Those of pairs (a, b) whose sets are similar enough; classes has rep, doc_id, n, registers."""
     side = lambda x: classes.select(
         F.col("rep").alias(x), F.col("registers").alias(f"r{x}"), F.col("n").alias(f"n{x}")
     )
     with_registers = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb")
     # five standard deviations below the limit
     slack = 5 * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5
-    kind = pairs.schema["a"].dataType.simpleString()
-    likely = with_registers.mapInArrow(_estimate_filter(percent / 100 - slack), f"a {kind}, b {kind}")
+    likely = with_registers.mapInArrow(_estimate_filter(percent / 100 - slack), "a long, b long")
     likely = materialize(likely, "likely-pairs")
-    sets = _sets_of(likely.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, size, few)
+    sets = _sets_of(likely.select(F.explode(F.array("a", "b")).alias("rep")), classes, docs, size, few)
     full = (
         likely.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("ma")), "a")
         .join(sets.select(F.col("rep").alias("b"), F.col("members").alias("mb")), "b")
         .select("a", "b", "ma", "mb")
     )
-    return materialize(full.mapInArrow(_verify(percent), f"a {kind}, b {kind}"), "links")
+    links = materialize(full.mapInArrow(_verify(percent), "a long, b long"), "links")
+    discard(likely, sets)
+    return links
 
 
 def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -305,14 +337,13 @@ def _block_links(percent: int):
     return run
 
 
-def _families(crowded: DataFrame, docs: DataFrame, size: int, percent: int, few: int, block: int = 192) -> DataFrame:
+def _families(crowded: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, few: int, block: int = 192) -> DataFrame:
     """Links between components among the members of crowded buckets (bucket, rep, comp).
 
     Members of buckets that share members form a family. A family is cut into blocks of bounded size: of one
-    component where that is large, of several else. Every two blocks that can hold two components meet in one task,
-    which compares all their sets and returns no more links than it has rows.
+    component where that is large, of several else. Every two blocks that have members in one bucket and can hold two
+    components meet in one task, which compares all their sets and returns no more links than it has rows.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
     star = crowded.groupBy("bucket").agg(F.min("rep").alias("a"))
     family = connected(crowded.select("bucket", F.col("rep").alias("b")).join(star, "bucket").filter("a != b").select("a", "b"))
     members = crowded.select("rep", "comp").distinct().join(family.select(F.col("v").alias("rep"), F.col("comp").alias("family")), "rep")
@@ -327,20 +358,34 @@ def _families(crowded: DataFrame, docs: DataFrame, size: int, percent: int, few:
         "rep",
         "comp",
         F.when(large, F.struct(F.col("comp").alias("of"), part("rep", F.col("n_comp")).alias("part")))
-        .otherwise(F.struct(F.lit(None).cast(kind).alias("of"), part("comp", F.col("n_rest")).alias("part")))
+        .otherwise(F.struct(F.lit(None).cast("long").alias("of"), part("comp", F.col("n_rest")).alias("part")))
         .alias("block"),
     )
     placed = materialize(placed, "blocks")
-    blocks = placed.select("family", "block").distinct()
-    x, y = blocks.withColumnRenamed("block", "bx"), blocks.withColumnRenamed("block", "by")
-    meets = x.join(y, "family").filter("bx <= by and not (bx.of is not null and bx.of <=> by.of)")
+    there = crowded.select("bucket", "rep").join(placed.select("rep", "family", "block"), "rep")
+    there = materialize(there.select("bucket", "family", "block").distinct(), "bucket-blocks")
+    x, y = there.withColumnRenamed("block", "bx"), there.select("bucket", F.col("block").alias("by"))
+    meets = x.join(y, "bucket").filter("bx <= by and not (bx.of is not null and bx.of <=> by.of)")
+    meets = meets.select("family", "bx", "by").distinct()
     meets = materialize(meets.withColumn("meet", F.xxhash64("family", "bx", "by")), "block-pairs")
     sides = meets.select("meet", "family", F.col("bx").alias("block")).unionByName(
         meets.filter("not (bx <=> by)").select("meet", "family", F.col("by").alias("block"))
     )
-    sets = _sets_of(placed.select(F.col("rep").alias("doc_id")), docs, size, few)
+    sets = _sets_of(placed.select("rep"), classes, docs, size, few)
     rows = placed.join(sets, "rep").join(sides, ["family", "block"]).select("meet", "rep", "comp", "members")
-    return materialize(rows.groupBy("meet").applyInPandas(_block_links(percent), f"a {kind}, b {kind}"), "links")
+    links = materialize(rows.groupBy("meet").applyInPandas(_block_links(percent), "a long, b long"), "links")
+    discard(members, placed, there, meets, sets)
+    return links
+
+
+def _by_bucket(rows: DataFrame, buckets: DataFrame, heavy: int) -> DataFrame:
+    """rows joined with buckets (one row each, n the number of its rows).
+
+    Buckets of more than heavy rows, at most the number of all rows by heavy, are broadcast.
+    """
+    large, small = F.broadcast(buckets.filter(F.col("n") > heavy)), buckets.filter(F.col("n") <= heavy)
+    others = rows.join(large.select("bucket"), "bucket", "left_anti")
+    return rows.join(large, "bucket").unionByName(others.join(small, "bucket"))
 
 
 def _links(classes: DataFrame, docs: DataFrame, size: int, percent: int, few: int, small: int = 32) -> DataFrame | None:
@@ -348,12 +393,14 @@ def _links(classes: DataFrame, docs: DataFrame, size: int, percent: int, few: in
 
     First every member of a bucket is compared with the bucket's first one. What is left of a bucket then matters
     only if it lies in several components: buckets of at most ``small`` members are compared pair by pair, larger
-    ones in blocks.
+    ones with pivots and then in blocks.
     """
-    kind = classes.schema["rep"].dataType.simpleString()
-    bands = classes.select("rep", "registers").mapInArrow(_bands, f"rep {kind}, bucket long")
+    heavy = max(256, classes.count() * BANDS // 4096)  # so at most 4,096 buckets are heavier
+    bands = classes.select("rep", "registers").mapInArrow(_bands, "rep long, bucket long")
     firsts = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first")).filter("n > 1")
-    left = materialize(bands.join(firsts.select("bucket", "first"), "bucket").filter("rep > first"), "buckets")
+    firsts = materialize(firsts, "first-members")
+    left = materialize(_by_bucket(bands, firsts, heavy).filter("rep > first").select("bucket", "rep", "first"), "buckets")
+    discard(firsts)
     pairs = materialize(left.select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     if not pairs.limit(1).count():
         return None
@@ -367,10 +414,14 @@ def _links(classes: DataFrame, docs: DataFrame, size: int, percent: int, few: in
             members = members.select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
         else:
             members = members.select("bucket", "rep", F.col("rep").alias("comp"))
+        members = materialize(members, "members")
         several = members.groupBy("bucket").agg(
             F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")
         )
-        return materialize(members.join(several.filter("x != y").select("bucket", "n"), "bucket"), "open-buckets")
+        several = materialize(several.filter("x != y").select("bucket", "n"), "several")
+        found = materialize(_by_bucket(members, several, heavy), "open-buckets")
+        discard(members, several)
+        return found
 
     left = still_open(left)
     few_members = left.filter(F.col("n") <= small)
@@ -380,11 +431,58 @@ def _links(classes: DataFrame, docs: DataFrame, size: int, percent: int, few: in
     if more.limit(1).count():
         edges = edges.unionByName(_compare(more, classes, docs, size, percent, few))
     crowded = still_open(left.filter(F.col("n") > small))
+    for turn in range(4):
+        if not crowded.limit(1).count():
+            break
+        # a member of each bucket by the turn's hash: it meets all members of other components
+        order = F.xxhash64("rep", F.lit(turn))
+        pivots = crowded.groupBy("bucket", "n").agg(F.min(F.struct(order.alias("h"), "rep", "comp")).alias("p"))
+        pivots = materialize(pivots.select("bucket", "n", F.col("p.rep").alias("a"), F.col("p.comp").alias("of")), "pivots")
+        meet = _by_bucket(crowded.drop("n"), pivots, heavy).filter("comp != of")
+        meet = meet.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+        found = _compare(materialize(meet, "pairs"), classes, docs, size, percent, few)
+        if not found.limit(1).count():
+            break
+        edges = edges.unionByName(found)
+        crowded = still_open(crowded)
     if crowded.limit(1).count():
-        edges = edges.unionByName(_families(crowded, docs, size, percent, few))
+        edges = edges.unionByName(_families(crowded, classes, docs, size, percent, few))
     return connected(edges) if edges.limit(1).count() else None
 
 
+def _judged(docs: DataFrame, size: int, percent: int, few: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and kept of docs (doc_id, text)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    made = f"doc_id {kind}, text_hash long, n_shingles long, key binary, rep long, registers binary"
+    rows = materialize(hashed.mapInArrow(_sketch_rows(size), made), "sketches")
+    filled = rows.filter("key is not null and doc_id is not null")
+    classes = filled.groupBy("key", "rep").agg(
+        F.min(F.struct("doc_id", "n_shingles", "registers")).alias("c")  # equal sets have equal registers
+    )
+    classes = classes.select(
+        "key",
+        "rep",
+        F.col("c.doc_id").alias("doc_id"),
+        F.col("c.n_shingles").alias("n"),
+        F.col("c.registers").alias("registers"),
+    )
+    classes = materialize(classes, "classes")
+    labels = _links(classes.drop("key"), docs, size, percent, few)
+    if labels is not None:
+        linked = classes.select("rep", "doc_id").join(labels.withColumnRenamed("v", "rep"), "rep")
+        smallest = linked.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+        placed = linked.join(smallest, "comp").select("rep", "component_id")
+        placed = classes.select("key", "rep", "doc_id").join(placed, "rep", "left")
+        placed = placed.select("key", F.coalesce("component_id", "doc_id").alias("component_id"))
+    else:
+        placed = classes.select("key", F.col("doc_id").alias("component_id"))
+    slim = ["doc_id", "text_hash", "n_shingles"]
+    alone = rows.filter("key is null or doc_id is null").select(*slim, F.col("doc_id").alias("component_id"))
+    out = filled.select(*slim, "key").join(placed, "key").drop("key").unionByName(alone)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def components(
     docs: DataFrame,
     size: int = 5,
@@ -399,44 +497,30 @@ def components(
     largest number of ids that is broadcast; more are joined by a shuffle.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = d.schema["doc_id"].dataType.simpleString()
-    rows = materialize(
-        d.mapInArrow(_sketch_rows(size), f"doc_id {kind}, n_shingles long, key binary, registers binary"), "sketches"
-    )
-    filled = rows.filter("key is not null and doc_id is not null")
-    classes = filled.groupBy("key").agg(
-        F.min(F.struct("doc_id", "n_shingles", "registers")).alias("c")  # equal sets have equal registers
-    )
-    classes = classes.select(
-        "key", F.col("c.doc_id").alias("rep"), F.col("c.n_shingles").alias("n"), F.col("c.registers").alias("registers")
-    )
-    classes = materialize(classes, "classes")
-    labels = _links(classes, d, size, percent, few)
-    placed = classes.select("key", "rep")
-    if labels is not None:
-        placed = placed.join(labels.withColumnRenamed("v", "rep"), "rep", "left")
-        placed = placed.select("key", F.coalesce("comp", "rep").alias("component_id"))
-    else:
-        placed = placed.withColumnRenamed("rep", "component_id")
-    out = rows.select("doc_id", "n_shingles", "key").join(placed, "key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-    )
+    return _judged(d, size, percent, few).drop("text_hash")
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", few: int = 1_000_000, **options) -> DataFrame:
+def keep(
+    docs: DataFrame,
+    size: int = 5,
+    percent: int = 80,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    few: int = 1_000_000,
+) -> DataFrame:
     """One row of each group of near-duplicates, with all its columns."""
-    judged = materialize(components(docs, id_col=id_col, few=few, **options), "components")
-    dropped = materialize(judged.filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    gone = F.broadcast(dropped) if dropped.count() <= few else dropped
-    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"))
-    left = packed.join(gone, F.col("_id") == F.col("_dropped"), "left_anti")
-    if judged.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count():
-        first = Window.partitionBy("_id").orderBy(F.xxhash64("row"))
-        ranked = left.withColumn("_n", F.row_number().over(first))
-        left = ranked.filter("_n = 1 or _id is null")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    judged = materialize(_judged(d, size, percent, few), "components").filter("doc_id is not null")
+    name = ["doc_id", "text_hash"]
+    # several rows of the smallest id may be in its component; those without a word are no part of it
+    first = judged.filter("kept").groupBy("doc_id", (F.col("n_shingles") == 0).alias("blank")).agg(F.min("text_hash").alias("text_hash"))
+    dropped = judged.select(*name).distinct().join(first.select(*name), name, "left_anti")
+    dropped = materialize(dropped.select(F.col("doc_id").alias("_dropped"), F.col("text_hash").alias("_text")), "dropped")
+    gone = F.broadcast(dropped) if dropped.count() <= few and _narrow(d) else dropped
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_hash"))
+    left = packed.join(gone, (F.col("_id") == F.col("_dropped")) & (F.col("_hash") == F.col("_text")), "left_anti")
+    if judged.groupBy(*name).count().filter("count > 1").limit(1).count():
+        best = Window.partitionBy("_id", "_hash").orderBy(F.xxhash64("row"))
+        ranked = left.filter("_id is not null").withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
+        left = ranked.unionByName(left.filter("_id is null"))
     return left.select("row.*")

@@ -82,6 +82,24 @@ def test_keep_leaves_one_row_a_group_and_all_columns(spark):
     assert kept.filter("doc_id is null").count() == 1
 
 
+def test_rows_of_one_id_with_other_texts_are_documents_of_their_own(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(2, a), (3, b), (5, a), (5, b), (5, "wholly other words of five"), (7, a), (7, a), (8, ""), (8, " "), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id or 99, x.component_id or 99) for x in near_dup.components(docs, size=4).collect())
+    assert got == [(2, 2), (3, 3), (5, 2), (5, 3), (5, 5), (7, 2), (7, 2), (8, 8), (8, 8), (99, 99)]
+    for few in (1_000_000, 0):  # by broadcast and by shuffle
+        kept = sorted((x.doc_id or 99, x.text.strip()) for x in near_dup.keep(docs, size=4, few=few).collect())
+        assert kept == [(2, a), (3, b), (5, "wholly other words of five"), (8, ""), (99, a)]
+
+
+def test_very_long_texts(spark):
+    words = ["w%d" % (i * 7919 % 200_003) for i in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(["new", *words])), (3, " ".join(words[100_000:]))]
+    got = near_dup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in got} == {1: 1, 2: 1, 3: 3}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert near_dup.components(docs).count() == 0
