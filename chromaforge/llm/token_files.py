@@ -5,11 +5,14 @@ two fixed-size-list columns, ``ids`` (uint16 for vocabularies that it holds, els
 a token stands there, or filling at the shard's end), and a second Arrow file with each document's id, start and
 length in the shard. A memory-mapped shard gives any sequence and its mask as views without a copy.
 
-Shards lie in the folder that driver and executors share. A task that is run again writes a new file under a new
-name; only files named by the finished job count.
+The number of shards follows the size of the texts, so a shard holds about as much on any table: what is shuffled is
+texts, which are no larger than their ids, and each is encoded once, by the task that writes its shard. Shards lie in
+the folder that driver and executors share. A task that is run again writes a new file under a new name; only files
+named by the finished job count.
 
 Defined cases: null is the empty text, whose only id is the end id; rows with one id follow each other in the order
-of their text, null ids come first; an empty table gives no documents; extra columns are ignored.
+of a hash of their text (so very many of them, or of rows without an id, are still several shards), null ids come
+first; exact repeats of a row are rows like others; an empty table gives no documents; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -120,17 +123,23 @@ def write(
     tokenizer: str,
     end_id: int = 2,
     length: int = 1024,
-    shards: int | None = None,
+    shard_bytes: int = 256 << 20,
+    least_bytes: int = 8 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
     folder: str | None = None,
 ) -> DataFrame:
-    """Write docs' ids; a row for each shard: shard, uri, n_docs, n_tokens and the start of its first token."""
+    """Write docs' ids; a row for each shard: shard, uri, n_docs, n_tokens and the start of its first token.
+
+    A shard takes about shard_bytes of text; on small tables less, down to least_bytes, so that all cores have one.
+    """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(-(-size // shard_bytes), min(4 * spark.sparkContext.defaultParallelism, size // least_bytes), 1)
+    ordered = d.repartitionByRange(n, "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash").drop("text_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

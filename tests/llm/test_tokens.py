@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chromaforge.llm import chunks, packing, pieces, token_files
@@ -49,6 +50,27 @@ def test_pieces_are_those_of_the_library():
     assert [model.decode(np.array(w, np.int64)) for w in want] == [library.decode(w) for w in want]
 
 
+def test_long_words_are_merged_in_the_library_s_order():
+    """Beyond LONG symbols merges come from a heap, below it from rounds; a million letters take seconds."""
+    model = pieces.PieceModel(PIECES)
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    r = random.Random(9)
+    word = lambda n, of: "".join(r.choice(of) for _ in range(n))
+    x = [word(n, of) for of in ("ab", "aeinrst", "thequickbrownfox日é", "a") for n in (500, 511, 512, 513, 3000)]
+    x += ["the" * 400, word(1_000_000, "etaoinshrdlucmfwyp"), "short " + word(900, "estn") + " words"]
+    flat, counts = model.encoder().ids([" " + t for t in x])
+    ends = np.cumsum(counts)
+    assert [flat[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == library.encode(x)
+
+
+def test_kept_chunks_are_bounded_by_bytes():
+    encoder = chunks.library_encoder(WORDS, chunks.ASCII_WORDS)
+    encoder._most_bytes = 100_000
+    for i in range(5):
+        encoder.ids(["x%d" % i * 60_000])
+        assert encoder._bytes < 2_000_000 and len(encoder._numbers) <= 2
+
+
 def rows():
     x = texts(120)
     r = random.Random(6)
@@ -122,7 +144,7 @@ def test_token_files_round_trip(spark, tmp_path):
     data = rows()
     library = Tokenizer.from_file(WORDS)
     docs = spark.createDataFrame(data, SCHEMA)
-    shards = token_files.write(docs, WORDS, length=64, shards=3, folder=f"file://{tmp_path}/out")
+    shards = token_files.write(docs, WORDS, length=64, shard_bytes=5_000, least_bytes=5_000, folder=f"file://{tmp_path}/out")
     got = {x.doc_id: x for x in token_files.read(shards).collect()}
     at, everything = 0, []
     for doc_id, text in sorted((r[0], r[1] or "") for r in data):
@@ -130,6 +152,10 @@ def test_token_files_round_trip(spark, tmp_path):
         assert (got[doc_id].start, got[doc_id].n_tokens, got[doc_id].ids_crc32) == (at, len(ids), crc(ids))
         at += len(ids)
         everything += ids
+    assert shards.count() > 2
+    twice = token_files.write(docs.unionByName(docs).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))), WORDS)
+    again = token_files.read(twice).collect()
+    assert len(again) == 2 * len(data) + 1 and {x.start for x in again if x.doc_id is None} == {0}
     read = []
     for row in sorted(shards.collect(), key=lambda r: r.shard):
         shard = token_files.Shard(row.uri)
