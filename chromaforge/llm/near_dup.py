@@ -8,10 +8,10 @@ jointly by likelihood from their registers, and what is near the limit or over i
 
 Large buckets are never turned into rows of all their pairs. Every member is compared with its bucket's first one;
 what is left counts only where it lies in several components. Small buckets are then compared pair by pair. Members of
-large ones are compared with one pivot of their bucket after the other, and components drawn together in between, as
-long as that finds links: groups of near copies end there. What is open then is gathered into families, and blocks of
-bounded size that share a bucket meet in tasks that compare whole sets at once and return only links that join
-components. So every pair that shares a bucket and could join two components is compared.
+large ones are compared with a second pivot of their bucket, and components drawn together: most groups of near copies
+end there. What is open then is gathered into families, and blocks of bounded size of a family meet in tasks that
+compare whole sets at once and return only links that join components. So every pair that shares a bucket and could
+join two components is compared.
 
 Buckets with more than a few thousandths of all rows are few, whatever the input; they are looked up by broadcast, so
 that no task gets a whole one.
@@ -341,8 +341,8 @@ def _families(crowded: DataFrame, classes: DataFrame, docs: DataFrame, size: int
     """Links between components among the members of crowded buckets (bucket, rep, comp).
 
     Members of buckets that share members form a family. A family is cut into blocks of bounded size: of one
-    component where that is large, of several else. Every two blocks that have members in one bucket and can hold two
-    components meet in one task, which compares all their sets and returns no more links than it has rows.
+    component where that is large, of several else. Every two blocks that can hold two components meet in one task,
+    which compares all their sets and returns no more links than it has rows.
     """
     star = crowded.groupBy("bucket").agg(F.min("rep").alias("a"))
     family = connected(crowded.select("bucket", F.col("rep").alias("b")).join(star, "bucket").filter("a != b").select("a", "b"))
@@ -362,11 +362,9 @@ def _families(crowded: DataFrame, classes: DataFrame, docs: DataFrame, size: int
         .alias("block"),
     )
     placed = materialize(placed, "blocks")
-    there = crowded.select("bucket", "rep").join(placed.select("rep", "family", "block"), "rep")
-    there = materialize(there.select("bucket", "family", "block").distinct(), "bucket-blocks")
-    x, y = there.withColumnRenamed("block", "bx"), there.select("bucket", F.col("block").alias("by"))
-    meets = x.join(y, "bucket").filter("bx <= by and not (bx.of is not null and bx.of <=> by.of)")
-    meets = meets.select("family", "bx", "by").distinct()
+    blocks = placed.select("family", "block").distinct()
+    x, y = blocks.withColumnRenamed("block", "bx"), blocks.withColumnRenamed("block", "by")
+    meets = x.join(y, "family").filter("bx <= by and not (bx.of is not null and bx.of <=> by.of)")
     meets = materialize(meets.withColumn("meet", F.xxhash64("family", "bx", "by")), "block-pairs")
     sides = meets.select("meet", "family", F.col("bx").alias("block")).unionByName(
         meets.filter("not (bx <=> by)").select("meet", "family", F.col("by").alias("block"))
@@ -374,7 +372,7 @@ def _families(crowded: DataFrame, classes: DataFrame, docs: DataFrame, size: int
     sets = _sets_of(placed.select("rep"), classes, docs, size, few)
     rows = placed.join(sets, "rep").join(sides, ["family", "block"]).select("meet", "rep", "comp", "members")
     links = materialize(rows.groupBy("meet").applyInPandas(_block_links(percent), "a long, b long"), "links")
-    discard(members, placed, there, meets, sets)
+    discard(members, placed, meets, sets)
     return links
 
 
@@ -431,20 +429,17 @@ def _links(classes: DataFrame, docs: DataFrame, size: int, percent: int, few: in
     if more.limit(1).count():
         edges = edges.unionByName(_compare(more, classes, docs, size, percent, few))
     crowded = still_open(left.filter(F.col("n") > small))
-    for turn in range(4):
-        if not crowded.limit(1).count():
-            break
-        # a member of each bucket by the turn's hash: it meets all members of other components
-        order = F.xxhash64("rep", F.lit(turn))
+    if crowded.limit(1).count():
+        # a member of each bucket by a hash of its own: it meets all members of other components
+        order = F.xxhash64("rep", F.lit(1))
         pivots = crowded.groupBy("bucket", "n").agg(F.min(F.struct(order.alias("h"), "rep", "comp")).alias("p"))
         pivots = materialize(pivots.select("bucket", "n", F.col("p.rep").alias("a"), F.col("p.comp").alias("of")), "pivots")
         meet = _by_bucket(crowded.drop("n"), pivots, heavy).filter("comp != of")
         meet = meet.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
         found = _compare(materialize(meet, "pairs"), classes, docs, size, percent, few)
-        if not found.limit(1).count():
-            break
-        edges = edges.unionByName(found)
-        crowded = still_open(crowded)
+        if found.limit(1).count():
+            edges = edges.unionByName(found)
+            crowded = still_open(crowded)
     if crowded.limit(1).count():
         edges = edges.unionByName(_families(crowded, classes, docs, size, percent, few))
     return connected(edges) if edges.limit(1).count() else None
