@@ -174,7 +174,7 @@ def oracle_sql() -> dict[str, str]:
     sql = {
         "scan_pixels": f"WITH {EV} SELECT * FROM ev",
         "image_stats": f"WITH {EV} SELECT count(*) AS n_pixels, max(x) + 1 AS width, max(y) + 1 AS height FROM ev",
-        "decode_modes": "SELECT 'two.png' AS file, CAST(o AS BIGINT) AS ord, CAST(r AS BIGINT) AS r, CAST(g AS BIGINT) AS g, CAST(b AS BIGINT) AS b FROM (VALUES (0, 255, 0, 0), (1, 0, 255, 0), (2, 0, 0, 255), (3, 9, 8, 7)) AS t(o, r, g, b)",
+        "decode_modes": "SELECT file, CAST(o AS BIGINT) AS ord, CAST(r AS BIGINT) AS r, CAST(g AS BIGINT) AS g, CAST(b AS BIGINT) AS b FROM (VALUES ('two.png', 0, 255, 0, 0), ('two.png', 1, 0, 255, 0), ('two.png', 2, 0, 0, 255), ('two.png', 3, 9, 8, 7), ('two.tiff', 0, 255, 0, 0), ('two.tiff', 1, 0, 255, 0), ('two.tiff', 2, 0, 0, 255), ('two.tiff', 3, 9, 8, 7), ('grey.png', 0, 40, 40, 40), ('grey.png', 1, 200, 200, 200), ('alpha.png', 0, 1, 2, 3)) AS t(file, o, r, g, b)",
         "dummy_source": "SELECT ord, CAST(200 AS BIGINT) AS r, CAST(0 AS BIGINT) AS g, CAST(0 AS BIGINT) AS b FROM range(10000) AS t(ord)",
         "cube_index": f"WITH {EV} SELECT ord, r * 16 // 256 AS rb, g * 16 // 256 AS gb, b * 16 // 256 AS bb FROM ev",
         "cube_histogram": f"WITH {EV}, {HIST} SELECT * FROM hist",
@@ -209,7 +209,7 @@ def oracle_sql() -> dict[str, str]:
         "worst_conflict": f"{PAL}, {conflicts} SELECT i, j, round(delta_e, 4) + 0.0 AS delta_e FROM conf ORDER BY conf.delta_e, i, j LIMIT 1",
         "rgb_strip": f"SELECT i, r, g, b FROM ({_strips()}) WHERE strip = 1",
         "lab_strip": f"SELECT i, {LAB4} FROM ({_lab_strips()}) WHERE strip = 3",
-        "strips_union": _strips(),
+        "strips_union": f"WITH ls AS ({_lab_strips()}) {_strips()} UNION ALL SELECT strip, i, {', '.join(f'CAST(floor(round({c}, 6)) AS BIGINT) AS {c}' for c in 'rgb')} FROM ({_rgb('ls')})",
         "strip_adjacent": f"WITH s AS (SELECT *, {_lab()} FROM ({_strips()})) " + _adjacent(f"{_sed('p', 'q')} AS d_rgb, round({_sed('p', 'q', _LABS)}, 4) + 0.0 AS d_lab", "s"),
         "strip_adjacent_lab": f"WITH s AS ({_lab_strips()}) " + _adjacent(f"round({_sed('p', 'q', _LABS)}, 4) + 0.0 AS d_lab", "s"),
         "swatch": f"{PAL} SELECT x, y, r, g, b FROM (SELECT id % {50 * K} AS x, id // {50 * K} AS y FROM range({50 * K * 50}) AS t(id)) JOIN pal ON pal.k = x // 50",

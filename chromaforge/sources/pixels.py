@@ -97,20 +97,34 @@ def from_images(spark: SparkSession, path: str | Sequence[str], batch: int = 65_
                         ["image", "ord", "x", "y", "r", "g", "b"],
                     )
 
-    return raw.mapInArrow(explode, "image string, ord long, x long, y long, r long, g long, b long")
+    pixels = raw.mapInArrow(explode, "image string, ord long, x long, y long, r long, g long, b long")
+    return pixels.repartition("image", F.expr(f"ord div {batch}"))  # else all pixels of an image stay in its task
 
 
-def png(width: int, height: int, rgb: bytes) -> bytes:
-    """An 8-bit RGB image file."""
+def png(width: int, height: int, data: bytes, channels: int = 3) -> bytes:
+    """An 8-bit image file: grey, RGB or RGBA by channels."""
 
     def chunk(kind: bytes, data: bytes) -> bytes:
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
-    rows = b"".join(b"\0" + rgb[3 * width * y : 3 * width * (y + 1)] for y in range(height))
-    head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+    line = channels * width
+    rows = b"".join(b"\0" + data[line * y : line * (y + 1)] for y in range(height))
+    head = struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2, 4: 6}[channels], 0, 0, 0)
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
+def tiff(width: int, height: int, rgb: bytes) -> bytes:
+    """An 8-bit RGB image file without compression, in one strip."""
+    short, long = 3, 4
+    at = 8 + 2 + 10 * 12 + 4  # of the bits of each sample, which stand after the directory; the pixels follow
+    tags = [
+        (256, short, 1, width), (257, short, 1, height), (258, short, 3, at), (259, short, 1, 1), (262, short, 1, 2),
+        (273, long, 1, at + 6), (277, short, 1, 3), (278, short, 1, height), (279, long, 1, len(rgb)), (284, short, 1, 1),
+    ]
+    entries = b"".join(struct.pack("<HHII", *tag) for tag in tags)
+    return b"II*\0" + struct.pack("<IH", 8, len(tags)) + entries + struct.pack("<I3H", 0, 8, 8, 8) + rgb
+
+
 def to_png(pixels: DataFrame, by: str = "image") -> DataFrame:
     """One row an image with its PNG bytes. An image is built by one task, so one image must fit there."""
 
@@ -138,10 +152,13 @@ def with_lab(colors: DataFrame, names: Sequence[str] = ("l", "a", "b_lab")) -> D
 
 
 def lab_strip(spark: SparkSession, gray: int, step: float, n: int = 11) -> DataFrame:
-    """n colours (i, l, a, b_lab, r, g, b) in equal steps of L from a grey on; L stays in 0..100."""
+    """n colours (i, l, a, b_lab, r, g, b) in equal steps of L from a grey on; L stays in 0..100.
+
+    r, g and b are cut after six decimals are rounded: a whole number stays one whatever the last bits are.
+    """
     base = [v for v in rgb_to_lab(F.lit(gray), F.lit(gray), F.lit(gray))]
     strip = spark.range(n).select(
         F.col("id").alias("i"), clip(base[0] + F.col("id") * step, 0.0, 100.0).alias("l"), base[1].alias("a"), base[2].alias("b_lab")
     )
     rgb = lab_to_rgb(F.col("l"), F.col("a"), F.col("b_lab"))
-    return strip.select("*", *(F.floor(v).cast("long").alias(c) for v, c in zip(rgb, "rgb", strict=True)))
+    return strip.select("*", *(F.floor(F.round(v, 6)).cast("long").alias(c) for v, c in zip(rgb, "rgb", strict=True)))
