@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
 
+#: Parquet's vectored reads keep direct buffers as large as a column chunk for every reading thread, beside the heap.
+#: Tables with whole texts are read column chunk by column chunk without them, so an executor's memory stays bounded.
+READ = {"parquet.hadoop.vectored.io.enabled": "false"}
+
 _own_folders: dict[str, str] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents table."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spark.read.options(**READ).parquet(f"{sf_dir}/documents.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,7 +46,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
+    table = spark.read.options(**READ).schema(df.schema).parquet(path)
     table.table_path = path
     return table
 
