@@ -48,7 +48,8 @@ def resize(pixels: DataFrame, width: int, height: int, new_width: int, new_heigh
     spark = pixels.sparkSession
     if (width, height) == (new_width, new_height):
         return pixels.select("x", "y", "r", "g", "b")
-    mean = lambda c: F.floor(F.sum(F.col(c) * F.col("w")) + 0.5).cast("long").alias(c)
+    # rounded first: a sum at one half is the same whatever the order of its terms
+    mean = lambda c: F.floor(F.round(F.sum(F.col(c) * F.col("w")), 6) + 0.5).cast("long").alias(c)
     across = _weights(spark, width, new_width, ("nx", "x"))
     narrow = pixels.join(across, "x").groupBy("nx", "y").agg(*(mean(c) for c in "rgb"))
     down = _weights(spark, height, new_height, ("ny", "y"))
@@ -86,6 +87,14 @@ def chroma_circle(spark: SparkSession, radius: float = 80.0, points: int = 200)
     return spark.range(points).select(F.col("id").alias("i"), (F.cos(t) * radius).alias("a"), (F.sin(t) * radius).alias("b_lab"))
 
 
+def lab_axes(spark: SparkSession, arrow: float = 90.0, middle: float = 50.0) -> DataFrame:
+    """Axes of an L*a*b* diagram: name, start (l, a, b_lab) and end; lightness, and four arrows from the middle."""
+    sides = (("+a", 1, 0), ("-a", -1, 0), ("+b", 0, 1), ("-b", 0, -1))
+    rows = [("L", 0.0, 0.0, 0.0, 100.0, 0.0, 0.0)]
+    rows += [(name, middle, 0.0, 0.0, middle, a * arrow, b * arrow) for name, a, b in sides]
+    return spark.createDataFrame(rows, "axis string, l double, a double, b_lab double, to_l double, to_a double, to_b double")
+
+
 def plot_points(pixels: DataFrame, palette: Sequence[Sequence[int]], n: int = 5000, seed: int = 0) -> DataFrame:
     """Sampled pixels and palette colours of a scatter plot: kind, r, g, b and L*a*b*."""
     from .palette import as_frame

@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 
 from ..functions.color import FROM_XYZ, TO_XYZ, WHITE
-from .queries import ITERATIONS, K, K_DIRECT, RATES
+from ..operators.palette import seeded_ordinals
+from .queries import ITERATIONS, K, K_DIRECT, RATES, SEED
 
 EV = """ev AS MATERIALIZED (SELECT CAST(event_id AS BIGINT) AS ord, CAST(event_id % 100 AS BIGINT) AS x,
  CAST(event_id // 100 AS BIGINT) AS y, CAST((user_id * 37) % 256 AS BIGINT) AS r,
@@ -39,6 +40,11 @@ def _greedy(k: int = K) -> str:
 PAL = f"WITH {EV}, {HIST}, {CAND}, {_greedy()}"
 LINSPACE = f"""pal AS MATERIALIZED (SELECT t.k, e.ord, e.r, e.g, e.b FROM (SELECT k, k * (n - 1) // {K_DIRECT - 1} AS ord
  FROM range({K_DIRECT}) AS q(k), (SELECT count(*) AS n FROM ev)) t JOIN ev e ON e.ord = t.ord)"""
+#: Numbers of pixels for which the seeded start is written out: SQL has no such generator.
+SIZES = (1_000, 10_000, 100_000)
+_DRAWN = ", ".join(f"({n}, {k}, {o})" for n in SIZES for k, o in enumerate(seeded_ordinals(n, K_DIRECT, SEED)))
+SEEDED = f"""pal AS MATERIALIZED (SELECT CAST(t.k AS BIGINT) AS k, e.ord, e.r, e.g, e.b FROM (VALUES {_DRAWN}) AS t(n, k, ord)
+ JOIN ev e ON e.ord = t.ord WHERE t.n = (SELECT count(*) FROM ev))"""
 NEAREST = f"""near AS MATERIALIZED (SELECT e.ord, any_value(e.x) AS x, any_value(e.y) AS y, any_value(e.r) AS r, any_value(e.g) AS g,
  any_value(e.b) AS b, min({_sed('e', 'p')} * 16 + p.k) AS dk FROM ev e, pal p GROUP BY e.ord)"""
 
@@ -195,6 +201,7 @@ def oracle_sql() -> dict[str, str]:
         "quantize_rgb": f"{PAL}, {NEAREST} SELECT ord, x, y, p.r, p.g, p.b FROM near JOIN pal p ON p.k = dk % 16",
         "wu_lin_assign": f"{PAL}, {NEAREST} SELECT ord, dk // 16 AS d FROM near",
         "kmeans_rgb_int": f"{direct}, {_iterations('break', False)} SELECT k, r, g, b FROM {last}",
+        "kmeans_rgb_seeded": f"WITH {EV}, {SEEDED}, p0 AS MATERIALIZED (SELECT k, r, g, b FROM pal), {_iterations('break', False)} SELECT k, r, g, b FROM {last}",
         "kmeans_rgb_noearly": f"{direct}, {_iterations('never', False)} SELECT k, r, g, b FROM {last}",
         "kmeans_refine_rgb": f"{refine}, {_iterations('update', True)} SELECT k, r, g, b FROM {last}",
         "kmeans_rgb_float": f"WITH {EV}, {LINSPACE}, {floats}, p0 AS MATERIALIZED (SELECT k, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b FROM pal), {_float_iterations(('r', 'g', 'b'), 'break')} {_PALETTE_OUT}{last}",
@@ -203,6 +210,7 @@ def oracle_sql() -> dict[str, str]:
         "lab_roundtrip": f"WITH {EV}, lab AS (SELECT ord, {_lab()} FROM ev) SELECT ord, {_tidy(dict.fromkeys('rgb', 3))} FROM ({_rgb('lab')})",
         "assign_lab": f"{_LAB_START} SELECT ord, k FROM (SELECT e.ord, p.k, row_number() OVER (PARTITION BY e.ord ORDER BY {_sed('e', 'p', _LABS)}, p.k) AS rn FROM (SELECT ord, {_lab()} FROM ev) e, p0 p) WHERE rn = 1",
         "kmeans_lab": f"{_LAB_START}, {_float_iterations(_LABS, 'never')} {_PALETTE_OUT}({_rgb(last)})",
+        "mse_per_iter_lab": f"{_LAB_START}, {_float_iterations(_LABS, 'never')}, whole AS (SELECT sum(n) AS n FROM col) " + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS iter, round(e / whole.n, 4) + 0.0 AS mse_lab, CAST(whole.n AS BIGINT) AS n FROM e{i}, whole" for i in range(ITERATIONS)),
         "quantize_lab": f"{_LAB_START}, {_float_iterations(_LABS, 'never')}, fin AS ({_PALETTE_OUT}({_rgb(last)})) SELECT ord, f.r, f.g, f.b FROM (SELECT e.ord, p.k, row_number() OVER (PARTITION BY e.ord ORDER BY {_sed('e', 'p', _LABS)}, p.k) AS rn FROM (SELECT ord, {_lab()} FROM ev) e, {last} p) q JOIN fin f ON f.k = q.k WHERE rn = 1",
         "kmeans_refine_lab": f"WITH {EM}, {HIST}, {CAND}, {_greedy()}, col AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM (SELECT r, g, b, n, {_lab()} FROM (SELECT r, g, b, count(*) AS n FROM ev GROUP BY 1, 2, 3))), p0 AS MATERIALIZED (SELECT k, {_lab()} FROM pal), {_float_iterations(_LABS, 'update')} {_PALETTE_OUT}({_rgb(last)})",
         "palette_conflicts": f"{PAL}, {conflicts} SELECT i, j, round(delta_e, 4) + 0.0 AS delta_e FROM conf",
@@ -215,6 +223,8 @@ def oracle_sql() -> dict[str, str]:
         "swatch": f"{PAL} SELECT x, y, r, g, b FROM (SELECT id % {50 * K} AS x, id // {50 * K} AS y FROM range({50 * K * 50}) AS t(id)) JOIN pal ON pal.k = x // 50",
         "swatch_fixed": f"{PAL} SELECT x, y, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM (SELECT id % 160 AS x, id // 160 AS y FROM range(6400) AS t(id)) LEFT JOIN pal ON pal.k = x // {160 // K}",
         "chroma_circle": f"SELECT i, round(cos(i * {2 * math.pi / 199!r}) * 80.0, 6) + 0.0 AS a, round(sin(i * {2 * math.pi / 199!r}) * 80.0, 6) + 0.0 AS b_lab FROM range(200) AS t(i)",
+        "lab_axes": "SELECT axis, CAST(l AS DOUBLE) AS l, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b_lab, CAST(to_l AS DOUBLE) AS to_l, CAST(to_a AS DOUBLE) AS to_a, CAST(to_b AS DOUBLE) AS to_b FROM (VALUES ('L', 0, 100, 0, 0), ('+a', 50, 50, 90, 0), ('-a', 50, 50, -90, 0), ('+b', 50, 50, 0, 90), ('-b', 50, 50, 0, -90)) AS t(axis, l, to_l, to_a, to_b)",
+        "reduction_report": f"WITH {EV}, s AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h, CAST(count(*) AS DOUBLE) AS n FROM ev), d AS (SELECT n, CASE WHEN greatest(w, h) <= 64 THEN w * h ELSE {even.format('w')} * {even.format('h')} END AS m FROM s) SELECT 'base_pixels' AS metric, n AS value FROM d UNION ALL SELECT 'resized_pixels', CAST(m AS DOUBLE) FROM d UNION ALL SELECT 'reduction_ratio', round(n / m, 4) + 0.0 FROM d",
         "resize_dims": f"WITH {EV}, s AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM ev) SELECT CAST(64 AS BIGINT) AS cap, w, h, CAST(CASE WHEN greatest(w, h) <= 64 THEN w ELSE {even.format('w')} END AS BIGINT) AS new_w, CAST(CASE WHEN greatest(w, h) <= 64 THEN h ELSE {even.format('h')} END AS BIGINT) AS new_h FROM s UNION ALL SELECT 90, w, h, CAST(CASE WHEN greatest(w, h) <= 90 THEN w ELSE floor(w * (90.0 / greatest(w, h))) END AS BIGINT), CAST(CASE WHEN greatest(w, h) <= 90 THEN h ELSE floor(h * (90.0 / greatest(w, h))) END AS BIGINT) FROM s",
         "metrics_report": f"{direct}, {_iterations('break', False)}, run AS (SELECT {made} AS it) SELECT 'k' AS metric, (SELECT count(*) FROM {last}) AS value UNION ALL SELECT 'n_pixels', (SELECT n FROM e0) UNION ALL SELECT 'iterations', CAST(it AS BIGINT) FROM run UNION ALL SELECT 'final_sum_sed', {final} FROM run",
         "rate_sweep": _sweep(),

@@ -5,6 +5,7 @@ Rasters come from the events table (100 columns wide) or, for clustered colours,
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -16,7 +17,7 @@ from ..operators import conflicts, histogram, kmeans, palette, raster, sampling
 from ..operators.assign import assign
 from ..sources import pixels as px
 
-K, K_DIRECT, ITERATIONS = 7, 8, 10
+K, K_DIRECT, ITERATIONS, SEED = 7, 8, 10, 1
 RATES = (1.0, 0.5, 0.25, 0.125, 0.0625)
 #: Start and step of the two RGB strips, grey and step in L of the two L*a*b* strips.
 RGB_STRIPS = ((1, (20, 20, 20), (20, 0, 0)), (2, (200, 200, 200), (20, 0, 0)))
@@ -194,10 +195,14 @@ def wu_lin_assign(spark, sf_dir):
     return assign(px.from_events(spark, sf_dir), ordered, ties="length").select("ord", "d")
 
 
-def _direct(policy):
+def _seeded(p: DataFrame, k: int = K_DIRECT, seed: int = SEED) -> list:
+    return palette.at_ordinals(p, palette.seeded_ordinals(p.count(), k, seed))
+
+
+def _direct(policy, start=_linspace):
     def run(spark, sf_dir):
         p = px.from_events(spark, sf_dir)
-        return _frame(spark, kmeans.kmeans(p, _linspace(p), policy, ITERATIONS))
+        return _frame(spark, kmeans.kmeans(p, start(p), policy, ITERATIONS))
 
     return run
 
@@ -213,6 +218,7 @@ _found |= {
     "kmeans_rgb_int": _direct(kmeans.INT),
     "kmeans_rgb_noearly": _direct(kmeans.INT_ALL),
     "kmeans_rgb_float": _direct(kmeans.FLOAT),
+    "kmeans_rgb_seeded": _direct(kmeans.INT, _seeded),
     "kmeans_wulin": _refined(kmeans.REFINE_LENGTH),
     "kmeans_refine_rgb": _refined(kmeans.REFINE_RGB),
     "kmeans_refine_lab": _refined(kmeans.REFINE_LAB, px.from_embeddings),
@@ -256,6 +262,12 @@ def kmeans_lab(spark, sf_dir):
     return _frame(spark, _lab_run(spark, sf_dir)[1])
 
 
+@query
+def mse_per_iter_lab(spark, sf_dir):
+    rows = [(i, error / n, n) for i, error, n in _lab_run(spark, sf_dir)[1].history]
+    return spark.createDataFrame(rows, "iter long, mse_lab double, n long").withColumn("mse_lab", tidy(F.col("mse_lab"), 4))
+
+
 @query
 def quantize_lab(spark, sf_dir):
     p, run = _lab_run(spark, sf_dir)
@@ -343,6 +355,11 @@ def chroma_circle(spark, sf_dir):
     return c.select("i", tidy(F.col("a"), 6).alias("a"), tidy(F.col("b_lab"), 6).alias("b_lab"))
 
 
+@query
+def lab_axes(spark, sf_dir):
+    return raster.lab_axes(spark)
+
+
 @query
 def resize_dims(spark, sf_dir):
     w, h = px.from_events(spark, sf_dir).agg(F.max("x") + 1, F.max("y") + 1).first()
@@ -359,6 +376,36 @@ def metrics_report(spark, sf_dir):
     return spark.createDataFrame(rows, "metric string, value long")
 
 
+def _shrunk(p: DataFrame, cap: int = 64) -> tuple[DataFrame, int, int]:
+    """p resized to at most cap on its larger side, and its number of pixels before and after."""
+    w, h = p.agg(F.max("x") + 1, F.max("y") + 1).first()
+    new_w, new_h = raster.fit_dims(w, h, cap)
+    small = raster.resize(p, w, h, new_w, new_h).withColumn("ord", F.col("y") * new_w + F.col("x"))
+    return small, p.count(), new_w * new_h
+
+
+@query
+def reduction_report(spark, sf_dir):
+    _, before, after = _shrunk(px.from_events(spark, sf_dir))
+    rows = [("base_pixels", float(before)), ("resized_pixels", float(after)), ("reduction_ratio", before / after)]
+    return spark.createDataFrame(rows, "metric string, value double").withColumn("value", tidy(F.col("value"), 4))
+
+
+@query
+def speedup_report(spark, sf_dir):
+    """Seconds and final mean error of K-means on all pixels and on the resized raster, and the speed-up."""
+    p = px.from_events(spark, sf_dir)
+    took, rows = {}, []
+    for name, source in (("base", p), ("resized", _shrunk(p)[0])):
+        start = _linspace(source)
+        began = time.perf_counter()
+        run = kmeans.kmeans(source, start, kmeans.INT, ITERATIONS)
+        took[name] = time.perf_counter() - began
+        _, error, n = run.history[-1]
+        rows += [(f"{name}_seconds", took[name]), (f"{name}_final_mse", error / n)]
+    return spark.createDataFrame([*rows, ("speedup", took["base"] / took["resized"])], "metric string, value double")
+
+
 @query
 def rate_sweep(spark, sf_dir):
     p, start = px.from_events(spark, sf_dir), _palette(spark, sf_dir)

@@ -17,7 +17,7 @@ from chromaforge.plans.queries import queries
 from chromaforge.sources import pixels as px
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"rate_sweep", "kmeans_rgb_noearly", "mse_per_iter", "quantize_lab", "metrics_report"}
+SLOW = {"rate_sweep", "kmeans_rgb_noearly", "mse_per_iter", "quantize_lab", "metrics_report", "mse_per_iter_lab"}
 COLORS = "ord long, x long, y long, r long, g long, b long"
 
 
@@ -180,6 +180,29 @@ def test_resizing_keeps_plain_areas_and_dims(spark):
     assert out.count() == 21 and out.select("r", "g", "b").distinct().collect() == [(200, 0, 0)]
 
 
+def test_resizing_is_a_plain_weighted_sum(spark):
+    r = random.Random(6)
+    w, h, nw, nh = 23, 17, 9, 7
+    img = {(x, y): tuple(r.randrange(256) for _ in range(3)) for y in range(h) for x in range(w)}
+
+    def weights(size, new, i):
+        scale = size / new
+        c, s = (i + 0.5) * scale, max(scale, 1.0)
+        w = {j: max(0.0, 1 - abs(j + 0.5 - c) / s) for j in range(size)}
+        return {j: v / sum(w.values()) for j, v in w.items() if v}
+
+    mean = lambda ws, at: tuple(math.floor(round(sum(v * at(j)[c] for j, v in ws.items()), 6) + 0.5) for c in range(3))
+    narrow = {(x, y): mean(weights(w, nw, x), lambda j, y=y: img[j, y]) for x in range(nw) for y in range(h)}
+    want = {(x, y): mean(weights(h, nh, y), lambda j, x=x: narrow[x, j]) for x in range(nw) for y in range(nh)}
+    got = raster.resize(frame(spark, [img[i % w, i // w] for i in range(w * h)], w), w, h, nw, nh).collect()
+    assert {(v.x, v.y): (v.r, v.g, v.b) for v in got} == want
+
+
+def test_reports_of_a_run_on_fewer_pixels(spark):
+    got = dict(map(tuple, queries()["speedup_report"](spark, DATA).collect()))
+    assert got["speedup"] == got["base_seconds"] / got["resized_seconds"] and got["base_final_mse"] > 0 < got["resized_final_mse"]
+
+
 def test_swatches(spark):
     wide = raster.fixed_swatch(spark, [(9, 9, 9)] * 7)
     assert wide.filter("r = 0").select("x").distinct().orderBy("x").collect() == [(x,) for x in range(154, 160)]
