@@ -58,7 +58,7 @@ _words = _WordHashes()
 
 def shingle_sets(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """(flat sorted distinct shingle hashes, number of each text's)."""
-    if len(_words) > 400_000:
+    if len(_words) > 100_000:
         _words.clear()
     look = _words.__getitem__
     flat, counts = [], []
@@ -198,24 +198,18 @@ def _set_rows(size: int):
             for batch in slices(whole, 1, 2_000_000):
                 flat, counts = shingle_sets(batch.column(1).fill_null("").to_pylist(), size)
                 ends = np.cumsum(counts).tolist()
-                sets = [flat[e - n : e] for e, n in zip(ends, counts.tolist(), strict=True)]
-                reps = pa.array([_rep(_set_key(x)) for x in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([reps, pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "members"])
+                reps = [_rep(_set_key(flat[e - n : e])) for e, n in zip(ends, counts.tolist(), strict=True)]
+                edges = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                members = pa.ListArray.from_arrays(edges, pa.array(flat.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), members], ["rep", "members"])
 
     return run
 
 
-def _verify(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+def _similar(percent: int):
+    """Whether the sets ma and mb are similar enough; sets stay in the JVM, where they meet row by row."""
+    common = F.size(F.array_intersect("ma", "mb"))
+    return 100 * common >= percent * (F.size("ma") + F.size("mb") - common)
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -257,7 +251,7 @@ def _sets_of(reps: DataFrame, classes: DataFrame, docs: DataFrame, size: int, fe
     is_few = ids.count() <= few and _narrow(docs)
     wanted = ids.select("doc_id").distinct()
     texts = docs.join(F.broadcast(wanted) if is_few else wanted, "doc_id", "left_semi")
-    sets = texts.select("doc_id", "text").mapInArrow(_set_rows(size), "rep long, members binary")
+    sets = texts.select("doc_id", "text").mapInArrow(_set_rows(size), "rep long, members array<bigint>")
     known = ids.select("rep")  # an id may have other texts, whose sets nobody asked for
     sets = sets.join(F.broadcast(known) if is_few else known, "rep", "left_semi")
     made = materialize(sets.dropDuplicates(["rep"]), "sets")
@@ -286,7 +280,7 @@ def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, p
         .join(sets.select(F.col("rep").alias("b"), F.col("members").alias("mb")), "b")
         .select("a", "b", "ma", "mb")
     )
-    links = materialize(full.mapInArrow(_verify(percent), "a long, b long"), "links")
+    links = materialize(full.filter(_similar(percent)).select("a", "b"), "links")
     discard(likely, sets)
     return links
 
@@ -314,7 +308,7 @@ def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
 def _block_links(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """Links that join components among the rows of two blocks: never more than there are rows."""
-        sets = [np.frombuffer(x, np.uint64) for x in group["members"]]
+        sets = [np.asarray(x, np.int64) for x in group["members"]]
         rep, comp = (group[c].tolist() for c in ("rep", "comp"))
         sizes = np.array([len(x) for x in sets], np.float64)
         common = overlaps(sets)
