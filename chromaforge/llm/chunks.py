@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow.compute as pc
 
 #: White space as the tokenizers' patterns know it.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -139,9 +140,7 @@ def shared_encoder(path: str, pattern: str, make: Callable[[str, str], ChunkEnco
 
 def slices(batch, text_at: int, most_chars: int = 4_000_000):
     """Parts of an Arrow batch of at most about most_chars characters (one longer text stands alone)."""
-    column = batch.column(text_at)
-    sizes = np.asarray(column.fill_null("").to_numpy(zero_copy_only=False), object)
-    sizes = np.fromiter(map(len, sizes), np.int64, len(sizes))
+    sizes = pc.utf8_length(batch.column(text_at)).fill_null(0).to_pylist()
     at, total = 0, 0
     for i, n in enumerate(sizes):
         if total and total + n > most_chars:

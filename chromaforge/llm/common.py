@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the word rules, as a Java regular expression and as plain characters.
 GAP = r"[\x20\x09-\x0D]+"
@@ -17,6 +18,10 @@ GAP_CHARS = " \t\n\x0b\x0c\r"
 #: Tables with whole texts are read column chunk by column chunk without them, so an executor's memory stays bounded.
 READ = {"parquet.hadoop.vectored.io.enabled": "false"}
 
+#: Rows and bytes of an Arrow batch sent to Python at most. A batch lies in the executor beside the heap and once more in
+#: the Python worker; Spark's default of 10,000 rows sets no bound where texts are long.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
 _own_folders: dict[str, str] = {}
 
 
@@ -51,6 +56,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def map_arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) over batches of bounded size (a smaller bound of the session stays)."""
+    conf = df.sparkSession.conf
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, BATCH_ROWS)
+    if not conf.get(size, None):
+        conf.set(size, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete the files of materialized tables that no later plan reads."""
     for table in tables:

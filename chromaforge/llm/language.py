@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import slices
+from .common import map_arrow
 
 _LETTER = re.compile(r"[^\W\d_]")
 WIDTH = 24  # bytes of a segment at most
@@ -233,8 +234,8 @@ def train(
     limits = docs.sparkSession.createDataFrame(limits, "lang string, most long, wanted long, each long")
     few = keyed.join(F.broadcast(limits), "lang").filter("place < most")  # one row a label
     # documents give at most four times their part, so that long ones make up for short ones; texts stay in the tasks
-    few = few.select("lang", "place", "h", "wanted", "each", "text").mapInArrow(
-        _some_segments, "lang string, place long, h long, wanted long, parts array<binary>"
+    few = map_arrow(
+        few.select("lang", "place", "h", "wanted", "each", "text"), _some_segments, "lang string, place long, h long, wanted long, parts array<binary>"
     )
     order = Window.partitionBy("lang").orderBy("place", "h", "parts")  # little more than the sample
     few = few.withColumn("rank", F.row_number().over(order)).filter("rank <= wanted")
@@ -324,7 +325,7 @@ def predict(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
                 )
 
     kind = held.schema["doc_id"].dataType.simpleString()
-    return held.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return map_arrow(held, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def identify(

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import slices
-from .common import discard, materialize
+from .common import discard, map_arrow, materialize
 
 BANDS, ROWS = 40, 6
 #: SetSketch parameters: base of the truncation, rate, and the largest register value.
@@ -251,7 +251,7 @@ def _sets_of(reps: DataFrame, classes: DataFrame, docs: DataFrame, size: int, fe
     is_few = ids.count() <= few and _narrow(docs)
     wanted = ids.select("doc_id").distinct()
     texts = docs.join(F.broadcast(wanted) if is_few else wanted, "doc_id", "left_semi")
-    sets = texts.select("doc_id", "text").mapInArrow(_set_rows(size), "rep long, members array<bigint>")
+    sets = map_arrow(texts.select("doc_id", "text"), _set_rows(size), "rep long, members array<bigint>")
     known = ids.select("rep")  # an id may have other texts, whose sets nobody asked for
     sets = sets.join(F.broadcast(known) if is_few else known, "rep", "left_semi")
     made = materialize(sets.dropDuplicates(["rep"]), "sets")
@@ -272,7 +272,7 @@ def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, p
     with_registers = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb")
     # five standard deviations below the limit
     slack = 5 * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5
-    likely = with_registers.mapInArrow(_estimate_filter(percent / 100 - slack), "a long, b long")
+    likely = map_arrow(with_registers, _estimate_filter(percent / 100 - slack), "a long, b long")
     likely = materialize(likely, "likely-pairs")
     sets = _sets_of(likely.select(F.explode(F.array("a", "b")).alias("rep")), classes, docs, size, few)
     full = (
@@ -388,7 +388,7 @@ def _links(classes: DataFrame, docs: DataFrame, size: int, percent: int, few: in
     ones with pivots and then in blocks.
     """
     heavy = max(256, classes.count() * BANDS // 4096)  # so at most 4,096 buckets are heavier
-    bands = classes.select("rep", "registers").mapInArrow(_bands, "rep long, bucket long")
+    bands = map_arrow(classes.select("rep", "registers"), _bands, "rep long, bucket long")
     firsts = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first")).filter("n > 1")
     firsts = materialize(firsts, "first-members")
     left = materialize(_by_bucket(bands, firsts, heavy).filter("rep > first").select("bucket", "rep", "first"), "buckets")
@@ -444,7 +444,7 @@ def _judged(docs: DataFrame, size: int, percent: int, few: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     made = f"doc_id {kind}, text_hash long, n_shingles long, key binary, rep long, registers binary"
-    rows = materialize(hashed.mapInArrow(_sketch_rows(size), made), "sketches")
+    rows = materialize(map_arrow(hashed, _sketch_rows(size), made), "sketches")
     filled = rows.filter("key is not null and doc_id is not null")
     classes = filled.groupBy("key", "rep").agg(
         F.min(F.struct("doc_id", "n_shingles", "registers")).alias("c")  # equal sets have equal registers

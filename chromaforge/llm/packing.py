@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import BYTE_LEVEL, shared_encoder, slices
-from .common import materialize
+from .common import map_arrow, materialize
 
 
 class OpenBins:
@@ -102,8 +102,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
+    return map_arrow(
+        docs.select("doc_id", "text"), cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
     )
 
 

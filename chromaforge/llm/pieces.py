@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder, ragged, shared_encoder, slices
+from .common import map_arrow
 
 MARK = "▁"
 NONE = np.int64(1 << 40)
@@ -253,4 +254,4 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, digest: bool) -
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
     out = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
-    return d.mapInArrow(run, f"doc_id {kind}, {out}")
+    return map_arrow(d, run, f"doc_id {kind}, {out}")

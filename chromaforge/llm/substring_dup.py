@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import slices
-from .common import discard, materialize
+from .common import discard, map_arrow, materialize
 
 #: Words that a run of sentences, and a single sentence, has at least
 WORDS, ALONE = 15, 25
@@ -137,7 +137,7 @@ def covered(docs: DataFrame) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = docs.filter("doc_id is not null").select("doc_id", "row", "text")
-    rows = named.mapInArrow(_span_rows, f"doc {kind}, row long, h1 long, h2 long, place long")
+    rows = map_arrow(named, _span_rows, f"doc {kind}, row long, h1 long, h2 long, place long")
     rows = materialize(rows, "spans")
     several = rows.groupBy("h1", "h2").agg(
         F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("row").alias("low"), F.max("row").alias("high")
@@ -202,7 +202,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
     extra = [T.StructField("n_removed", T.LongType()), T.StructField("words_removed", T.LongType())] if report else []
     schema = T.StructType([*fields, *extra])
     names = schema.names
-    done = joined.mapInArrow(rewrite, schema)
+    done = map_arrow(joined, rewrite, schema)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.coalesce(F.length(text_col), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return done

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import ASCII_WORDS, shared_encoder, slices
-from .common import materialize, shared_dir
+from .common import map_arrow, materialize, shared_dir
 
 BATCH = 256  # sequences in a record batch
 
@@ -162,7 +162,7 @@ def write(
                 [pa.array(x) for x in row], ["shard", "uri", "n_docs", "n_tokens"]
             )
 
-    done = ordered.mapInArrow(run, "shard long, uri string, n_docs long, n_tokens long")
+    done = map_arrow(ordered, run, "shard long, uri string, n_docs long, n_tokens long")
     done = materialize(done, "token-shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return done.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
@@ -191,4 +191,4 @@ def read(shards: DataFrame, id_type: str = "bigint") -> DataFrame:
 
     n = max(1, shards.count())  # a number of tasks of its own: the rows are few, but the files behind them are not
     spread = shards.select("shard", "uri", "start").repartition(n, "shard")
-    return spread.mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(spread, run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
