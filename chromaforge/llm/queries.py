@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, language, licenses, near_dup, packing, pieces, pii, quality, substring_dup, token_files
-from .common import documents
+from . import conversation, fingerprint, language, licenses, near_dup, packing, pieces, pii, quality, spelling, sql, substring_dup, token_files, url_filter
+from .common import READ, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.runs(documents(spark, sf_dir), least=7)  # a shorter run can't give a word of 7 letters
+    return spelling.variants(spelling.count(spelling.with_typos(runs), length=7, least=2), factor=10)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation.prepare(spark.read.options(**READ).parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation.digests(conversation.damage(rows)).withColumnRenamed("conv", "conv_id")
+
+
+#: The rules of the query, as verdict, host and path.
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.options(**READ).parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
 def queries() -> dict[str, Query]:
     return {
         name: f
@@ -126,4 +144,4 @@ FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express in full; the others are tested against plain versions."""
-    return {"op2_minhash_near_dedup": OP2_SQL, "op10_quality_rules": _op10_sql()}
+    return {"op2_minhash_near_dedup": OP2_SQL, "op10_quality_rules": _op10_sql(), **sql.oracle_sql(URL_RULES)}
