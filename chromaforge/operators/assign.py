@@ -7,65 +7,42 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.color import length2, sed
+from ..functions import arrays
+from ..functions.color import sed
 
 
-def nearest_length(norms: Sequence[float], norm: Column) -> Column:
-    """Index that a binary search over ascending norms settles on: of the places it visits the nearest, first visited
-    among equals. The search becomes a tree of comparisons."""
+#: Colours up to which a palette is written out as one comparison of generated code; larger ones have an index.
+FEW = 32
 
-    def walk(low: int, high: int, seen: list[int]) -> Column:
-        if low > high:
-            order = [F.struct(F.abs(F.lit(norms[i]) - norm).alias("d"), F.lit(p).alias("p"), F.lit(i).alias("i")) for p, i in enumerate(seen)]
-            return F.array_min(F.array(*order))["i"] if len(order) > 1 else F.lit(seen[0])
-        mid = (low + high) // 2
-        at = F.lit(norms[mid])
-        return (
-            F.when(at < norm, walk(mid + 1, high, [*seen, mid]))
-            .when(at > norm, walk(low, mid - 1, [*seen, mid]))
-            .otherwise(F.lit(mid))
-        )
 
-    return walk(0, len(norms) - 1, [])
-
-
-def nearest(palette: Sequence[Sequence[float]], color: Sequence[Column], start: Column | None = None) -> Column:
-    """struct<d, t, k>: distance, tie rank and index of the nearest colour of palette.
-
-    Without start the lowest index wins ties. With it (an index into a palette sorted by length) the order is that of a
-    search which begins there and goes left, then right.
-    """
-
-    def rank(i: int) -> Column:
-        if start is None:
-            return F.lit(i)
-        return F.when(start == i, 0).when(start > i, start - i).otherwise(F.lit(i))
-
-    return F.array_min(
-        F.array(
-            *(F.struct(sed(color, c[:3]).alias("d"), rank(i).cast("int").alias("t"), F.lit(i).cast("long").alias("k")) for i, c in enumerate(palette))
-        )
-    )
+def nearest(palette: Sequence[Sequence[float]], color: Sequence[Column]) -> Column:
+    """struct<d, k>: distance and index of the nearest colour of palette; the lowest index wins ties."""
+    return F.array_min(F.array(*(F.struct(sed(color, c[:3]).alias("d"), F.lit(i).cast("long").alias("k")) for i, c in enumerate(palette))))
 
 
 def assign(pixels: DataFrame, palette: Sequence[Sequence[float]], columns: Sequence[str] = ("r", "g", "b"), ties: str = "index") -> DataFrame:
     """pixels with k and d of the nearest colour; nulls where the palette is empty.
 
-    ties: "index" for the lowest index, "length" for the order of a search from the colour of the nearest length.
+    ties: "index" for the lowest index, "length" for the order of a search from the colour of the nearest length, which
+    takes a palette of whole RGB colours in ascending order of length.
     """
+    from . import lookup
+
+    if ties not in ("index", "length"):
+        raise ValueError(f"unknown tie rule {ties!r}")
     if not palette:
         return pixels.select("*", F.lit(None).cast("long").alias("k"), F.lit(None).cast("long").alias("d"))
-    color, start, rows = [F.col(c) for c in columns], None, pixels.select("*")
     if ties == "length":
-        norms = [float(c[0] * c[0] + c[1] * c[1] + c[2] * c[2]) ** 0.5 for c in palette]
-        # a generator keeps both steps from being folded into every use
-        rows = pixels.select("*", F.explode(F.array(F.sqrt(length2(color).cast("double")))).alias("_norm"))
-        rows = rows.select("*", F.explode(F.array(nearest_length(norms, F.col("_norm")))).alias("_start"))
-        start = F.col("_start")
-    elif ties != "index":
-        raise ValueError(f"unknown tie rule {ties!r}")
-    near = rows.select("*", nearest(palette, color, start).alias("_near"))
-    return near.select("*", F.col("_near.k").alias("k"), F.col("_near.d").alias("d")).drop("_near", "_norm", "_start")
+        return lookup.assign_by_length(pixels, palette).drop("seen")
+    if len(palette) > FEW:
+        whole = tuple(columns) == ("r", "g", "b") and all(isinstance(v, int) for c in palette for v in c[:3])
+        return lookup.assign_by_cell(pixels, palette) if whole else _with(pixels, arrays.closest(arrays.palette(palette), [F.col(c) for c in columns]))
+    return _with(pixels, nearest(palette, [F.col(c) for c in columns]))
+
+
+def _with(pixels: DataFrame, near: Column) -> DataFrame:
+    found = pixels.select("*", near.alias("_near"))
+    return found.select("*", F.col("_near.k").alias("k"), F.col("_near.d").alias("d")).drop("_near")
 
 
 def color_of(palette: Sequence[Sequence[int]], k: Column) -> list[Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.color import cube
@@ -34,3 +34,16 @@ def candidates(histogram: DataFrame, least: int = 1, rounding: str = "floor") ->
 def distinct_colors(pixels: DataFrame) -> DataFrame:
     """Each colour once with its pixel count n: what iterative operators need of an image."""
     return pixels.groupBy("r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def spread(colors: DataFrame) -> DataFrame:
+    """colors dealt to as many tasks as a shuffle has: what iterates over a table of few bytes is bound by its arithmetic."""
+    return colors.repartition(int(colors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def counted_colors(pixels: DataFrame) -> tuple[DataFrame, int]:
+    """Each colour with its pixel count, persisted, and the number of pixels, which the same job observes."""
+    seen = Observation()
+    colors = spread(distinct_colors(pixels.observe(seen, F.count(F.lit(1)).alias("n_pixels")))).persist()
+    colors.count()
+    return colors, seen.get["n_pixels"]

@@ -12,10 +12,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import closest, table
 from ..functions.color import lab_to_rgb, rgb_to_lab
 from ..sources.pixels import with_lab
 from .assign import assign
-from .histogram import distinct_colors
+from .histogram import distinct_colors, spread
 from .palette import length_order
 
 
@@ -64,45 +65,93 @@ def to_rgb(spark: SparkSession, palette: Sequence[Sequence[float]]) -> list[tupl
     return [tuple(int(v) for v in x) for x in rows.orderBy("k").select(*(F.floor(v) for v in rgb)).collect()]
 
 
+class _Progress:
+    """A run between iterations: palette, last error, and whether it has stopped."""
+
+    def __init__(self, palette: Sequence[Sequence[float]], policy: Policy) -> None:
+        self.palette, self.policy, self.before, self.stopped = list(palette), policy, None, False
+        self.history: list[tuple[int, float, int]] = []
+        if policy.order == "both":
+            self.palette = length_order(self.palette)
+
+    def advance(self, rows: Sequence) -> None:
+        """Take the (k, n, d, s0, s1, s2) of all clusters that have pixels; the others keep their colour."""
+        error = sum(x.d for x in rows)
+        self.history.append((len(self.history), error, sum(x.n for x in rows)))
+        stalled = self.before is not None and error >= self.before
+        self.before = error
+        if stalled and self.policy.stop == "break":
+            self.stopped = True
+            return
+        for x in rows:
+            mean = (x.s0, x.s1, x.s2)
+            self.palette[x.k] = tuple(s // x.n if self.policy.means == "whole" else s / x.n for s in mean)
+        if self.policy.order != "never":
+            self.palette = length_order(self.palette)
+        self.stopped = stalled and self.policy.stop == "update"
+
+    def result(self, palette: Sequence[Sequence[int]] | None = None) -> Run:
+        whole = [tuple(max(0, min(255, int(v))) for v in c) for c in self.palette]
+        return Run(list(palette if palette is not None else whole), list(self.palette), self.history)
+
+
 def kmeans(pixels: DataFrame, initial: Sequence[Sequence[int]], policy: Policy = INT, max_iter: int = 10) -> Run:
     """Refine initial over pixels (r, g, b). No pixels or no colours: initial comes back as it is."""
-    spark = pixels.sparkSession
-    start = [tuple(map(int, c[:3])) for c in initial]
-    if not start:
+    if not initial:
         return Run([], [])
-    colors = distinct_colors(pixels)
-    columns = ["r", "g", "b"]
-    if policy.space == "lab":
-        colors, columns = with_lab(colors), ["l", "a", "b_lab"]
-    colors = colors.persist()
-    run = Run(start, list(start))
+    colors = spread(distinct_colors(pixels)).persist()
     try:
-        total = colors.agg(F.sum("n")).first()[0]
-        if not total:
-            return run
-        palette = to_lab(spark, start) if policy.space == "lab" else list(start)
-        before = None
-        for i in range(max_iter):
-            if policy.order == "both":
-                palette = length_order(palette)
-            sums = [F.sum(F.col(c) * F.col("n")).alias(f"s{j}") for j, c in enumerate(columns)]
-            groups = assign(colors, palette, columns, policy.ties).groupBy("k")
-            rows = groups.agg(F.sum("n").alias("n"), F.sum(F.col("d") * F.col("n")).alias("d"), *sums).collect()
-            error = sum(x.d for x in rows)
-            run.history.append((i, error, total))
-            stalled = before is not None and error >= before
-            before = error
-            if stalled and policy.stop == "break":
-                break
-            for x in rows:  # clusters without pixels keep their colour
-                mean = (x.s0, x.s1, x.s2)
-                palette[x.k] = tuple(s // x.n if policy.means == "whole" else s / x.n for s in mean)
-            if policy.order != "never":
-                palette = length_order(palette)
-            if stalled and policy.stop == "update":
-                break
-        run.centroids = palette
-        run.palette = to_rgb(spark, palette) if policy.space == "lab" else [tuple(max(0, min(255, int(v))) for v in c) for c in palette]
-        return run
+        return kmeans_colors(colors, initial, policy, max_iter)
     finally:
         colors.unpersist()
+
+
+def kmeans_colors(colors: DataFrame, initial: Sequence[Sequence[int]], policy: Policy = INT, max_iter: int = 10) -> Run:
+    """The same over colours with pixel counts (r, g, b, n)."""
+    spark = colors.sparkSession
+    start = [tuple(map(int, c[:3])) for c in initial]
+    if not start:
+        return Run([], [])
+    columns, lab = ["r", "g", "b"], policy.space == "lab"
+    if lab:
+        colors, columns = with_lab(colors), ["l", "a", "b_lab"]
+    run = _Progress(to_lab(spark, start) if lab else start, policy)
+    for _ in range(max_iter):
+        sums = [F.sum(F.col(c) * F.col("n")).alias(f"s{j}") for j, c in enumerate(columns)]
+        groups = assign(colors, run.palette, columns, policy.ties).groupBy("k")
+        rows = groups.agg(F.sum("n").alias("n"), F.sum(F.col("d") * F.col("n")).alias("d"), *sums).collect()
+        if not rows:
+            return Run(start, list(start))
+        run.advance(rows)
+        if run.stopped:
+            break
+    return run.result(to_rgb(spark, run.palette) if lab else None)
+
+
+def kmeans_runs(colors: DataFrame, initial: Sequence[Sequence[Sequence[int]]], policy: Policy = INT, max_iter: int = 10) -> list[Run]:
+    """Several runs at once over (r, g, b, n), where n has a pixel count for each run.
+
+    An iteration is one job for all of them: a colour meets the palettes of the runs that have pixels of it, and one
+    aggregate by run and cluster gives all means. A run that has stopped takes no further part.
+    """
+    if policy.space != "rgb" or policy.ties != "index":
+        raise ValueError("runs share jobs in RGB with ties by index only")
+    runs = [_Progress([tuple(map(int, c[:3])) for c in p], policy) for p in initial]
+    for run in runs:
+        run.stopped = not run.palette
+    for _ in range(max_iter):
+        left = [j for j, run in enumerate(runs) if not run.stopped]
+        if not left:
+            break
+        count = lambda j: F.get("n", j.cast("int"))
+        given = table([{"j": j} for j in left], [runs[j].palette for j in left])
+        rows = colors.select("r", "g", "b", "n", F.explode(F.filter(given, lambda x: count(x["j"]) > 0)).alias("run"))
+        near = closest(F.col("run.p"), [F.col(c) for c in "rgb"])
+        rows = rows.select("r", "g", "b", F.col("run.j").alias("j"), count(F.col("run.j")).alias("n"), near.alias("near"))
+        rows = rows.select("r", "g", "b", "j", "n", F.col("near.k").alias("k"), F.col("near.d").alias("d"))
+        sums = [F.sum(F.col(c) * F.col("n")).alias(f"s{i}") for i, c in enumerate("rgb")]
+        found = rows.groupBy("j", "k").agg(F.sum("n").alias("n"), F.sum(F.col("d") * F.col("n")).alias("d"), *sums).collect()
+        for j in left:
+            own = [x for x in found if x.j == j]
+            runs[j].advance(own) if own else setattr(runs[j], "stopped", True)
+    return [run.result() for run in runs]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,26 @@ def block_sample(pixels: DataFrame, rate: float, seed: int = 0) -> DataFrame:
     return pixels.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= take).drop("_rank")
 
 
+def nested_counts(pixels: DataFrame, rates: Sequence[float], seed: int = 0) -> DataFrame:
+    """(r, g, b, n): for each colour an array of its pixels in the samples of all rates, over one pass.
+
+    A pixel's rank in its block decides on every rate of that block's size, so samples of one size are nested.
+    """
+    known = {rate: next((v for k, v in BLOCKS.items() if abs(rate - k) < 1e-9), None) for rate in rates}
+    ranked = pixels
+    for edge in sorted({v[0] for v in known.values() if v}):
+        w = Window.partitionBy(F.expr(f"y div {edge}"), F.expr(f"x div {edge}")).orderBy(position_hash(seed), "ord")
+        ranked = ranked.withColumn(f"_rank{edge}", F.row_number().over(w))
+
+    def taken(rate: float) -> Column:
+        if abs(rate - 1) < 1e-9:
+            return F.lit(True)
+        return F.col(f"_rank{known[rate][0]}") <= known[rate][1] if known[rate] else position_hash(seed) < F.lit(rate * MODULUS)
+
+    counts = [F.sum(F.when(taken(rate), 1).otherwise(0)) for rate in rates]
+    return ranked.groupBy("r", "g", "b").agg(F.array(*counts).alias("n"))
+
+
 def bernoulli(pixels: DataFrame, rate: float, seed: int = 0) -> DataFrame:
     """Each pixel with chance rate, by its position hash: a filter, so no shuffle."""
     return pixels.filter(position_hash(seed) < F.lit(rate * MODULUS))

@@ -409,9 +409,10 @@ def speedup_report(spark, sf_dir):
 @query
 def rate_sweep(spark, sf_dir):
     p, start = px.from_events(spark, sf_dir), _palette(spark, sf_dir)
-    rows = [
-        (rate, k, *c)
-        for rate in RATES
-        for k, c in enumerate(kmeans.kmeans(sampling.block_sample(p, rate), start, kmeans.REFINE_RGB, ITERATIONS).palette)
-    ]
+    colors = histogram.spread(sampling.nested_counts(p, RATES)).persist()
+    try:
+        runs = kmeans.kmeans_runs(colors, [start] * len(RATES), kmeans.REFINE_RGB, ITERATIONS)
+    finally:
+        colors.unpersist()
+    rows = [(rate, k, *c) for rate, run in zip(RATES, runs, strict=True) for k, c in enumerate(run.palette)]
     return spark.createDataFrame(rows, "rate double, k long, r long, g long, b long")
