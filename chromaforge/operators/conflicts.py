@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import closest, table
 from ..functions.color import delta_e, sed
 from ..sources.pixels import with_lab
-from .sampling import MODULUS
+from .histogram import distinct_colors, spread
+from .sampling import HASH, MODULUS
+from .seeding import STEP, best_starts
 
 
 def palette_conflicts(palettes: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -26,7 +31,7 @@ def palette_conflicts(palettes: DataFrame, by: list[str] | None = None) -> DataF
     return p.join(q, on).select(*by, "i", "j", d.alias("delta_e"))
 
 
-def closest(conflicts: DataFrame, by: str | None = None) -> DataFrame:
+def closest_pair(conflicts: DataFrame, by: str | None = None) -> DataFrame:
     """The pair with the smallest difference, of all or of each group; the first pair wins ties."""
     best = F.min(F.struct("delta_e", "i", "j")).alias("m")
     found = (conflicts.groupBy(by) if by else conflicts.groupBy()).agg(best).filter("m is not null")
@@ -49,38 +54,54 @@ def adjacent(strips: DataFrame) -> DataFrame:
     return strips.select("strip", "i", d(rgb).alias("d_rgb"), d(lab).alias("d_lab")).filter("d_rgb is not null")
 
 
-def minibatch_palettes(pixels: DataFrame, seeds: list[int], k: int = 8, steps: int = 5, rate: float = 0.1) -> DataFrame:
+def batch_hash(seed: Column, step: int) -> Column:
+    """Hash of a pixel's place in one step of one seed, from 0 to MODULUS - 1."""
+    a, b, c = HASH
+    return (F.col("x") * a + F.col("y") * b + seed * c + F.lit(step * STEP)) % MODULUS
+
+
+def minibatch_palettes(pixels: DataFrame, seeds: Sequence[int], k: int = 8, steps: int = 5, rate: float = 0.1) -> DataFrame:
     """Palettes (seed, k, r, g, b) of mini-batch K-means, all seeds in the same jobs.
 
-    A step takes a hashed share of the pixels for each seed, assigns it, and moves every centre towards its batch mean
-    by its share of all the pixels the centre has had. Start colours are drawn by hash.
+    Each seed begins with the best of several oversampled starts. A step takes a hashed share of the pixels for each
+    seed: a pixel first finds the seeds whose batch it is in, and only those rows are made. Every centre moves towards its
+    batch mean by its share of all the pixels it has had.
     """
     spark = pixels.sparkSession
-    source = pixels.select("ord", "r", "g", "b").persist()
+    source = pixels.select("x", "y", "r", "g", "b").persist()
+    colors = spread(distinct_colors(source)).persist()
     try:
-        base = source.crossJoin(spark.createDataFrame([(s,) for s in seeds], "seed int"))  # a fixed list of seeds
-        mixed = lambda salt: F.pmod(F.xxhash64("ord", "seed", F.lit(salt)), F.lit(MODULUS))
-        rank = F.row_number().over(Window.partitionBy("seed").orderBy("h", "ord"))
-        n = source.count()
-        share = min(1.0, 40.0 * k / max(n, 1))  # few rows reach the window, and k of them with near certainty
-        first = base.select("seed", "ord", "r", "g", "b", mixed(-1).alias("h")).filter(F.col("h") < share * MODULUS)
-        rows = first.withColumn("rank", rank).filter(F.col("rank") <= k).collect()
-        centers = {s: [(float(x.r), float(x.g), float(x.b)) for x in sorted((y for y in rows if y.seed == s), key=lambda y: y.rank)] for s in seeds}
+        starts = best_starts(colors, k, seeds)
+        centers = {s: [tuple(map(float, c)) for c in starts[s]] for s in seeds}
         had = {s: [0] * len(c) for s, c in centers.items()}
         for step in range(steps):
-            packed = F.create_map(
-                *(v for s in seeds for v in (F.lit(s), F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(m, "rgb", strict=True))) for m in centers[s]))))
-            )
-            batch = base.filter(mixed(step) < rate * MODULUS).withColumn("m", F.element_at(packed, F.col("seed")))
-            near = F.array_min(
-                F.transform("m", lambda m, i: F.struct(sed([F.col(c) for c in "rgb"], [m[c] for c in "rgb"]).alias("d"), i.alias("k")))
-            )
-            got = batch.withColumn("k", near["k"]).groupBy("seed", "k").agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in "rgb")).collect()
-            for x in got:
+            held = table([{"seed": s} for s in seeds], [centers[s] for s in seeds])
+            mine = F.filter(held, lambda x: batch_hash(x["seed"], step) < F.lit(rate * MODULUS))  # noqa: B023
+            batch = source.select("r", "g", "b", F.explode(mine).alias("run"))
+            near = closest(F.col("run.p"), [F.col(c) for c in "rgb"])["k"]
+            sums = batch.select("r", "g", "b", F.col("run.seed").alias("seed"), near.alias("k")).filter("k is not null")
+            for x in sums.groupBy("seed", "k").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in "rgb")).collect():
                 had[x.seed][x.k] += x.n
                 share = x.n / had[x.seed][x.k]
-                centers[x.seed][x.k] = tuple(c + share * (v - c) for c, v in zip(centers[x.seed][x.k], (x.r, x.g, x.b), strict=True))
+                centers[x.seed][x.k] = tuple(c + share * (v / x.n - c) for c, v in zip(centers[x.seed][x.k], (x.r, x.g, x.b), strict=True))
     finally:
         source.unpersist()
+        colors.unpersist()
     out = [(s, i, *(int(v) for v in c)) for s, cs in centers.items() for i, c in enumerate(cs)]
     return spark.createDataFrame(out, "seed int, k long, r long, g long, b long")
+
+
+def seed_search(pixels: DataFrame, seeds: Sequence[int] = range(20), limit: float = 5.0, **options: float) -> DataFrame:
+    """(seed, i, j, delta_e) of the closest pair of each seed's palette, up to the first one below limit.
+
+    Seeds are tried in waves of 1, 4, 16, ...: the jobs of a wave are shared, and no wave begins once one has a seed below
+    limit.
+    """
+    spark, found, at, size = pixels.sparkSession, [], 0, 1
+    seeds = list(seeds)
+    while at < len(seeds) and not any(x.delta_e < limit for x in found):
+        palettes = minibatch_palettes(pixels, seeds[at : at + size], **options)
+        found += closest_pair(palette_conflicts(palettes, ["seed"]), "seed").collect()
+        at, size = at + size, 4 * size
+    rows = spark.createDataFrame([tuple(x) for x in found], "seed int, i long, j long, delta_e double")
+    return search(rows, limit)

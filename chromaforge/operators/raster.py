@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.pixels import with_lab
@@ -17,6 +17,18 @@ def quantize_rgb(pixels: DataFrame, palette: Sequence[Sequence[int]]) -> DataFra
     return assign(pixels, palette).select("ord", "x", "y", *color_of(palette, F.col("k")))
 
 
+def write_quantized(pixels: DataFrame, palette: Sequence[Sequence[int]], path: str) -> tuple[DataFrame, dict[str, int]]:
+    """Write pixels in the nearest colour of palette as Parquet: the table, and n_pixels, sum_sed and colors_used of the same job."""
+    seen = Observation()
+    near = assign(pixels, palette)
+    counts = [F.count(F.lit(1)).alias("n_pixels"), F.sum("d").alias("sum_sed")]
+    counts += [F.max(F.when(F.col("k") == i, 1).otherwise(0)).alias(f"k{i}") for i in range(len(palette))]
+    near.observe(seen, *counts).select("ord", "x", "y", *color_of(palette, F.col("k"))).write.parquet(path)
+    got = seen.get
+    used = sum(got[f"k{i}"] or 0 for i in range(len(palette)))
+    return pixels.sparkSession.read.parquet(path), {"n_pixels": got["n_pixels"], "sum_sed": got["sum_sed"] or 0, "colors_used": used}
+
+
 def quantize_lab(pixels: DataFrame, centroids: Sequence[Sequence[float]], palette: Sequence[Sequence[int]]) -> DataFrame:
     """pixels in the colour of palette whose centroid is nearest in L*a*b*."""
     return assign(with_lab(pixels), centroids, ("l", "a", "b_lab")).select("ord", "x", "y", *color_of(palette, F.col("k")))
@@ -31,25 +43,34 @@ def fit_dims(width: int, height: int, most: int, rounding: str = "even") -> tupl
     return whole(width * scale), whole(height * scale)
 
 
+#: Fixed value: bits after the point of the weights.
+BITS = 22
+
+
 def _weights(spark: SparkSession, size: int, new: int, names: tuple[str, str]) -> DataFrame:
-    """(to, from, weight) of a triangle filter whose width follows the scale; weights of a target add up to 1."""
-    scale = size / new
-    support = max(scale, 1.0)
-    center = (F.col("id") + 0.5) * scale
-    low, high = F.greatest(F.floor(center - support), F.lit(0)), F.least(F.ceil(center + support), F.lit(size)) - 1
-    rows = spark.range(new).select(F.col("id").alias(names[0]), center.alias("c"), F.explode(F.sequence(low, high)).alias(names[1]))
-    rows = rows.withColumn("w", F.greatest(F.lit(1.0) - F.abs(F.col(names[1]) + 0.5 - F.col("c")) / support, F.lit(0.0)))
+    """(to, from, weight) of a triangle filter whose width follows the scale; weights of a target add up to about 2**BITS.
+
+    Everything is whole: distances are counted in units of 1 / (2 * new), and a weight is rounded once, half upwards.
+    """
+    reach = 2 * max(size, new)
+    at = (2 * F.col("id") + 1) * size
+    low, high = (F.floor((at + sign * reach) / (2 * new)) + more for sign, more in ((-1, -1), (1, 1)))
+    window = F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.lit(size - 1)))
+    rows = spark.range(new).select(F.col("id").alias(names[0]), at.alias("at"), F.explode(window).alias(names[1]))
+    rows = rows.withColumn("w", F.lit(reach) - F.abs((2 * F.col(names[1]) + 1) * new - F.col("at"))).filter("w > 0")
     total = rows.groupBy(names[0]).agg(F.sum("w").alias("total"))
-    return rows.filter("w > 0").join(total, names[0]).select(*names, (F.col("w") / F.col("total")).alias("w"))
+    return rows.join(total, names[0]).select(*names, F.expr(f"(w * {2 << BITS} + total) div (2 * total)").alias("w"))
 
 
 def resize(pixels: DataFrame, width: int, height: int, new_width: int, new_height: int) -> DataFrame:
-    """Bilinear resampling in two passes (columns, then rows); each is a join with weights and an aggregate."""
+    """Bilinear resampling in two passes (columns, then rows); each is a join with weights and an aggregate of whole sums."""
     spark = pixels.sparkSession
     if (width, height) == (new_width, new_height):
         return pixels.select("x", "y", "r", "g", "b")
-    # rounded first: a sum at one half is the same whatever the order of its terms
-    mean = lambda c: F.floor(F.round(F.sum(F.col(c) * F.col("w")), 6) + 0.5).cast("long").alias(c)
+
+    def mean(c: str) -> Column:
+        return F.least(F.greatest(F.shiftright(F.sum(F.col(c) * F.col("w")) + (1 << BITS - 1), BITS), F.lit(0)), F.lit(255)).cast("long").alias(c)
+
     across = _weights(spark, width, new_width, ("nx", "x"))
     narrow = pixels.join(across, "x").groupBy("nx", "y").agg(*(mean(c) for c in "rgb"))
     down = _weights(spark, height, new_height, ("ny", "y"))

@@ -5,7 +5,11 @@ from __future__ import annotations
 import math
 
 from ..functions.color import FROM_XYZ, TO_XYZ, WHITE
+from ..operators import seeding
 from ..operators.palette import seeded_ordinals
+from ..operators.raster import BITS
+from ..operators.sampling import HASH as HASH_FACTORS
+from ..operators.sampling import MODULUS
 from .queries import ITERATIONS, K, K_DIRECT, RATES, SEED
 
 EV = """ev AS MATERIALIZED (SELECT CAST(event_id AS BIGINT) AS ord, CAST(event_id % 100 AS BIGINT) AS x,
@@ -165,6 +169,137 @@ def _sweep() -> str:
     return ", ".join(parts) + " " + " UNION ALL ".join(out)
 
 
+def _length_iterations() -> str:
+    """Unrolled K-means over ev from p0 in ascending order of length, ties by a binary search and a walk from its place.
+
+    For seven colours the search visits place 3, then 1 or 5, then a neighbour of that, and ends early at an equal length.
+    """
+    if K != 7:
+        raise ValueError("the search is written out for seven colours")
+    parts = ["col AS MATERIALIZED (SELECT r, g, b, count(*) AS n, sqrt(CAST(r * r + g * g + b * b AS DOUBLE)) AS x FROM ev GROUP BY 1, 2, 3)"]
+    for i in range(ITERATIONS):
+        parts.append(f"l{i} AS MATERIALIZED (SELECT list(sqrt(CAST(r * r + g * g + b * b AS DOUBLE)) ORDER BY k) AS q FROM p{i})")
+        # places count from 1 in lists
+        second = "CASE WHEN q[4] = x THEN 4 WHEN q[4] < x THEN 6 ELSE 2 END"
+        third = "CASE WHEN q[v2] = x THEN v2 WHEN q[v2] < x THEN v2 + 1 ELSE v2 - 1 END"
+        nearer = "CASE WHEN abs(q[{1}] - x) < abs(q[{0}] - x) THEN {1} ELSE {0} END"
+        parts.append(
+            f"""b{i} AS MATERIALIZED (SELECT r, g, b, n, {nearer.format("w", "v3")} - 1 AS s FROM (SELECT *, {nearer.format("4", "v2")} AS w FROM
+ (SELECT *, CASE WHEN v2 = 4 THEN 4 ELSE {third} END AS v3 FROM (SELECT *, {second} AS v2 FROM col, l{i}))))"""
+        )
+        walk = "CASE WHEN p.k = c.s THEN 0 WHEN p.k < c.s THEN c.s - p.k ELSE p.k END"
+        parts.append(
+            f"a{i} AS MATERIALIZED (SELECT c.r, c.g, c.b, any_value(c.n) AS n, min(({_sed('c', 'p')} * 16 + {walk}) * 16 + p.k) AS dk FROM b{i} c, p{i} p GROUP BY 1, 2, 3)"
+        )
+        parts.append(f"e{i} AS MATERIALIZED (SELECT CAST(sum((dk // 256) * n) AS BIGINT) AS e FROM a{i})")
+        before = f"(SELECT f FROM f{i - 1})" if i else "false"
+        stalled = f"(SELECT e FROM e{i}) >= (SELECT e FROM e{i - 1})" if i else "false"
+        parts.append(f"f{i} AS MATERIALIZED (SELECT {stalled} OR {before} AS f)")
+        parts.append(
+            f"""p{i + 1} AS MATERIALIZED (SELECT row_number() OVER (ORDER BY r * r + g * g + b * b, k) - 1 AS k, r, g, b FROM (SELECT p.k,
+ {", ".join(f"CASE WHEN {before} THEN p.{c} ELSE coalesce(m.{c}, p.{c}) END AS {c}" for c in "rgb")} FROM p{i} p
+ LEFT JOIN (SELECT dk % 16 AS k, {", ".join(f"CAST(sum({c} * n) // sum(n) AS BIGINT) AS {c}" for c in "rgb")} FROM a{i} GROUP BY 1) m ON p.k = m.k))"""
+        )
+    return ", ".join(parts)
+
+
+def _starts(seeds: int) -> str:
+    """Oversampled starts over ev: common table start (seed, k, r, g, b), the best of each seed's."""
+    a, b, c = HASH_FACTORS
+    run = f"run AS (SELECT s AS seed, t AS start FROM range({seeds}) AS x(s), range({seeding.STARTS}) AS y(t))"
+    hashed = lambda code, step: f"(({code}) * {a} + seed * {b} + start * {c} + {step * seeding.STEP}) % {MODULUS}"
+    parts = ["col AS MATERIALIZED (SELECT (r * 256 + g) * 256 + b AS code, r, g, b, count(*) AS n FROM ev GROUP BY 1, 2, 3, 4)", run]
+    parts.append(
+        f"t0 AS MATERIALIZED (SELECT seed, start, code, r, g, b FROM col, run QUALIFY row_number() OVER (PARTITION BY seed, start ORDER BY {hashed('code', 0)}, code) = 1)"
+    )
+    for i in range(1, seeding.ROUNDS + 1):
+        parts.append(
+            f"""u{i} AS MATERIALIZED (SELECT seed, start, c.code, any_value(c.r) AS r, any_value(c.g) AS g, any_value(c.b) AS b, any_value(c.n) * min({_sed('c', 't')}) AS e
+ FROM col c, t{i - 1} t GROUP BY 1, 2, 3)"""
+        )
+        parts.append(
+            f"""t{i} AS MATERIALIZED (SELECT * FROM t{i - 1} UNION ALL SELECT seed, start, code, r, g, b FROM
+ (SELECT *, CAST(sum(e) OVER (PARTITION BY seed, start) AS DOUBLE) AS phi FROM u{i}) WHERE {hashed('code', i)} / {float(MODULUS)!r}::DOUBLE * phi < {seeding.FACTOR * K_DIRECT} * e)"""
+        )
+    last = f"t{seeding.ROUNDS}"
+    parts.append(
+        f"""w AS MATERIALIZED (SELECT seed, start, t.code, t.r, t.g, t.b, m.n AS w FROM {last} t JOIN (SELECT seed, start, code, sum(n) AS n FROM
+ (SELECT seed, start, c.n, arg_min(t.code, {_sed('c', 't')} * 16777216 + t.code) AS code FROM col c, {last} t GROUP BY seed, start, c.code, c.n) GROUP BY 1, 2, 3) m USING (seed, start, code))"""
+    )
+    for i in range(K_DIRECT):
+        mass = "w" if i == 0 else f"w * least({', '.join(_sed('w', f'y{j}') for j in range(i))})"
+        joined = " ".join(f"JOIN y{j} USING (seed, start)" for j in range(i))
+        parts.append(
+            f"""y{i} AS MATERIALIZED (SELECT seed, start, r, g, b FROM (SELECT *, CAST(sum(m) OVER (PARTITION BY seed, start ORDER BY code) AS DOUBLE) AS s,
+ CAST(sum(m) OVER (PARTITION BY seed, start) AS DOUBLE) AS total FROM (SELECT seed, start, w.code, w.r, w.g, w.b, {mass} AS m FROM w {joined}))
+ WHERE s > {hashed('0', seeding.REDUCE + i)} / {float(MODULUS)!r}::DOUBLE * total QUALIFY row_number() OVER (PARTITION BY seed, start ORDER BY code) = 1)"""
+        )
+    union = " UNION ALL ".join(f"SELECT seed, start, CAST({i} AS BIGINT) AS k, r, g, b FROM y{i}" for i in range(K_DIRECT))
+    parts.append(f"starts AS MATERIALIZED ({union})")
+    parts.append(
+        f"""best AS MATERIALIZED (SELECT seed, arg_min(start, e * 16 + start) AS start FROM (SELECT seed, start, sum(n * d) AS e FROM
+ (SELECT seed, start, c.code, any_value(c.n) AS n, min({_sed('c', 't')}) AS d FROM col c, starts t GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1)"""
+    )
+    parts.append("start AS MATERIALIZED (SELECT seed, k, r, g, b FROM starts JOIN best USING (seed, start))")
+    return ", ".join(parts)
+
+
+def _seed_search(steps: int = 5, rate: float = 0.1) -> str:
+    a, b, c = HASH_FACTORS
+    parts = [f"WITH {EM}", _starts(20)]
+    parts.append("m0 AS MATERIALIZED (SELECT seed, k, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b, CAST(0 AS BIGINT) AS had FROM start)")
+    for i in range(steps):
+        place = f"((e.ord % 100) * {a} + (e.ord // 100) * {b} + seed * {c} + {i * seeding.STEP}) % {MODULUS}"
+        parts.append(
+            f"""h{i} AS MATERIALIZED (SELECT seed, k, count(*) AS n, {", ".join(f"CAST(sum({c}) AS DOUBLE) AS {c}" for c in "rgb")} FROM
+ (SELECT m.seed, m.k, e.r, e.g, e.b FROM ev e, m{i} m WHERE {place} < {rate * MODULUS!r}::DOUBLE
+  QUALIFY row_number() OVER (PARTITION BY m.seed, e.ord ORDER BY {_sed('e', 'm')}, m.k) = 1) GROUP BY 1, 2)"""
+        )
+        parts.append(
+            f"""m{i + 1} AS MATERIALIZED (SELECT m.seed, m.k, {", ".join(f"CASE WHEN h.n IS NULL THEN m.{c} ELSE m.{c} + CAST(h.n AS DOUBLE) / CAST(m.had + h.n AS DOUBLE) * (h.{c} / CAST(h.n AS DOUBLE) - m.{c}) END AS {c}" for c in "rgb")},
+ m.had + coalesce(h.n, 0) AS had FROM m{i} m LEFT JOIN h{i} h USING (seed, k))"""
+        )
+    parts.append(f"lab AS MATERIALIZED (SELECT seed, k, {_lab('floor(r)', 'floor(g)', 'floor(b)')} FROM m{steps})")
+    parts.append(
+        f"""near AS MATERIALIZED (SELECT p.seed, p.k AS i, q.k AS j, sqrt({_sed('p', 'q', _LABS)}) AS delta_e FROM lab p JOIN lab q ON p.seed = q.seed AND p.k < q.k
+ QUALIFY row_number() OVER (PARTITION BY p.seed ORDER BY delta_e, i, j) = 1)"""
+    )
+    first = "coalesce(min(delta_e) OVER (ORDER BY seed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1e9) >= 5.0"
+    return ", ".join(parts) + f" SELECT CAST(seed AS INTEGER) AS seed, i, j, round(delta_e, 4) + 0.0 AS delta_e FROM near QUALIFY {first}"
+
+
+def _resized(cap: int = 64) -> str:
+    """Whole-number bilinear resampling of ev, columns first, then rows."""
+    even = f"CAST(round_even({{0}} * {cap}.0 / greatest(w, h), 0) AS BIGINT)"
+    dims = ", ".join(f"CASE WHEN greatest(w, h) <= {cap} THEN {c} ELSE {even.format(c)} END AS n{c}" for c in "wh")
+    mean = ", ".join(f"CAST(least(greatest((sum({c} * k) + {1 << BITS - 1}) >> {BITS}, 0), 255) AS BIGINT) AS {c}" for c in "rgb")
+
+    def weights(size: str) -> str:
+        reach, new = f"2 * greatest({size}, n{size})", f"n{size}"
+        w = f"{reach} - abs((2 * p + 1) * {new} - (2 * t + 1) * {size})"
+        rows = f"SELECT t, p, {w} AS w FROM s, range({new}) AS a(t), range({size}) AS b(p) WHERE {w} > 0"
+        return f"SELECT t, p, (w * {2 << BITS} + sum(w) OVER (PARTITION BY t)) // (2 * sum(w) OVER (PARTITION BY t)) AS k FROM ({rows})"
+
+    return f"""WITH {EV}, s AS MATERIALIZED (SELECT *, {dims} FROM (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM ev)),
+ kx AS MATERIALIZED ({weights("w")}), ky AS MATERIALIZED ({weights("h")}),
+ narrow AS MATERIALIZED (SELECT t AS x, y, {mean} FROM ev JOIN kx ON p = x GROUP BY 1, 2)
+ SELECT x, t AS y, {mean} FROM narrow JOIN ky ON p = y GROUP BY 1, 2"""
+
+
+def _ordered_minibatches(steps: int = 10) -> str:
+    """Mini-batch K-means over ev in order of ord, from evenly spaced pixels."""
+    parts = [f"WITH {EV}, {LINSPACE}, c AS (SELECT (count(*) + {steps - 1}) // {steps} AS size FROM ev)"]
+    parts.append("m0 AS MATERIALIZED (SELECT k, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b, CAST(0 AS BIGINT) AS had FROM pal)")
+    for i in range(steps):
+        parts.append(
+            f"""h{i} AS MATERIALIZED (SELECT k, count(*) AS n, {", ".join(f"CAST(sum({c}) AS DOUBLE) AS {c}" for c in "rgb")} FROM
+ (SELECT m.k, e.r, e.g, e.b FROM ev e, m{i} m, c WHERE e.ord // c.size = {i} QUALIFY row_number() OVER (PARTITION BY e.ord ORDER BY {_sed('e', 'm')}, m.k) = 1) GROUP BY 1)"""
+        )
+        moved = ", ".join(f"CASE WHEN h.n IS NULL THEN m.{c} ELSE m.{c} + CAST(h.n AS DOUBLE) / CAST(m.had + h.n AS DOUBLE) * (h.{c} / CAST(h.n AS DOUBLE) - m.{c}) END AS {c}" for c in "rgb")
+        parts.append(f"m{i + 1} AS MATERIALIZED (SELECT m.k, {moved}, m.had + coalesce(h.n, 0) AS had FROM m{i} m LEFT JOIN h{i} h USING (k))")
+    return ", ".join(parts) + f" SELECT k, {_tidy(dict.fromkeys('rgb', 6))}, had FROM m{steps}"
+
+
 def oracle_sql() -> dict[str, str]:
     conflicts = f"""WITH_LAB AS (SELECT k, {_lab()} FROM pal), conf AS (SELECT p.k AS i, q.k AS j, sqrt({_sed('p', 'q', _LABS)}) AS delta_e
  FROM WITH_LAB p JOIN WITH_LAB q ON p.k < q.k)"""
@@ -205,6 +340,10 @@ def oracle_sql() -> dict[str, str]:
         "kmeans_rgb_noearly": f"{direct}, {_iterations('never', False)} SELECT k, r, g, b FROM {last}",
         "kmeans_refine_rgb": f"{refine}, {_iterations('update', True)} SELECT k, r, g, b FROM {last}",
         "kmeans_rgb_float": f"WITH {EV}, {LINSPACE}, {floats}, p0 AS MATERIALIZED (SELECT k, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b FROM pal), {_float_iterations(('r', 'g', 'b'), 'break')} {_PALETTE_OUT}{last}",
+        "kmeans_wulin": f"{refine}, {_length_iterations()} SELECT k, r, g, b FROM {last}",
+        "minibatch_seed_search": _seed_search(),
+        "oversampled_start": f"WITH {EM}, {_starts(1)} SELECT k, r, g, b FROM start",
+        "assign_large_palette": f"WITH {EV}, {HIST}, {CAND}, pal AS MATERIALIZED (SELECT row_number() OVER (ORDER BY n DESC, first_ord) - 1 AS k, r, g, b FROM (SELECT * FROM cand ORDER BY n DESC, first_ord LIMIT 256)) SELECT ord, dk % 256 AS k, dk // 256 AS d FROM (SELECT e.ord, min({_sed('e', 'p')} * 256 + p.k) AS dk FROM ev e, pal p GROUP BY 1)",
         "mse_per_iter": f"{direct}, {_iterations('never', False)} {errors}",
         "rgb_to_lab": f"WITH {EV} SELECT ord, {LAB4} FROM (SELECT ord, {_lab()} FROM ev)",
         "lab_roundtrip": f"WITH {EV}, lab AS (SELECT ord, {_lab()} FROM ev) SELECT ord, {_tidy(dict.fromkeys('rgb', 3))} FROM ({_rgb('lab')})",
@@ -228,5 +367,9 @@ def oracle_sql() -> dict[str, str]:
         "resize_dims": f"WITH {EV}, s AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM ev) SELECT CAST(64 AS BIGINT) AS cap, w, h, CAST(CASE WHEN greatest(w, h) <= 64 THEN w ELSE {even.format('w')} END AS BIGINT) AS new_w, CAST(CASE WHEN greatest(w, h) <= 64 THEN h ELSE {even.format('h')} END AS BIGINT) AS new_h FROM s UNION ALL SELECT 90, w, h, CAST(CASE WHEN greatest(w, h) <= 90 THEN w ELSE floor(w * (90.0 / greatest(w, h))) END AS BIGINT), CAST(CASE WHEN greatest(w, h) <= 90 THEN h ELSE floor(h * (90.0 / greatest(w, h))) END AS BIGINT) FROM s",
         "metrics_report": f"{direct}, {_iterations('break', False)}, run AS (SELECT {made} AS it) SELECT 'k' AS metric, (SELECT count(*) FROM {last}) AS value UNION ALL SELECT 'n_pixels', (SELECT n FROM e0) UNION ALL SELECT 'iterations', CAST(it AS BIGINT) FROM run UNION ALL SELECT 'final_sum_sed', {final} FROM run",
         "rate_sweep": _sweep(),
+        "resize_bilinear": _resized(),
+        "png_roundtrip": f"{PAL}, {NEAREST} SELECT ord, p.r, p.g, p.b FROM near JOIN pal p ON p.k = dk % 16",
+        "quantize_report": f"{PAL}, {NEAREST} SELECT 'n_pixels' AS metric, count(*) AS value FROM near UNION ALL SELECT 'sum_sed', CAST(sum(dk // 16) AS BIGINT) FROM near UNION ALL SELECT 'colors_used', count(DISTINCT dk % 16) FROM near",
+        "minibatch_stream": _ordered_minibatches(),
     }
     return sql

@@ -6,16 +6,18 @@ Rasters come from the events table (100 columns wide) or, for clustered colours,
 from __future__ import annotations
 
 import time
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.color import cube, lab_to_rgb, sed, tidy
-from ..operators import conflicts, histogram, kmeans, palette, raster, sampling
+from ..operators import conflicts, histogram, kmeans, palette, raster, sampling, seeding
 from ..operators.assign import assign
 from ..sources import pixels as px
+from ..sources import png
+from ..streaming.minibatch import MiniBatches
+from .shared import shared_folder
 
 K, K_DIRECT, ITERATIONS, SEED = 7, 8, 10, 1
 RATES = (1.0, 0.5, 0.25, 0.125, 0.0625)
@@ -66,8 +68,7 @@ def image_stats(spark, sf_dir):
 @query
 def decode_modes(spark, sf_dir):
     """Pixels of small image files of every kind, written by the engine and read back by Spark's image source."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/images"
-    folder = f"{where.rstrip('/')}/images-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "images")
     rgb = bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 8, 7])
     files = {
         "two.png": px.png(2, 2, rgb),
@@ -282,15 +283,31 @@ def palette_conflicts(spark, sf_dir):
 
 @query
 def worst_conflict(spark, sf_dir):
-    found = conflicts.closest(conflicts.palette_conflicts(palette.as_frame(spark, _palette(spark, sf_dir))))
+    found = conflicts.closest_pair(conflicts.palette_conflicts(palette.as_frame(spark, _palette(spark, sf_dir))))
     return found.select("i", "j", tidy(F.col("delta_e"), 4).alias("delta_e"))
 
 
 @query
 def minibatch_seed_search(spark, sf_dir):
-    palettes = conflicts.minibatch_palettes(px.from_embeddings(spark, sf_dir), list(range(20)))
-    best = conflicts.closest(conflicts.palette_conflicts(palettes, ["seed"]), "seed")
-    return conflicts.search(best)
+    found = conflicts.seed_search(px.from_embeddings(spark, sf_dir))
+    return found.withColumn("delta_e", tidy(F.col("delta_e"), 4))
+
+
+@query
+def oversampled_start(spark, sf_dir):
+    colors = histogram.distinct_colors(px.from_embeddings(spark, sf_dir)).persist()
+    try:
+        return palette.as_frame(spark, seeding.best_starts(colors, K_DIRECT, [0])[0])
+    finally:
+        colors.unpersist()
+
+
+@query
+def assign_large_palette(spark, sf_dir):
+    """Nearest of 256 colours, by the index of cells: the palette is the mean colours of the 256 fullest cubes."""
+    p = px.from_events(spark, sf_dir)
+    wide = _candidates(spark, sf_dir).orderBy(F.col("n").desc(), "first_ord").limit(256).select("r", "g", "b").collect()
+    return assign(p, [tuple(c) for c in wide]).select("ord", "k", "d")
 
 
 @query
@@ -370,33 +387,78 @@ def resize_dims(spark, sf_dir):
 @query
 def metrics_report(spark, sf_dir):
     p = px.from_events(spark, sf_dir)
-    run = kmeans.kmeans(p, _linspace(p), kmeans.INT, ITERATIONS)
-    i, error, n = run.history[-1]
+    colors, n = histogram.counted_colors(p)
+    try:
+        start = palette.at_ordinals(p, palette.linspace_ordinals(n, K_DIRECT))
+        run = kmeans.kmeans_colors(colors, start, kmeans.INT, ITERATIONS)
+    finally:
+        colors.unpersist()
+    i, error, _ = run.history[-1]
     rows = [("k", len(run.palette)), ("n_pixels", n), ("iterations", i + 1), ("final_sum_sed", error)]
     return spark.createDataFrame(rows, "metric string, value long")
 
 
-def _shrunk(p: DataFrame, cap: int = 64) -> tuple[DataFrame, int, int]:
-    """p resized to at most cap on its larger side, and its number of pixels before and after."""
+def _shrunk(p: DataFrame, cap: int = 64) -> DataFrame:
+    """p resized to at most cap on its larger side."""
     w, h = p.agg(F.max("x") + 1, F.max("y") + 1).first()
     new_w, new_h = raster.fit_dims(w, h, cap)
-    small = raster.resize(p, w, h, new_w, new_h).withColumn("ord", F.col("y") * new_w + F.col("x"))
-    return small, p.count(), new_w * new_h
+    return raster.resize(p, w, h, new_w, new_h).withColumn("ord", F.col("y") * new_w + F.col("x"))
 
 
 @query
 def reduction_report(spark, sf_dir):
-    _, before, after = _shrunk(px.from_events(spark, sf_dir))
-    rows = [("base_pixels", float(before)), ("resized_pixels", float(after)), ("reduction_ratio", before / after)]
+    """Pixels before and after resizing, observed by the job that writes the small raster."""
+    before, after = Observation(), Observation()
+    count = F.count(F.lit(1)).alias("n")
+    p = px.from_events(spark, sf_dir)
+    w, h = p.agg(F.max("x") + 1, F.max("y") + 1).first()
+    small = raster.resize(p.observe(before, count), w, h, *raster.fit_dims(w, h, 64)).observe(after, count)
+    small.write.parquet(shared_folder(spark, "resized"))
+    n, m = float(before.get["n"]), float(after.get["n"])
+    rows = [("base_pixels", n), ("resized_pixels", m), ("reduction_ratio", n / m)]
     return spark.createDataFrame(rows, "metric string, value double").withColumn("value", tidy(F.col("value"), 4))
 
 
+@query
+def quantize_report(spark, sf_dir):
+    """Pixels, squared error and colours in use of a quantised image, observed by the job that writes it."""
+    _, seen = raster.write_quantized(px.from_events(spark, sf_dir), _palette(spark, sf_dir), shared_folder(spark, "quantized"))
+    return spark.createDataFrame(sorted(seen.items()), "metric string, value long")
+
+
+@query
+def png_roundtrip(spark, sf_dir):
+    """The quantised image, written as a PNG file in bands and read back by Spark's image source."""
+    image = raster.quantize_rgb(px.from_events(spark, sf_dir), _palette(spark, sf_dir)).withColumn("image", F.lit("events"))
+    folder = shared_folder(spark, "png")
+    files = [x.path for x in png.write(image, folder, size=2_000).collect()]
+    return px.from_images(spark, files).select("ord", "r", "g", "b")
+
+
+@query
+def minibatch_stream(spark, sf_dir):
+    """Centres of mini-batch K-means over ten mini-batches, from a stream of four files."""
+    p = px.from_events(spark, sf_dir).select("ord", "r", "g", "b")
+    n, folder = p.count(), shared_folder(spark, "stream")
+    if not n:
+        return spark.createDataFrame([], "k long, r double, g double, b double, had long")
+    p.repartitionByRange(4, "ord").write.parquet(f"{folder}/pixels")
+    start = palette.at_ordinals(p, palette.linspace_ordinals(n, K_DIRECT))
+    state = MiniBatches(f"{folder}/state", start, -(-n // 10))
+    stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/pixels")
+    query = state.start(stream, f"{folder}/checkpoint")
+    query.awaitTermination()
+    centers = state.result(spark, query.lastProgress["batchId"])
+    rows = spark.createDataFrame([(k, *c) for k, c in enumerate(centers)], "k long, r double, g double, b double, had long")
+    return rows.select("k", *(tidy(F.col(c), 6).alias(c) for c in "rgb"), "had")
+
+
 @query
 def speedup_report(spark, sf_dir):
     """Seconds and final mean error of K-means on all pixels and on the resized raster, and the speed-up."""
     p = px.from_events(spark, sf_dir)
     took, rows = {}, []
-    for name, source in (("base", p), ("resized", _shrunk(p)[0])):
+    for name, source in (("base", p), ("resized", _shrunk(p))):
         start = _linspace(source)
         began = time.perf_counter()
         run = kmeans.kmeans(source, start, kmeans.INT, ITERATIONS)

@@ -11,12 +11,12 @@ import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.color import clip, lab_to_rgb, rgb_to_lab
+from .png import SIGNATURE, chunk
 
 WIDTH = 100
 #: The order in which kinds of files stand in for a missing one.
@@ -104,13 +104,10 @@ def from_images(spark: SparkSession, path: str | Sequence[str], batch: int = 65_
 def png(width: int, height: int, data: bytes, channels: int = 3) -> bytes:
     """An 8-bit image file: grey, RGB or RGBA by channels."""
 
-    def chunk(kind: bytes, data: bytes) -> bytes:
-        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-
     line = channels * width
     rows = b"".join(b"\0" + data[line * y : line * (y + 1)] for y in range(height))
     head = struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2, 4: 6}[channels], 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+    return SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
 def tiff(width: int, height: int, rgb: bytes) -> bytes:
@@ -125,18 +122,6 @@ def tiff(width: int, height: int, rgb: bytes) -> bytes:
     return b"II*\0" + struct.pack("<IH", 8, len(tags)) + entries + struct.pack("<I3H", 0, 8, 8, 8) + rgb
 
 
-def to_png(pixels: DataFrame, by: str = "image") -> DataFrame:
-    """One row an image with its PNG bytes. An image is built by one task, so one image must fit there."""
-
-    def build(g: pd.DataFrame) -> pd.DataFrame:
-        w, h = int(g["x"].max()) + 1, int(g["y"].max()) + 1
-        a = np.zeros((h, w, 3), np.uint8)
-        a[g["y"], g["x"]] = g[["r", "g", "b"]].to_numpy(np.uint8)
-        return pd.DataFrame({by: [g[by].iloc[0]], "png": [png(w, h, a.tobytes())]})
-
-    return pixels.select(by, "x", "y", "r", "g", "b").groupBy(by).applyInPandas(build, f"{by} string, png binary")
-
-
 def rgb_strip(spark: SparkSession, start: Sequence[int], step: Sequence[int], n: int = 11) -> DataFrame:
     """n colours (i, r, g, b) in equal steps, cut off at 0 and 255."""
     i = F.col("id")
