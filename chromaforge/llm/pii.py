@@ -15,7 +15,7 @@ that are met with several genders, are looked up when texts are rewritten; all o
 Defined cases: null stays null; a text without an entity is returned unchanged; a value without a letter or digit is
 no secret; values and texts may have any length; repeated rows, rows of one id and rows without an id are rewritten by
 their text alone; an empty table gives an empty result; all columns of the input are kept, n_chars is brought up to
-date where it exists.
+date where it exists; with report, an input column n_entities gives way to the new one.
 """
 
 from __future__ import annotations
@@ -43,9 +43,10 @@ _B, _E = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 _WORD = r"\p{Lu}\p{L}+"
 _KEYWORD = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\s*+[=:]\s*+[\"']?"
 
-#: Patterns by type, tried in this order at each place.
+#: Patterns by type, tried in this order at each place. A group without an upper bound is repeated possessively: the
+#: engine then loops, where it would else go one call deeper for each repeat and a long text would end the process.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     # a short look ahead first: the others are slow and would be tried at every place
     "secret": rf"(?=[pPtTsSaA]){_KEYWORD}(?=[_+/-]*+[A-Za-z0-9])[A-Za-z0-9_+/-]{{8,}}+(?!@)"
     rf"|AKIA(?<![\p{{L}}\p{{N}}_]AKIA)[0-9A-Z]{{16}}{_E}|(?=[0-9a-fA-F]{{32}}){_B}(?:[0-9a-f]{{32,}}+|[0-9A-F]{{32,}}+){_E}",
@@ -53,8 +54,8 @@ PATTERNS = {
     "iban": rf"(?=[A-Z]{{2}}\d){_B}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_E}",
     "card": r"(?=\d{4})(?<![\d.+-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d)",
     "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?=[+(\d])(?:(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,4}){2,4}(?!\d)"
-    r"|(?<![\d+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d))",
+    "phone": r"(?=[+(\d])(?:(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,4}){2,4}(?!\d|/\d)"
+    r"|(?<![\d+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)|(?<![\d+./-])0\d{2,4}/\d{5,8}(?![\d/]))",
     # after the first name others may follow, of two words at least
     "name": rf"(?=[{_FIRST}]){_B}{_LEAD}{_WORD}(?:[ -]{_WORD}){{0,2}}"
     rf"(?: (?:and|und|et|y|&) (?!(?:{_ANY_ADDRESS})\b){_WORD}(?:[ -]{_WORD}){{1,2}})*+",
@@ -183,6 +184,16 @@ def _luhn(value: Column) -> Column:
     return F.aggregate(terms, F.lit(0), lambda a, d: a + d) % 10
 
 
+def _mod97(value: Column) -> Column:
+    """An account number by 97, its first four characters last and letters as numbers from 10 on (1: valid)."""
+    moved = F.split(F.concat(F.substr(value, F.lit(5)), F.substr(value, F.lit(1), F.lit(4))), "")
+
+    def take(a: Column, c: Column) -> Column:
+        return F.when(c.between("0", "9"), a * 10 + c.cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97
+
+    return F.aggregate(moved, F.lit(0), take)
+
+
 def _made_name(kind: Column, value: Column, gender: Column, pairs: Column, attempt: Column) -> Column:
     """A name word of the same script and gender; more syllables with more attempts."""
 
@@ -204,10 +215,9 @@ def _made_name(kind: Column, value: Column, gender: Column, pairs: Column, attem
 def surrogate(kind: Column, value: Column, gender: Column, key: str, attempt: Column) -> Column:
     """The replacement of one entity: a pure function of key, type, value, gender (of given names) and attempt."""
     base = F.concat_ws("\u0001", F.lit(key), kind, value, attempt.cast("string"))
-    # 64 bytes for every 64 characters of the value, and as many for what is added to it
-    hashes = F.transform(
-        F.sequence(F.lit(0), F.floor(F.length(value) / 64).cast("int") + 1), lambda b: F.sha2(F.concat_ws("\u0001", base, b), 512)
-    )
+    # 64 bytes for every 64 characters of the value, and as many for what is added to it; the value is hashed once
+    blocks = F.sequence(F.lit(0), F.floor(F.length(value) / 64).cast("int") + 1)
+    hashes = let(F.sha2(base, 512), lambda seed: F.transform(blocks, lambda b: F.sha2(F.concat_ws("\u0001", seed, b), 512)))
 
     def build(hexadecimal: Column, s: Column) -> Column:
         def longer(alphabet: str, after: int) -> Column:
@@ -231,6 +241,11 @@ def surrogate(kind: Column, value: Column, gender: Column, key: str, attempt: Co
                 F.substr(x, F.lit(1), F.length(x) - 1), ((F.lit(10) - _luhn(x)) % 10).cast("string")
             ),
         )
+        account = F.concat(_like(value, s, fixed=F.lit(2)), longer(_DIGITS, 8))
+        checked = let(
+            F.concat(F.substr(account, F.lit(1), F.lit(2)), F.lit("00"), F.substr(account, F.lit(5))),
+            lambda x: F.concat(F.substr(x, F.lit(1), F.lit(2)), F.lpad((F.lit(98) - _mod97(x)).cast("string"), 2, "0"), F.substr(x, F.lit(5))),
+        )
         as_hex = F.substr(hexadecimal, F.lit(1), F.length(value) + F.floor(attempt / 8).cast("int"))
         secret = (
             F.when(value.startswith("AKIA"), F.concat(F.lit("AKIA"), _like(F.substr(value, F.lit(5)), s), longer(_LOWER.upper(), 8)))
@@ -245,7 +260,7 @@ def surrogate(kind: Column, value: Column, gender: Column, key: str, attempt: Co
             # a country code's first digit stays
             .when(kind == "phone", F.concat(_like(value, s, F.when(value.startswith("+"), 2).otherwise(0), True), longer(_DIGITS, 8)))
             .when(kind == "ssn", number)
-            .when(kind == "iban", F.concat(_like(value, s, fixed=F.lit(2)), longer(_DIGITS, 8)))
+            .when(kind == "iban", F.when(_mod97(value) == 1, checked).otherwise(account))
             .when(kind.isin("given", "family"), _made_name(kind, value, gender, s, attempt))
             .otherwise(secret)
         )
@@ -391,6 +406,7 @@ def replace(
 
     few_bytes bounds what is broadcast; larger tables are joined by a shuffle.
     """
+    docs = docs.drop("n_entities") if report else docs
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = materialize(entities(slim), "entities")
     late = retried(known, key)

@@ -141,3 +141,38 @@ def test_null_ids_repeated_rows_and_shared_ids(spark):
     rows = [(None, "Mail an.b@x.example.com"), (None, "Mail an.b@x.example.com"), (1, "10.20.30.40"), (1, "no data"), (1, None)]
     out = pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
     assert len(out) == 5 and len({r.text for r in out if r.doc_id is None}) == 1 and {None, "no data"} <= {r.text for r in out}
+
+
+def test_no_text_ends_the_process(spark):
+    n = 1_000_000
+    long = [
+        "a@b" + ".c" * n, "x" * n + "@example.com", "a.b" * n + "@c.de", "Mr " + "Ab" * n, "Mr Ab" + " and Cd Ef" * (n // 10), "deadbeef" * (n // 8),
+        "password" + " " * n + "= abcdefgh1", "password=" + "a1" * (n // 2), "Mr Ab-" * (n // 6), "+49 " * (n // 4), "1.2.3." * (n // 6), "DE12 " + "ABCD " * (n // 5),
+        "@" * n, "a@" * n, "030/" * (n // 4), "=" * n,
+    ]
+    out = replaced(spark, long)
+    assert len(out) == len(long)
+    assert out[0][0] != long[0] and out[7][0] != long[7] and len(out[7][0]) == len(long[7])
+
+
+def test_valid_accounts_stay_valid(spark):
+    def rest(iban):
+        moved = iban.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in moved[4:] + moved[:4])) % 97
+
+    given = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606", "DE00 3704 0044 0532 0130 00"]
+    out = [x[0] for x in replaced(spark, given)]
+    assert [rest(x) == 1 for x in given] == [True, True, True, False]
+    assert all(a != b and a[:2] == b[:2] and len(a) == len(b) for a, b in zip(given, out, strict=True))
+    assert [rest(x) for x in out[:3]] == [1, 1, 1]
+
+
+def test_phones_end_at_their_own_grouping(spark):
+    text = "+49 30 1234567 030/1234567 and 01/2024"
+    ((out, n, *_),) = [tuple(x) for x in replaced(spark, [text])]
+    assert n == 2 and re.fullmatch(r"\+4\d \d\d \d{7} \d{3}/\d{7} and 01/2024", out) and "1234567" not in out
+
+
+def test_report_column_of_the_input_gives_way(spark):
+    out = pii.replace(spark.createDataFrame([(1, "a@b.de", "old")], "doc_id long, text string, n_entities string"), "k", report=True)
+    assert out.columns == ["doc_id", "text", "n_entities"] and out.first().n_entities == 1
