@@ -139,17 +139,16 @@ def covered(docs: DataFrame) -> DataFrame:
     named = docs.filter("doc_id is not null").select("doc_id", "row", "text")
     rows = map_arrow(named, _span_rows, f"doc {kind}, row long, h1 long, h2 long, place long")
     rows = materialize(rows, "spans")
-    several = rows.groupBy("h1", "h2").agg(
-        F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("row").alias("low"), F.max("row").alias("high")
-    )
-    several = materialize(several.filter("first != last or low != high").select("h1", "h2", "first"), "repeated-spans")
+    # the hash of a row takes in its id, so rows of several ids differ in it
+    several = rows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.min("row").alias("low"), F.max("row").alias("high"))
+    several = materialize(several.filter("low != high").select("h1", "h2", "first"), "repeated-spans")
     held = materialize(rows.join(several, ["h1", "h2"]), "held-spans")
     # several rows of the smallest id may hold a span: the one with the smallest hash is first
     same = held.filter("doc = first")
     lowest = same.groupBy("h1", "h2").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low != high")
     later = same.join(lowest.select("h1", "h2", "low"), ["h1", "h2"]).filter("row != low")
     found = held.filter("doc != first").select("doc", "row", "place").unionByName(later.select("doc", "row", "place"))
-    discard(rows)
+    discard(rows, several)
     return found
 
 
