@@ -5,14 +5,17 @@ Every document gets counts and rule failures from its whole text. The failures a
 (method of moments over hosts). A host's shrunk rates give two verdicts, which are joined back to its documents:
 
 - it is *rejected* when one rate is over ``REJECT``, one half: its next document is more likely to fail than not;
-- it is *strict* in a soft rule (``SOFT``) when its rate is not under that rule's corpus rate, the prior's mean. A
-  document that fails a soft rule goes where its host is strict in that rule; elsewhere it has the benefit of the doubt.
+- it is *strict* in a soft rule (``SOFT``) when its rate is over that rule's corpus rate, the prior's mean, by more than
+  ``SURE`` standard deviations of its posterior. A document that fails a soft rule goes where its host is strict in
+  that rule; elsewhere it has the benefit of the doubt.
 
-Neither limit is fitted to a table: one is a majority, the other the prior's own mean. A document goes when it fails
-the base rule, when its host is rejected, or by a soft rule as said. One that fails no rule goes only with its host.
+No limit is fitted to a table: one is a majority, the other a one-sided 95 % bound about the prior's own mean. A document
+goes when it fails the base rule, when its host is rejected, or by a soft rule as said. One that fails no rule goes
+only with its host.
 
 Defined cases: a null or blank text has no words and all counts 0, so it fails the base rule; documents of a
-null host form one host; where hosts do not differ, all have the corpus rate, so all are strict; repeated rows count
+null host form one host; where hosts do not differ beyond chance (or there is one host), all have the corpus rate, no
+host is strict, and soft rules reject nothing; a tie with the bound is not over it; repeated rows count
 and are returned as often as they occur; an empty table gives an empty result; other columns of the input are ignored
 by ``assess`` and kept by ``keep``; null ids are ids like others.
 """
@@ -33,6 +36,8 @@ RULES = ("short", "repeats", "symbols", "lines", "word_length")
 SOFT = RULES[2:]
 #: A host goes when a shrunk rate is over this.
 REJECT = 0.5
+#: A host is strict in a soft rule when its rate is so many posterior standard deviations over the corpus rate.
+SURE = 1.645
 
 
 def _repeat_words(ws: Column, n: Column) -> Column:
@@ -90,7 +95,7 @@ def with_counts(df: DataFrame, text: Column, host: Column) -> DataFrame:
     return out.select("*", *(fails[r].alias(f"f_{r}") for r in RULES))
 
 
-def host_verdicts(counts: DataFrame, reject: float = REJECT) -> DataFrame:
+def host_verdicts(counts: DataFrame, reject: float = REJECT, sure: float = SURE) -> DataFrame:
     """One row per host: its documents, for each rule the shrunk failure rate, and the verdicts of this module.
 
     The prior of a rule is the beta distribution with the mean of all documents and the spread of the hosts'
@@ -112,12 +117,13 @@ def host_verdicts(counts: DataFrame, reject: float = REJECT) -> DataFrame:
         m = F.col(f"all_k_{r}") / F.col("all_n")
         between = F.col(f"all_s_{r}") - F.col("all_n") * m * m
         spread = (between - (F.col("all_h") - 1) * m * (1 - m)) / (F.col("all_n") - F.col("all_n2") / F.col("all_n"))
-        strength = F.when(spread > 0, F.greatest(m * (1 - m) / spread - 1, F.lit(1.0)))
-        rates[r] = F.when(strength.isNull() | (F.col("all_h") < 2), m).otherwise(
-            (F.col(f"k_{r}") + strength * m) / (F.col("n") + strength)
-        )
+        strength = F.when((spread > 0) & (F.col("all_h") >= 2), F.greatest(m * (1 - m) / spread - 1, F.lit(1.0)))
+        shrunk = (F.col(f"k_{r}") + strength * m) / (F.col("n") + strength)
+        rates[r] = F.coalesce(shrunk, m)
         if r in SOFT:
-            strict.append((rates[r] >= m).alias(f"strict_{r}"))
+            # squares instead of a root: both sides are compared where the rate is over the mean
+            over = (shrunk - m) * (shrunk - m) * (F.col("n") + strength + 1) > F.lit(sure * sure) * shrunk * (1 - shrunk)
+            strict.append(F.coalesce((shrunk > m) & over, F.lit(False)).alias(f"strict_{r}"))
     out = joined.select("host", "n", *(x.alias(f"rate_{r}") for r, x in rates.items()), *strict)
     return out.withColumn("host_bad", F.greatest(*(F.col(f"rate_{r}") for r in RULES)) > reject)
 

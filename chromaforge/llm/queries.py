@@ -106,16 +106,23 @@ FROM n JOIN (SELECT doc_id, min(v) AS component_id FROM reach GROUP BY 1) c ON c
 """
 
 
-def _op10_sql(limit: float = quality.REJECT) -> str:
+def _op10_sql(limit: float = quality.REJECT, sure: float = quality.SURE) -> str:
     rules = quality.RULES
     line = r"regexp_matches(x, '[^\x20\x09-\x0D]')"
     moments = ", ".join(f"sum(k_{r}) AS t_{r}, sum(k_{r} * k_{r} / n) AS s_{r}" for r in rules)
 
-    def rate(r: str) -> str:
+    def strength(r: str) -> str:
         m = f"(t_{r} / all_n)"
         spread = f"((s_{r} - all_n * {m} * {m} - (all_h - 1) * {m} * (1 - {m})) / nullif(all_n - all_n2 / all_n, 0))"
-        strength = f"greatest({m} * (1 - {m}) / {spread} - 1, 1.0)"
-        return f"CASE WHEN {spread} > 0 AND all_h >= 2 THEN (k_{r} + {strength} * {m}) / (n + {strength}) ELSE {m} END"
+        return f"CASE WHEN {spread} > 0 AND all_h >= 2 THEN greatest({m} * (1 - {m}) / {spread} - 1, 1.0) END AS a_{r}"
+
+    def shrunk(r: str) -> str:
+        return f"(k_{r} + a_{r} * t_{r} / all_n) / (n + a_{r}) AS p_{r}"
+
+    def strict(r: str) -> str:
+        m, p = f"(t_{r} / all_n)", f"p_{r}"
+        over = f"({p} - {m}) * ({p} - {m}) * (n + a_{r} + 1) > CAST({sure * sure} AS DOUBLE) * {p} * (1 - {p})"
+        return f"coalesce({p} > {m} AND {over}, false) AS strict_{r}"
 
     return f"""
 WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w,
@@ -133,8 +140,10 @@ f AS MATERIALIZED (SELECT *, n_words < 50 AS f_short, 100 * n_repeat_words > 50
    n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) AS f_word_length FROM c),
 h AS MATERIALIZED (SELECT source, CAST(count(*) AS DOUBLE) AS n, {", ".join(f"CAST(sum(f_{r}::INT) AS DOUBLE) AS k_{r}" for r in rules)} FROM f GROUP BY 1),
 m AS (SELECT sum(n) AS all_n, count(*) AS all_h, sum(n * n) AS all_n2, {moments} FROM h),
-v AS (SELECT source, greatest({", ".join(rate(r) for r in rules)}) > {limit} AS host_bad,
-   {", ".join(f"{rate(r)} >= t_{r} / all_n AS strict_{r}" for r in quality.SOFT)} FROM h, m)
+a AS (SELECT *, {", ".join(strength(r) for r in rules)} FROM h, m),
+p AS (SELECT *, {", ".join(shrunk(r) for r in rules)} FROM a),
+v AS (SELECT source, greatest({", ".join(f"coalesce(p_{r}, t_{r} / all_n)" for r in rules)}) > {limit} AS host_bad,
+   {", ".join(strict(r) for r in quality.SOFT)} FROM p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f_short OR f_repeats AS base_failed,
    NOT (f_short OR f_repeats OR host_bad OR {" OR ".join(f"f_{r} AND strict_{r}" for r in quality.SOFT)}) AS kept,
    f_short, f_repeats, f_symbols, f_lines, f_word_length, {", ".join(f"strict_{r}" for r in quality.SOFT)}, host_bad

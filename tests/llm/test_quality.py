@@ -78,17 +78,44 @@ def test_soft_failures_count_where_the_host_is_strict(spark):
 
 
 def test_verdicts_decide_rows_of_documents(spark):
-    """Where hosts differ, some documents that fail a soft rule go and others stay, by their host alone."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    """Texts of documents dealt to hosts that differ: those that fail the symbol rule go or stay by their host alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     marked = F.regexp_count("text", F.lit(r"[#*$%&|<>]")) * 40 > F.length("text")
     docs = docs.withColumn("source", F.when(marked & (F.col("doc_id") % 4 > 0), "marked").otherwise(F.col("source")))
     soft = quality.assess(docs).filter("(f_symbols or f_lines or f_word_length) and not base_failed and not host_bad")
     rows = soft.collect()
-    assert {x.kept for x in rows} == {True, False} or not any(x.f_symbols for x in rows)
+    by_symbols = [x for x in rows if x.f_symbols and not x.f_lines and not x.f_word_length]
+    assert any(x.kept for x in by_symbols)
     for x in rows:
         assert x.kept != (x.f_symbols and x.strict_symbols or x.f_lines and x.strict_lines or x.f_word_length and x.strict_word_length)
 
 
+def plain_strict(hosts, sure=quality.SURE):
+    """host -> verdict of one rule, from host -> (documents, failures), by the formulas of the module's docstring."""
+    n = sum(a for a, _ in hosts.values())
+    m = sum(k for _, k in hosts.values()) / n
+    between = sum(a * (k / a - m) ** 2 for a, k in hosts.values())
+    spread = (between - (len(hosts) - 1) * m * (1 - m)) / (n - sum(a * a for a, _ in hosts.values()) / n) if len(hosts) > 1 else 0
+    if spread <= 0:
+        return dict.fromkeys(hosts, False)
+    s = max(m * (1 - m) / spread - 1, 1.0)
+    rate = {h: (k + s * m) / (a + s) for h, (a, k) in hosts.items()}
+    return {h: p - m > sure * (p * (1 - p) / (hosts[h][0] + s + 1)) ** 0.5 for h, p in rate.items()}
+
+
+def test_strict_hosts_are_those_of_the_plain_formula(spark):
+    good = " ".join("w%d" % i for i in range(80))
+    marked = good + " # * $ % & | < > # * $ %"
+    for hosts in ({"a": (40, 2), "b": (30, 20), "c": (3, 2), "d": (200, 25)}, {"a": (20, 5), "b": (40, 10)}, {"a": (9, 4)}):
+        rows = [(i, marked if i < k else good, h) for h, (n, k) in hosts.items() for i in range(n)]
+        got = quality.assess(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+        # kept of failing documents tells the host's verdict
+        failing = got.filter("f_symbols").groupBy("strict_symbols", "kept").count().collect()
+        want = plain_strict(hosts)
+        assert sum(x["count"] for x in failing if x.strict_symbols) == sum(hosts[h][1] for h in hosts if want[h])
+        assert all(x.kept != x.strict_symbols for x in failing)
+
+
 def test_null_ids_and_very_long_texts(spark):
     long = " ".join("u%d" % (i % 5000) for i in range(400_000))
     docs = spark.createDataFrame([(None, long, "s"), (None, None, "s"), (1, long, None)], "doc_id long, text string, source string")
