@@ -116,7 +116,8 @@ def host_verdicts(counts: DataFrame, reject: float = REJECT, sure: float = SURE)
     for r in RULES:
         m = F.col(f"all_k_{r}") / F.col("all_n")
         between = F.col(f"all_s_{r}") - F.col("all_n") * m * m
-        spread = (between - (F.col("all_h") - 1) * m * (1 - m)) / (F.col("all_n") - F.col("all_n2") / F.col("all_n"))
+        others = F.nullif(F.col("all_n") - F.col("all_n2") / F.col("all_n"), F.lit(0.0))  # one host has no others
+        spread = (between - (F.col("all_h") - 1) * m * (1 - m)) / others
         strength = F.when((spread > 0) & (F.col("all_h") >= 2), F.greatest(m * (1 - m) / spread - 1, F.lit(1.0)))
         shrunk = (F.col(f"k_{r}") + strength * m) / (F.col("n") + strength)
         rates[r] = F.coalesce(shrunk, m)
@@ -128,10 +129,14 @@ def host_verdicts(counts: DataFrame, reject: float = REJECT, sure: float = SURE)
     return out.withColumn("host_bad", F.greatest(*(F.col(f"rate_{r}") for r in RULES)) > reject)
 
 
-def _judged(counts: DataFrame, broadcast_hosts: int) -> DataFrame:
-    """counts with its host's verdicts, and ``kept``. The number of hosts, counted first, decides how they are joined."""
+def _verdicts(counts: DataFrame) -> DataFrame:
+    """A row a host, written as a table."""
     verdicts = host_verdicts(counts).select(F.col("host").alias("_host"), "host_bad", *(f"strict_{r}" for r in SOFT))
-    verdicts = materialize(verdicts, "host-verdicts")
+    return materialize(verdicts, "host-verdicts")
+
+
+def _judged(counts: DataFrame, verdicts: DataFrame, broadcast_hosts: int) -> DataFrame:
+    """counts with its host's verdicts, and ``kept``. The number of hosts, counted first, decides how they are joined."""
     few = verdicts.count() <= broadcast_hosts
     joined = counts.join(F.broadcast(verdicts) if few else verdicts, F.col("host").eqNullSafe(F.col("_host")))
     soft = reduce(or_, (F.col(f"f_{r}") & F.col(f"strict_{r}") for r in SOFT))
@@ -150,11 +155,14 @@ def assess(
     counts = counts.select(F.col("row.doc_id").alias("doc_id"), F.col("row.host").alias("host"), *names, *rules)
     counts = materialize(counts, "quality-counts")
     strict = [f"strict_{r}" for r in SOFT]
-    return _judged(counts, broadcast_hosts).select("doc_id", *names, "base_failed", "kept", *rules, *strict, "host_bad")
+    return _judged(counts, _verdicts(counts), broadcast_hosts).select("doc_id", *names, "base_failed", "kept", *rules, *strict, "host_bad")
 
 
 def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source", broadcast_hosts: int = 100_000) -> DataFrame:
-    """The rows of docs that pass, with all their columns. Texts are read and counted once, and written with the counts."""
+    """The rows of docs that pass, with all their columns.
+
+    Counts are computed twice, once for the hosts and once for the documents: a copy of all texts beside them, which the
+    second pass would read instead, takes as much disk as the input.
+    """
     counts = with_counts(docs, F.col(text_col), F.col(host_col))
-    counted = materialize(counts.select("row", "host", *(f"f_{r}" for r in RULES)), "quality-counts")
-    return _judged(counted, broadcast_hosts).filter("kept").select("row.*")
+    return _judged(counts, _verdicts(counts), broadcast_hosts).filter("kept").select("row.*")
