@@ -439,8 +439,8 @@ def _links(classes: DataFrame, docs: DataFrame, size: int, percent: int, few: in
     return connected(edges) if edges.limit(1).count() else None
 
 
-def _judged(docs: DataFrame, size: int, percent: int, few: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id and kept of docs (doc_id, text)."""
+def _judged(docs: DataFrame, size: int, percent: int, few: int) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id, text_hash, n_shingles, component_id and kept of docs (doc_id, text), and the tables that this reads."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     made = f"doc_id {kind}, text_hash long, n_shingles long, key binary, rep long, registers binary"
@@ -469,7 +469,7 @@ def _judged(docs: DataFrame, size: int, percent: int, few: int) -> DataFrame:
     slim = ["doc_id", "text_hash", "n_shingles"]
     alone = rows.filter("key is null or doc_id is null").select(*slim, F.col("doc_id").alias("component_id"))
     out = filled.select(*slim, "key").join(placed, "key").drop("key").unionByName(alone)
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), [rows, classes]
 
 
 def components(
@@ -486,7 +486,7 @@ def components(
     largest number of ids that is broadcast; more are joined by a shuffle.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return _judged(d, size, percent, few).drop("text_hash")
+    return _judged(d, size, percent, few)[0].drop("text_hash")
 
 
 def keep(
@@ -499,7 +499,9 @@ def keep(
 ) -> DataFrame:
     """One row of each group of near-duplicates, with all its columns."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    judged = materialize(_judged(d, size, percent, few), "components").filter("doc_id is not null")
+    judged, read = _judged(d, size, percent, few)
+    judged = materialize(judged, "components").filter("doc_id is not null")
+    discard(*read)
     name = ["doc_id", "text_hash"]
     # several rows of the smallest id may be in its component; those without a word are no part of it
     first = judged.filter("kept").groupBy("doc_id", (F.col("n_shingles") == 0).alias("blank")).agg(F.min("text_hash").alias("text_hash"))
