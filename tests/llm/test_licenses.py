@@ -79,7 +79,87 @@ def test_versions_elements_whole_texts_and_long_insertions(spark):
     want += [(label, f"This work is licensed under {text}.") for label, text in long]
     want += [("mit", " ".join(named)), ("zlib", " ".join(lines)), ("cc0", "Dedicated under CC0 1.0 Universal")]
     want += [("", "We write cc by hand and by 4 0 others, under a creative commons of attribution.")]
-    want += [(label, t) for label, t in licenses.TEMPLATES if label in ("isc", "unlicense", "epl")]
+    names = {"isc", "unlicense", "epl"}
+    want += [(x, t.replace("{v}", "2 0")) for x, t in licenses.TEMPLATES if x in names and not t.startswith("spdx")]
     docs = spark.createDataFrame([(i, f"Some words. {t} Some more.", "l", "c") for i, (_, t) in enumerate(want)], SCHEMA)
     got = {x.doc_id: x.labels for x in licenses.scan(docs).collect()}
     assert [got[i] for i in range(len(want))] == [label for label, _ in want]
+
+
+def test_siblings_names_lines_and_versions(spark):
+    notice = next(t for label, t in licenses.TEMPLATES if label == "gpl" and "distributed in the hope" in t)
+    lgpl = next(t for label, t in licenses.TEMPLATES if label == "lgpl" and "distributed in the hope" in t)
+    want = [
+        ("gpl", notice.replace("{v}", "2")),
+        ("gpl,lgpl", lgpl.replace("{v}", "2 1")),
+        ("gpl,lgpl", "under the GNU Lesser General Public License, Version 3"),
+        ("agpl,gpl", "under the GNU Affero General Public License"),
+        ("mit", "// SPDX-License-Identifier: MIT"),
+        ("apache", "# SPDX-License-Identifier: Apache-2.0"),
+        ("bsd", "SPDX-License-Identifier: BSD-3-Clause"),
+        ("lgpl", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+        ("mpl", "Mozilla Public License Version 2.0"),
+        ("mpl", "the Mozilla Public License, v. 1.1"),
+        ("bsl", "Boost Software License - Version 1.0 - August 17th, 2003"),
+        ("apache", "Grant of Copyright License. " + next(t for _, t in licenses.TEMPLATES if t.startswith("grant of"))),
+        ("", "CC BY 7.9"),
+        ("", "Creative Commons Attribution Non Commercial Share Alike 7.9"),
+        ("", "Mozilla Public License Version 5.0"),
+        ("", "SPDX-License-Identifier: LGPL-7.0"),
+        ("", "SPDX-License-Identifier: Custom"),
+    ]
+    docs = spark.createDataFrame([(i, f"Some words. {t} and more.", "l", "c") for i, (_, t) in enumerate(want)], SCHEMA)
+    got = {x.doc_id: x.labels for x in licenses.scan(docs).collect()}
+    assert [got[i] for i in range(len(want))] == [label for label, _ in want]
+
+
+def plain_notices(text, k=3, slack=3, coverage=0.7):
+    """(label, first, last) of the spans, by a loop over all templates and places."""
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    out = []
+    for label, template in licenses.TEMPLATES:
+        for texts, marks in licenses._variants(label, template):
+            size = len(texts[0])
+            near = max(slack, size // 8)
+            diagonals = {}
+            for w in range(len(words) - k + 1):
+                for t in range(size - k + 1):
+                    if any(words[w : w + k] == x[t : t + k] for x in texts):
+                        diagonals.setdefault(w - t, []).append((w, t))
+            runs, before = [], None
+            for d in sorted(diagonals):
+                if before is None or d - before > near:
+                    runs.append([])
+                runs[-1] += diagonals[d]
+                before = d
+            need = {t for t in range(size - k + 1) if any(t <= m < t + k for m in marks)}
+            for run in runs:
+                votes = {t for _, t in run}
+                first, last = min(w for w, _ in run), max(w for w, _ in run) + k - 1
+                marked = len(votes) == size - k + 1 if size <= 9 else 2 * len(votes & need) >= len(need)
+                enough = len(votes) >= coverage * (size - k + 1) and marked
+                if enough and last - first + 1 <= size + 2 * near:
+                    out.append((label, first, last))
+    return sorted(out)
+
+
+def test_notices_are_those_of_a_loop_over_templates(spark):
+    r = random.Random(9)
+    texts = [None, "", "one two"]
+    for _ in range(45):
+        parts = []
+        for _ in range(r.randint(1, 2)):
+            label, template = r.choice(licenses.TEMPLATES)
+            ws = template.replace("{v}", r.choice(["1 0", "2 0", "3", "2 1", "9 9"])).split()[:60]
+            for _ in range(r.randint(0, 4)):
+                at = r.randrange(len(ws))
+                ws[at : at + r.randint(0, 2)] = r.choices(["and", "x", "license", "the"], k=r.randint(0, 3))
+                ws = ws or ["x"]
+            parts += ws + r.choices(["alpha", "the", "of"], k=r.randint(0, 8))
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for x in licenses.notices(docs).collect():
+        got.setdefault(x.doc_id, []).append((x.label, x["first"], x["last"]))
+    assert {i: sorted(v) for i, v in got.items()} == {i: v for i, t in enumerate(texts) if (v := plain_notices(t))}
+    assert len(got) > 10
