@@ -1,10 +1,15 @@
 """SentencePiece byte-pair encoding and decoding by vectorised merge rounds.
 
 Words (runs that no vocabulary piece crosses) lie one after the other in flat numpy arrays. In each round every
-word finds its best adjacent pair (smallest rank, the leftmost of equals) by one segmented minimum, all words merge
-at once, the arrays are compacted, and words without a pair leave. Characters outside the vocabulary become bytes.
-A word of more than ``LONG`` symbols would take as many rounds over itself; its merges are taken from a heap instead,
-in the same order, which is n log n.
+word finds the smallest rank of its adjacent pairs by one segmented minimum and merges all pairs of that rank at once,
+from the left where they overlap; the arrays are compacted, and words without a pair leave. The library merges one
+pair after the other, which is the same as long as no merge of a rank makes a pair of that rank or a smaller one. For
+four of five ranks the model itself tells so (``calm``); of the others a word merges up to the first merge that makes
+such a pair with the symbols beside it, and leaves the rest to later rounds.
+
+Rounds go over all symbols that are left, so a word of more than ``LONG`` symbols would take too many over itself: its
+rounds take the same ranks in the same order, but touch only the pairs of their rank, by neighbour arrays instead of
+compaction. Characters outside the vocabulary become bytes.
 
 Defined cases: null is the empty text, which has no ids and decodes to the empty text; repeated rows are encoded
 alike; an empty table gives an empty result; extra columns and null ids change nothing; words may have any length.
@@ -26,7 +31,14 @@ from .common import map_arrow
 
 MARK = "▁"
 NONE = np.int64(1 << 40)
-LONG = 512  # symbols of a word that still goes by rounds
+LONG = 512  # symbols of a word whose rounds still go over all that is left of it
+
+
+def _apart(touches: np.ndarray) -> np.ndarray:
+    """The first, third, ... of every row of pairs that overlap; touches tells whether the next pair overlaps."""
+    each = np.arange(len(touches) + 1)
+    start = np.maximum.accumulate(np.where(np.append(False, touches), 0, each))
+    return (each - start) % 2 == 0
 
 
 class PieceModel:
@@ -66,6 +78,13 @@ class PieceModel:
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()] + [NONE], np.int64)
         self.merged = np.array([pairs[k][1] for k in self.keys.tolist()] + [0], np.int64)
+        # ranks whose merges make no pair of that rank or a smaller one
+        left, right = self.keys >> 21, self.keys & ((1 << 21) - 1)
+        lowest = np.full(self.size + len(self.extra), NONE)
+        np.minimum.at(lowest, left, self.ranks[:-1])
+        np.minimum.at(lowest, right, self.ranks[:-1])
+        self.calm = np.ones(len(order), bool)
+        self.calm[self.ranks[:-1][lowest[self.merged[:-1]] <= self.ranks[:-1]]] = False
         text = [
             bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i)
             else " ⁇ ".encode() if sp.is_unknown(i) else names[i].replace(MARK, " ").encode()
@@ -76,16 +95,32 @@ class PieceModel:
         self.text_starts = np.cumsum(self.text_lengths) - self.text_lengths
         self.text_bytes = np.frombuffer(b"".join(text), np.uint8)
         self.decimal = [str(i) for i in range(self.size)]
-        self._pair_of: dict[int, tuple[int, int]] | None = None  # made when the first long word comes
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, merged symbol) of adjacent symbols; rank NONE where they don't merge."""
-        key = left << 21 | right
+        none = (1 << 21) - 1  # what unknown characters count as
+        key = np.minimum(left, none) << 21 | np.minimum(right, none)
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
         at = np.where(self.keys[at] == key, at, len(self.keys))
         return self.ranks[at], self.merged[at]
 
+    def _in_order(self, rank, to, left, right, word) -> np.ndarray:
+        """Which merges (in order, of one rank a word) come before any pair that an earlier one of the word makes.
+
+        left and right are the symbols beside a merge when it is made, -1 at the ends of its word.
+        """
+        rude = np.zeros(len(to), bool)
+        check = np.flatnonzero(~self.calm[rank])
+        for a, b in ((left[check], to[check]), (to[check], right[check])):
+            inner = (a >= 0) & (b >= 0)
+            made = np.full(len(check), NONE)
+            made[inner] = self._pairs(a[inner], b[inner])[0]
+            rude[check] |= made <= rank[check]
+        before = np.cumsum(rude) - rude
+        head = np.append(True, word[1:] != word[:-1])
+        return before == before[np.maximum.accumulate(np.where(head, np.arange(len(to)), 0))]
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, number of ids of each word)."""
         text = "".join(words)
@@ -98,7 +133,7 @@ class PieceModel:
         sym = sym[where] if len(unique) else np.empty(0, np.int64)
         word = np.repeat(np.arange(len(words)), lengths)
         done_sym, done_word = [], []
-        rank, to = self._pairs(np.minimum(sym, (1 << 21) - 1), np.minimum(np.append(sym[1:], 0), (1 << 21) - 1))
+        rank, to = self._pairs(sym, np.append(sym[1:], 0))
         rank[np.append(word[1:] != word[:-1], True)[: len(rank)]] = NONE
         is_long = np.repeat(lengths > LONG, lengths)
         if is_long.any():
@@ -122,19 +157,23 @@ class PieceModel:
                     break
                 counts, best = counts[best < NONE], best[best < NONE]
             hit = np.flatnonzero(rank == np.repeat(best, counts))
-            p = hit[np.append(True, word[hit[1:]] != word[hit[:-1]])]  # the leftmost of each word
+            p = hit[_apart(hit[1:] == hit[:-1] + 1)]  # pairs side by side are of one word
+            if not self.calm[rank[p]].all():
+                beside = np.where(np.append(False, p[1:] == p[:-1] + 2), to[np.append(0, p[:-1])], sym[p - 1])
+                beside[(p == 0) | (word[p - 1] != word[p])] = -1
+                right = np.minimum(p + 2, len(sym) - 1)
+                right = np.where((p + 2 < len(sym)) & (word[right] == word[p]), sym[right], -1)
+                p = p[self._in_order(rank[p], to[p], beside, right, word[p])]
             sym[p] = to[p]
             rank[p] = rank[p + 1]  # where the merged symbol ends its word, so it stays
             gone = np.ones(len(sym), bool)
             gone[p + 1] = False
-            p = p - np.arange(len(p))  # every earlier word has lost one symbol
+            p = p - np.arange(len(p))  # every earlier merge has taken one symbol
             sym, word, rank, to = sym[gone], word[gone], rank[gone], to[gone]
             for at in (p[p > 0] - 1, p):
                 at = at[at + 1 < len(sym)]
                 at = at[word[at] == word[at + 1]]
-                rank[at], to[at] = self._pairs(
-                    np.minimum(sym[at], (1 << 21) - 1), np.minimum(sym[at + 1], (1 << 21) - 1)
-                )
+                rank[at], to[at] = self._pairs(sym[at], sym[at + 1])
             last = p[(p + 1 == len(sym)) | (word[np.minimum(p + 1, len(sym) - 1)] != word[p])]
             rank[last] = NONE
         sym = np.concatenate(done_sym) if done_sym else sym
@@ -144,37 +183,53 @@ class PieceModel:
         return self._to_bytes(sym, word, len(words))
 
     def _merge_long(self, symbols: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-        """Symbols of one long word after all merges: always the pair of smallest rank, the leftmost of equals."""
-        if self._pair_of is None:
-            pairs = zip(self.ranks[:-1].tolist(), self.merged[:-1].tolist(), strict=True)
-            self._pair_of = dict(zip(self.keys.tolist(), pairs, strict=True))
-        pair_of, n = self._pair_of.get, len(symbols)
-        sym = symbols.tolist()
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [r << 32 | i for i, r in enumerate(ranks.tolist()) if r < NONE]
-        heapq.heapify(heap)
-
-        def pair(i: int) -> tuple[int, int] | None:
-            j = after[i]
-            return pair_of(sym[i] << 21 | sym[j]) if j < n and sym[i] < 1 << 21 and sym[j] < 1 << 21 else None
-
-        while heap:
-            top = heapq.heappop(heap)
-            i = top & 0xFFFFFFFF
-            if sym[i] < 0:  # merged into its left neighbour
-                continue
-            now = pair(i)
-            if now is None or now[0] != top >> 32:  # another pair stands here by now, with an entry of its own
+        """Symbols of one long word after all merges, by rounds that touch the pairs of their rank only."""
+        n = len(symbols)
+        sym = symbols.copy()
+        before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def wait(at: np.ndarray, rank: np.ndarray) -> None:
+            at, rank = at[rank < NONE], rank[rank < NONE]
+            by_rank = np.argsort(rank, kind="stable")
+            cuts = np.flatnonzero(np.diff(rank[by_rank])) + 1
+            for part in np.split(by_rank, cuts) if len(by_rank) else ():
+                r = int(rank[part[0]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(queue, r)
+                waiting[r].append(at[part])
+
+        wait(np.arange(n), ranks)
+        while queue:
+            r = heapq.heappop(queue)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[(sym[at] >= 0) & (after[at] < n)]  # below 0: merged into its left neighbour
+            rank, to = self._pairs(sym[at], sym[after[at]])
+            at, to = at[rank == r], to[rank == r]  # else another pair stands here by now, which waits for itself
+            if not len(at):
                 continue
-            j = after[i]
-            sym[i], sym[j] = now[1], -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and (new := pair(k)):
-                    heapq.heappush(heap, new[0] << 32 | k)
-        return np.array([x for x in sym if x >= 0], np.int64)
+            hits, take = at, _apart(after[at[:-1]] == at[1:])
+            at, to = at[take], to[take]
+            gone = after[at]
+            if not self.calm[r]:
+                left = np.where(np.append(False, before[at[1:]] == gone[:-1]), np.append(0, to[:-1]), sym[before[at]])
+                left[before[at] < 0] = -1
+                right = np.where(after[gone] < n, sym[np.minimum(after[gone], n - 1)], -1)
+                take = self._in_order(np.full(len(at), r), to, left, right, np.zeros(len(at)))
+                at, to, gone = at[take], to[take], gone[take]
+                rest = hits[hits > at[-1]]  # with those that overlap one that is left
+                wait(rest, np.full(len(rest), r))
+            sym[at], sym[gone] = to, -1
+            after[at] = after[gone]
+            inner = after[at] < n
+            before[after[at][inner]] = at[inner]
+            new = np.unique(np.concatenate((before[at], at)))
+            new = new[new >= 0]
+            new = new[after[new] < n]
+            wait(new, self._pairs(sym[new], sym[after[new]])[0])
+        return sym[sym >= 0]
 
     def _to_bytes(self, sym: np.ndarray, word: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
         """Replace symbols that are no pieces by the ids of their bytes."""

@@ -51,7 +51,7 @@ def test_pieces_are_those_of_the_library():
 
 
 def test_long_words_are_merged_in_the_library_s_order():
-    """Beyond LONG symbols merges come from a heap, below it from rounds; a million letters take seconds."""
+    """Beyond LONG symbols rounds touch the pairs of their rank only; a million letters take seconds."""
     model = pieces.PieceModel(PIECES)
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     r = random.Random(9)
@@ -63,6 +63,33 @@ def test_long_words_are_merged_in_the_library_s_order():
     assert [flat[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == library.encode(x)
 
 
+def test_simultaneous_merges_are_those_of_one_at_a_time():
+    """Random tables of pairs, where merges often make pairs of smaller or equal ranks; long and short words."""
+    r = random.Random(4)
+    for _ in range(60):
+        n = r.choice([8, 14, 30])
+        pairs = {(r.randrange(n), r.randrange(n)): (r.randrange(12), r.randrange(n)) for _ in range(n * n // r.choice([2, 4]))}
+        of_rank = {}
+        pairs = {k: (of_rank.setdefault(m, rank), m) for k, (rank, m) in pairs.items()}  # a piece has one rank
+        model = pieces.PieceModel.__new__(pieces.PieceModel)
+        model.size, model.extra, model.char_symbol = n, [], {"abcd"[i]: i for i in range(4)}
+        keys = sorted(a << 21 | b for a, b in pairs)
+        each = [pairs[k >> 21, k & (1 << 21) - 1] for k in keys]
+        model.keys = np.array(keys, np.int64)
+        model.ranks = np.array([x[0] for x in each] + [pieces.NONE], np.int64)
+        model.merged = np.array([x[1] for x in each] + [0], np.int64)
+        model.calm = np.zeros(12, bool)
+        words = ["".join(r.choice("abcd"[: r.choice([1, 2, 4])]) for _ in range(r.choice([1, 3, 9, 40, 600]))) for _ in range(12)]
+        ids, counts = model.encode_words(words)
+        ends = np.cumsum(counts)
+        for word, e, c in zip(words, ends, counts, strict=True):
+            sym = [model.char_symbol[x] for x in word]
+            while found := [(pairs[p][0], i) for i, p in enumerate(zip(sym, sym[1:], strict=False)) if p in pairs]:
+                i = min(found)[1]
+                sym[i : i + 2] = [pairs[sym[i], sym[i + 1]][1]]
+            assert ids[e - c : e].tolist() == sym
+
+
 def test_kept_chunks_are_bounded_by_bytes():
     encoder = chunks.library_encoder(WORDS, chunks.ASCII_WORDS)
     encoder._most_bytes = 100_000
