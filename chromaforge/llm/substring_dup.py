@@ -9,12 +9,14 @@ row names each span once; what recurs inside it is known without the join. Spans
 counts of a span are combined before they are dealt, and a span that very many rows hold meets its first row in a join
 of two shuffles, which adaptive execution splits.
 
-``WORDS`` keeps clean text: without it, two short sentences that recur by chance are a repeated span.
+``WORDS`` keeps clean text: without it, two short sentences that recur by chance are a repeated span. Both minima are
+parameters: with 0 words and no single sentences (None), every run of several sentences that recurs goes, and no other.
 
 Defined cases: null stays null and blank texts stay as they are; a text without a repeated span is returned
 unchanged, byte for byte; a row is known by its id and text, so rows of one id with other texts are rows like others,
 and exact repeats of a row keep or lose spans alike; rows without an id are only compared with themselves; an empty
-table gives an empty result; all columns of the input are kept, n_chars is brought up to date where it exists.
+table gives an empty result; all columns of the input are kept, n_chars is brought up to date where it exists; a
+report column whose name the input has takes underscores until it is new.
 """
 
 from __future__ import annotations
@@ -53,22 +55,22 @@ def _mix(h: np.ndarray, a: int, b: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(b)
 
 
-def _shortest(sizes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _shortest(sizes: np.ndarray, owner: np.ndarray, words: int, single: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(first sentence, end) of every sentence's shortest run from it and up to it, and of long single sentences."""
     n = len(sizes)
     before = np.concatenate(([0], np.cumsum(sizes)))
     each = np.arange(n)
-    end = np.maximum(each + 2, np.searchsorted(before, before[:-1] + WORDS, "left"))
+    end = np.maximum(each + 2, np.searchsorted(before, before[:-1] + words, "left"))
     onward = end <= np.searchsorted(owner, owner, "right")
-    start = np.minimum(each - 1, np.searchsorted(before, before[1:] - WORDS, "right") - 1)
+    start = np.minimum(each - 1, np.searchsorted(before, before[1:] - words, "right") - 1)
     back = start >= np.searchsorted(owner, owner, "left")
-    alone = sizes >= ALONE
+    alone = sizes >= (np.inf if single is None else single)
     starts = np.concatenate((each[onward], start[back], each[alone]))
     ends = np.concatenate((end[onward], each[back] + 1, each[alone] + 1))
     return np.divmod(np.unique(starts * (n + 1) + ends), n + 1)
 
 
-def spans(texts: list[str]) -> tuple[np.ndarray, ...]:
+def spans(texts: list[str], least: int = WORDS, alone: int | None = ALONE) -> tuple[np.ndarray, ...]:
     """(text number, first sentence, sentences, hash, second hash) of the spans of all texts."""
     hashes, sizes, owner = [], [], []
     for row, text in enumerate(texts):
@@ -89,7 +91,7 @@ def spans(texts: list[str]) -> tuple[np.ndarray, ...]:
     mask = (1 << 64) - 1
     lanes = [np.array([h >> s & mask for h in hashes], np.uint64) for s in (0, 64)]
     first_of = np.searchsorted(owner_, owner_)
-    starts, ends = _shortest(sizes_, owner_)
+    starts, ends = _shortest(sizes_, owner_, least, alone)
     lengths = ends - starts
     found = []
     for k in np.unique(lengths).tolist():
@@ -117,27 +119,30 @@ def _firsts(row: np.ndarray, at: np.ndarray, h1: np.ndarray, h2: np.ndarray) ->
     return first
 
 
-def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole, 2, 2_000_000):
-            row, at, k, h1, h2 = spans(batch.column(2).fill_null("").to_pylist())
-            keep = _firsts(row, at, h1, h2)
-            row, at, k, h1, h2 = row[keep], at[keep], k[keep], h1[keep], h2[keep]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(h1), pa.array(h2), pa.array(at << 8 | k)],
-                ["doc", "row", "h1", "h2", "place"],
-            )
+def _span_rows(words: int, alone: int | None):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 2, 2_000_000):
+                row, at, k, h1, h2 = spans(batch.column(2).fill_null("").to_pylist(), words, alone)
+                keep = _firsts(row, at, h1, h2)
+                row, at, k, h1, h2 = row[keep], at[keep], k[keep], h1[keep], h2[keep]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(h1), pa.array(h2), pa.array(at << 8 | k)],
+                    ["doc", "row", "h1", "h2", "place"],
+                )
+
+    return rows
 
 
-def covered(docs: DataFrame) -> DataFrame:
+def covered(docs: DataFrame, words: int = WORDS, alone: int | None = ALONE) -> DataFrame:
     """(doc, row, place) of spans of docs (doc_id, row, text) that an earlier row has.
 
     place is first sentence * 256 + sentences.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = docs.filter("doc_id is not null").select("doc_id", "row", "text")
-    rows = map_arrow(named, _span_rows, f"doc {kind}, row long, h1 long, h2 long, place long")
+    rows = map_arrow(named, _span_rows(words, alone), f"doc {kind}, row long, h1 long, h2 long, place long")
     rows = materialize(rows, "spans")
     # the hash of a row takes in its id, so rows of several ids differ in it
     several = rows.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.min("row").alias("low"), F.max("row").alias("high"))
@@ -152,14 +157,27 @@ def covered(docs: DataFrame) -> DataFrame:
     return found
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
-    """docs without repeated spans; with report, also how many sentences and words went (n_removed, words_removed)."""
+def remove(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    report: bool = False,
+    words: int = WORDS,
+    alone: int | None = ALONE,
+) -> DataFrame:
+    """docs without repeated spans; with report, also how many sentences and words went (n_removed, words_removed).
+
+    words is what a run of several sentences has at least (255 at most: a place has a byte for its sentences), alone
+    what a single sentence has; None: single sentences are no spans.
+    """
+    if not 0 <= words < 256:
+        raise ValueError(f"words is {words}, not from 0 to 255")
     row = F.xxhash64(F.col(id_col), F.col(text_col))
     slim = docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.col(text_col).alias("text"))
     name = "_places"
     while name in map(str.lower, docs.columns):
         name += "_"
-    places = covered(slim).groupBy("doc", "row").agg(F.collect_list("place").alias(name))  # bounded by the row's length
+    places = covered(slim, words, alone).groupBy("doc", "row").agg(F.collect_list("place").alias(name))  # bounded by the row's length
     fields = docs.schema.fields
     text_at = docs.columns.index(text_col)
     packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), row.alias("_hash"))
@@ -171,12 +189,12 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
             for batch in slices(whole, text_at, 2_000_000):
                 column = batch.column(text_at)
                 texts = column.fill_null("").to_pylist()
-                row, at, k, h1, h2 = spans(texts)
+                row, at, k, h1, h2 = spans(texts, words, alone)
                 again = ~_firsts(row, at, h1, h2)
                 local: dict[int, list[tuple[int, int]]] = {}
                 for r, a, n in zip(row[again].tolist(), at[again].tolist(), k[again].tolist(), strict=True):
                     local.setdefault(r, []).append((a, n))
-                out, gone, words = [], [], []
+                out, gone, gone_words = [], [], []
                 for r, (text, other) in enumerate(zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
                     runs = local.get(r, []) + [(p >> 8, p & 255) for p in other or ()]
                     n_gone = n_words = 0
@@ -190,15 +208,19 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
                         text = "".join(text[cuts[i] : cuts[i + 1]] for i in np.flatnonzero(~drop))
                     out.append(text)
                     gone.append(n_gone)
-                    words.append(n_words)
+                    gone_words.append(n_words)
                 new = pa.array([None if x is None else t for x, t in zip(column.to_pylist(), out, strict=True)], pa.string())
                 columns = list(batch.columns[:-1])
                 columns[text_at] = new
                 if report:
-                    columns += [pa.array(gone, pa.int64()), pa.array(words, pa.int64())]
+                    columns += [pa.array(gone, pa.int64()), pa.array(gone_words, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    extra = [T.StructField("n_removed", T.LongType()), T.StructField("words_removed", T.LongType())] if report else []
+    taken, extra = {c.lower() for c in docs.columns}, []
+    for column in ("n_removed", "words_removed") if report else ():
+        while column in taken:
+            column += "_"
+        extra.append(T.StructField(column, T.LongType()))
     schema = T.StructType([*fields, *extra])
     names = schema.names
     done = map_arrow(joined, rewrite, schema)

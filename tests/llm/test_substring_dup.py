@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from chromaforge.llm import substring_dup
 from chromaforge.llm.substring_dup import SPANS, sentences
 
@@ -79,7 +81,7 @@ def test_sentences_cover_the_text():
         assert not re.search("[.!?]\\s+\\S", "".join(t[a:b].strip() + "|" for a, b in zip(cuts, cuts[1:], strict=False)))
 
 
-def plain(rows):
+def plain(rows, words=15, alone=25):
     """What is left by the rule itself: all runs of 2 or more sentences with 15 words, and sentences of 25."""
     seen, drop = {}, {}
     parts = {i: re.findall(r"(?:[^.!?\n]|[.!?](?!\s))+(?:[.!?]\s*|\n\s*|$)", t) for i, t in rows}
@@ -87,7 +89,7 @@ def plain(rows):
         for a in range(len(ps)):
             for b in range(a + 1, len(ps) + 1):
                 run = tuple(tuple(p.lower().split()) for p in ps[a:b])
-                if sum(map(len, run)) >= (25 if b == a + 1 else 15) and seen.setdefault(run, (i, a)) != (i, a):
+                if sum(map(len, run)) >= (alone if b == a + 1 else words) and seen.setdefault(run, (i, a)) != (i, a):
                     drop.setdefault(i, set()).update(range(a, b))
     return {i: "".join(p for j, p in enumerate(ps) if j not in drop.get(i, ())) for i, ps in parts.items()}
 
@@ -128,3 +130,22 @@ def test_very_long_texts(spark):
     rows = [(1, long), (2, "Before it all. " + long)]
     got = {x.doc_id: x.text for x in substring_dup.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: long, 2: "Before it all. "}
+
+
+@pytest.mark.parametrize(("words", "alone"), [(0, None), (6, None), (0, 5), (40, 25)])
+def test_minima_are_parameters(spark, words, alone):
+    rows = [(r[0], r[1]) for r in fixture(8) if r[1]] + [(90, "Yes. No. Yes. No. Yes."), (91, "No. Yes.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.text for x in substring_dup.remove(docs, words=words, alone=alone).collect()}
+    want = plain(rows, words, 10**9 if alone is None else alone)
+    assert {i: t.split() for i, t in got.items()} == {i: t.split() for i, t in want.items()}
+    assert got != dict(rows)
+
+
+def test_minima_out_of_range_and_taken_report_names(spark):
+    docs = spark.createDataFrame([(1, "A b. " * 20, 7)], "doc_id long, text string, n_removed int")
+    with pytest.raises(ValueError, match="words"):
+        substring_dup.remove(docs, words=256)
+    out = substring_dup.remove(docs, report=True)
+    assert out.columns == ["doc_id", "text", "n_removed", "n_removed_", "words_removed"]
+    assert [(x.n_removed, x.n_removed_ > 0) for x in out.collect()] == [(7, True)]
