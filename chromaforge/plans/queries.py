@@ -5,6 +5,7 @@ Rasters come from the events table (100 columns wide) or, for clustered colours,
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 
@@ -407,15 +408,21 @@ def _shrunk(p: DataFrame, cap: int = 64) -> DataFrame:
 
 @query
 def reduction_report(spark, sf_dir):
-    """Pixels before and after resizing, observed by the job that writes the small raster."""
+    """Pixels before and after resizing, observed by the job that writes the small raster.
+
+    A raster over 128 times as long as wide has a side that rounds to 0: nothing is left to write, and the ratio is infinite.
+    """
     before, after = Observation(), Observation()
     count = F.count(F.lit(1)).alias("n")
     p = px.from_events(spark, sf_dir)
     w, h = p.agg(F.max("x") + 1, F.max("y") + 1).first()
-    small = raster.resize(p.observe(before, count), w, h, *raster.fit_dims(w, h, 64)).observe(after, count)
-    small.write.parquet(shared_folder(spark, "resized"))
-    n, m = float(before.get["n"]), float(after.get["n"])
-    rows = [("base_pixels", n), ("resized_pixels", m), ("reduction_ratio", n / m)]
+    dims = raster.fit_dims(w, h, 64)
+    if 0 in dims:
+        n, m = float(p.count()), 0.0
+    else:
+        raster.resize(p.observe(before, count), w, h, *dims).observe(after, count).write.parquet(shared_folder(spark, "resized"))
+        n, m = float(before.get["n"]), float(after.get["n"])
+    rows = [("base_pixels", n), ("resized_pixels", m), ("reduction_ratio", n / m if m else math.inf)]
     return spark.createDataFrame(rows, "metric string, value double").withColumn("value", tidy(F.col("value"), 4))
 
 

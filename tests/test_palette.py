@@ -229,3 +229,20 @@ def test_streamed_histogram_is_the_batch_one(spark, tmp_path):
     columns = [*histogram.CUBE, "n", "sum_r", "sum_g", "sum_b", "first_ord"]
     key = lambda r: tuple(r)
     assert sorted(spark.table("cubes").select(columns).collect(), key=key) == sorted(histogram.cube_histogram(p).select(columns).collect(), key=key)
+
+
+def tall_events(spark, folder, height):
+    """An events table whose raster is 100 columns wide and so many rows high."""
+    i = F.col("id")
+    values = (i.alias("event_id"), (i % 1500).alias("user_id"), (i % 997).cast("double").alias("value"))
+    spark.range(100 * height).select(*values).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_a_raster_that_shrinks_to_nothing_has_a_report(spark, tmp_path):
+    folder = tall_events(spark, tmp_path, 12_801)
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    got = sorted(map(tuple, queries()["reduction_report"](spark, folder).collect()))
+    assert got == sorted(c.sql(oracle_sql()["reduction_report"]).fetchall())
+    assert dict(got) == {"base_pixels": 1_280_100, "resized_pixels": 0, "reduction_ratio": math.inf}
