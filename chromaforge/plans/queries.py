@@ -400,9 +400,9 @@ def metrics_report(spark, sf_dir):
 
 
 def _shrunk(p: DataFrame, cap: int = 64) -> DataFrame:
-    """p resized to at most cap on its larger side."""
+    """p resized to at most cap on its larger side, and to at least one pixel on the other."""
     w, h = p.agg(F.max("x") + 1, F.max("y") + 1).first()
-    new_w, new_h = raster.fit_dims(w, h, cap)
+    new_w, new_h = (max(1, v) for v in raster.fit_dims(w, h, cap))
     return raster.resize(p, w, h, new_w, new_h).withColumn("ord", F.col("y") * new_w + F.col("x"))
 
 

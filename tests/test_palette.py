@@ -234,7 +234,7 @@ def test_streamed_histogram_is_the_batch_one(spark, tmp_path):
 def tall_events(spark, folder, height):
     """An events table whose raster is 100 columns wide and so many rows high."""
     i = F.col("id")
-    values = (i.alias("event_id"), (i % 1500).alias("user_id"), (i % 997).cast("double").alias("value"))
+    values = (i.alias("event_id"), (i % 5).alias("user_id"), (i % 7).cast("double").alias("value"))
     spark.range(100 * height).select(*values).write.parquet(f"{folder}/events.parquet")
     return str(folder)
 
@@ -246,3 +246,9 @@ def test_a_raster_that_shrinks_to_nothing_has_a_report(spark, tmp_path):
     got = sorted(map(tuple, queries()["reduction_report"](spark, folder).collect()))
     assert got == sorted(c.sql(oracle_sql()["reduction_report"]).fetchall())
     assert dict(got) == {"base_pixels": 1_280_100, "resized_pixels": 0, "reduction_ratio": math.inf}
+
+
+def test_a_run_on_fewer_pixels_keeps_a_column(spark, tmp_path):
+    got = dict(map(tuple, queries()["speedup_report"](spark, tall_events(spark, tmp_path, 12_801)).collect()))
+    assert set(got) == {"base_seconds", "base_final_mse", "resized_seconds", "resized_final_mse", "speedup"}
+    assert got["base_final_mse"] > got["resized_final_mse"] >= 0  # a column of means varies less
