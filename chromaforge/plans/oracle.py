@@ -308,6 +308,7 @@ def oracle_sql() -> dict[str, str]:
  FROM WITH_LAB p JOIN WITH_LAB q ON p.k < q.k)"""
     direct = f"WITH {EV}, {LINSPACE}, p0 AS MATERIALIZED (SELECT k, r, g, b FROM pal)"
     refine = f"{PAL}, p0 AS MATERIALIZED (SELECT k, r, g, b FROM pal)"
+    by_length = "p0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY r * r + g * g + b * b, k) - 1 AS k, r, g, b FROM pal)"
     last = f"p{ITERATIONS}"
     even = "round_even({0} * 64.0 / greatest(w, h), 0)"
     floats = "col AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM (SELECT r, g, b, count(*) AS n FROM ev GROUP BY 1, 2, 3))"
@@ -343,7 +344,7 @@ def oracle_sql() -> dict[str, str]:
         "kmeans_rgb_noearly": f"{direct}, {_iterations('never', False)} SELECT k, r, g, b FROM {last}",
         "kmeans_refine_rgb": f"{refine}, {_iterations('update', True)} SELECT k, r, g, b FROM {last}",
         "kmeans_rgb_float": f"WITH {EV}, {LINSPACE}, {floats}, p0 AS MATERIALIZED (SELECT k, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b FROM pal), {_float_iterations(('r', 'g', 'b'), 'break')} {_PALETTE_OUT}{last}",
-        "kmeans_wulin": f"{refine}, {_length_iterations()} SELECT k, r, g, b FROM {last}",
+        "kmeans_wulin": f"{PAL}, {by_length}, {_length_iterations()} SELECT k, r, g, b FROM {last}",
         "minibatch_seed_search": _seed_search(),
         "oversampled_start": f"WITH {EM}, {_starts(1)} SELECT k, r, g, b FROM start",
         "assign_large_palette": f"WITH {EV}, {HIST}, {CAND}, pal AS MATERIALIZED (SELECT row_number() OVER (ORDER BY n DESC, first_ord) - 1 AS k, r, g, b FROM (SELECT * FROM cand ORDER BY n DESC, first_ord LIMIT 256)) SELECT ord, dk % 256 AS k, dk // 256 AS d FROM (SELECT e.ord, min({_sed('e', 'p')} * 256 + p.k) AS dk FROM ev e, pal p GROUP BY 1)",

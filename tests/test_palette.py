@@ -252,3 +252,12 @@ def test_a_run_on_fewer_pixels_keeps_a_column(spark, tmp_path):
     got = dict(map(tuple, queries()["speedup_report"](spark, tall_events(spark, tmp_path, 12_801)).collect()))
     assert set(got) == {"base_seconds", "base_final_mse", "resized_seconds", "resized_final_mse", "speedup"}
     assert got["base_final_mse"] > got["resized_final_mse"] >= 0  # a column of means varies less
+
+
+def test_the_search_by_length_starts_in_order_in_both_engines(spark, tmp_path):
+    copies = f"FROM range(25) AS t(c), '{DATA}/events.parquet'"
+    c = duckdb.connect()
+    c.sql(f"COPY (SELECT * REPLACE (event_id + 1000 * c AS event_id) {copies}) TO '{tmp_path}/events.parquet'")
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = sorted(map(tuple, queries()["kmeans_wulin"](spark, str(tmp_path)).collect()))
+    assert got == sorted(c.sql(oracle_sql()["kmeans_wulin"]).fetchall())
