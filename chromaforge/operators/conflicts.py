@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import closest, table
+from ..functions.batches import by_batch, squared, stacked, sums
 from ..functions.color import delta_e, sed
 from ..sources.pixels import with_lab
 from .histogram import distinct_colors, spread
@@ -54,33 +55,45 @@ def adjacent(strips: DataFrame) -> DataFrame:
     return strips.select("strip", "i", d(rgb).alias("d_rgb"), d(lab).alias("d_lab")).filter("d_rgb is not null")
 
 
-def batch_hash(seed: Column, step: int) -> Column:
+def batch_hash(x: np.ndarray, y: np.ndarray, seed: int, step: int) -> np.ndarray:
     """Hash of a pixel's place in one step of one seed, from 0 to MODULUS - 1."""
     a, b, c = HASH
-    return (F.col("x") * a + F.col("y") * b + seed * c + F.lit(step * STEP)) % MODULUS
+    return (x * a + y * b + seed * c + step * STEP) % MODULUS
+
+
+def _batch_sums(pixels: DataFrame, centers: dict[int, list], step: int, rate: float) -> DataFrame:
+    """(seed, k, n, r, g, b): pixels and channel sums by nearest centre of the batch that each seed takes in a step."""
+
+    def body(x: np.ndarray, y: np.ndarray, *color: np.ndarray) -> list[np.ndarray]:
+        parts = []
+        for seed, held in centers.items():
+            taken = batch_hash(x, y, seed, step) < rate * MODULUS
+            mine = [c[taken] for c in color]
+            if held and len(mine[0]):
+                k, *totals = sums(squared(mine, held).argmin(1), len(held), [np.ones_like(mine[0]), *mine])
+                parts.append((np.full(len(k), seed), k, *totals))
+        return stacked(parts, [np.int64] * 6)
+
+    rows = by_batch(pixels.select("x", "y", "r", "g", "b"), body, "seed long, k long, n long, r long, g long, b long")
+    return rows.groupBy("seed", "k").agg(*(F.sum(c).alias(c) for c in ("n", "r", "g", "b")))
 
 
 def minibatch_palettes(pixels: DataFrame, seeds: Sequence[int], k: int = 8, steps: int = 5, rate: float = 0.1) -> DataFrame:
     """Palettes (seed, k, r, g, b) of mini-batch K-means, all seeds in the same jobs.
 
     Each seed begins with the best of several oversampled starts. A step takes a hashed share of the pixels for each
-    seed: a pixel first finds the seeds whose batch it is in, and only those rows are made. Every centre moves towards its
-    batch mean by its share of all the pixels it has had.
+    seed; tasks give only sums by seed and centre. Every centre moves towards its batch mean by its share of all the pixels
+    it has had.
     """
     spark = pixels.sparkSession
-    source = pixels.select("x", "y", "r", "g", "b").persist()
+    source = spread(pixels.select("x", "y", "r", "g", "b")).persist()
     colors = spread(distinct_colors(source)).persist()
     try:
         starts = best_starts(colors, k, seeds)
         centers = {s: [tuple(map(float, c)) for c in starts[s]] for s in seeds}
         had = {s: [0] * len(c) for s, c in centers.items()}
         for step in range(steps):
-            held = table([{"seed": s} for s in seeds], [centers[s] for s in seeds])
-            mine = F.filter(held, lambda x: batch_hash(x["seed"], step) < F.lit(rate * MODULUS))  # noqa: B023
-            batch = source.select("r", "g", "b", F.explode(mine).alias("run"))
-            near = closest(F.col("run.p"), [F.col(c) for c in "rgb"])["k"]
-            sums = batch.select("r", "g", "b", F.col("run.seed").alias("seed"), near.alias("k")).filter("k is not null")
-            for x in sums.groupBy("seed", "k").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in "rgb")).collect():
+            for x in _batch_sums(source, centers, step, rate).collect():
                 had[x.seed][x.k] += x.n
                 share = x.n / had[x.seed][x.k]
                 centers[x.seed][x.k] = tuple(c + share * (v / x.n - c) for c, v in zip(centers[x.seed][x.k], (x.r, x.g, x.b), strict=True))

@@ -4,70 +4,93 @@ A round draws every colour with a chance in proportion to its share of the error
 ``2 k`` of them at once, so a few rounds replace k passes. The candidates get as weights the pixels they are nearest to and
 are reduced to k by weighted D² draws on the driver: they are about ``2 k`` a round, however large the image.
 
-Any number of starts share the jobs: a colour first finds the starts that draw it, and only those rows are made. Draws
-are hashes of colour, seed, start and round, so every engine and every retry makes the same ones.
+Any number of starts share the jobs: tasks compare their colours with the centres of all starts by numpy, and only sums and
+drawn colours leave them. Draws are hashes of colour, seed, start and round, so every engine and every retry makes the same ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import closest, table
+from ..functions.batches import by_batch, squared, stacked, sums
 from .sampling import HASH, MODULUS
 
 #: Rounds of draws, colours drawn a round by factor times k, and starts of which the best is kept.
 ROUNDS, FACTOR, STARTS = 3, 2, 3
 #: Multiplier of the round, and the number of the first draw of the reduction.
 STEP, REDUCE = 15485863, 100
+#: Number of 8-bit colours.
+CODES = 256**3
 
 Run = tuple[int, int]
 Centers = list[tuple[int, int, int]]
 
 
-def color_code(color: Sequence[Column]) -> Column:
+def color_code(color: Sequence[Column | np.ndarray]) -> Column | np.ndarray:
     return (color[0] * 256 + color[1]) * 256 + color[2]
 
 
-def draw_hash(code: Column, seed: Column, start: Column, step: int) -> Column:
+def draw_hash(code: Column | np.ndarray, seed: Column | int, start: Column | int, step: int) -> Column | np.ndarray:
     """From 0 to MODULUS - 1, for a colour in one round of one start."""
     a, b, c = HASH
-    return (code * a + seed * b + start * c + F.lit(step * STEP)) % MODULUS
+    return (code * a + seed * b + start * c + step * STEP) % MODULUS
 
 
-def _rgb() -> list[Column]:
-    return [F.col(c) for c in "rgb"]
+def _errors(colors: DataFrame, centers: Sequence[Centers]) -> list[int]:
+    """Error sum that each start's centres leave: one aggregate of a row a start."""
 
+    def body(r: np.ndarray, g: np.ndarray, b: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        errors = [(squared((r, g, b), c).min(1).astype(np.int64) * n).sum() for c in centers]
+        return [np.arange(len(centers)), np.array(errors)]
 
-def _named(runs: Sequence[Run], more: Sequence[dict[str, float]] = ()) -> list[dict[str, float]]:
-    rows = [{"j": j, "seed": seed, "start": start} for j, (seed, start) in enumerate(runs)]
-    return [row | extra for row, extra in zip(rows, more, strict=True)] if more else rows
+    rows = by_batch(colors.select("r", "g", "b", "n"), body, "j long, e long")
+    found = {x.j: x.e for x in rows.groupBy("j").agg(F.sum("e").alias("e")).collect()}
+    return [found[j] for j in range(len(centers))]
 
 
-def _errors(colors: DataFrame, centers: Sequence[Centers]) -> list[int]:
-    """Error sum that each start's centres leave: one aggregate of a row a start."""
-    rows = colors.select("r", "g", "b", "n", F.explode(table([{"j": j} for j in range(len(centers))], centers)).alias("run"))
-    d = closest(F.col("run.p"), _rgb())["d"]
-    found = {x.j: x.e for x in rows.groupBy("run.j").agg(F.sum(d * F.col("n")).alias("e")).collect()}
-    return [found[j] for j in range(len(centers))]
+def _first(colors: DataFrame, runs: Sequence[Run]) -> list[Centers]:
+    """The colour of the least hash for each start, the least code among equals."""
 
+    def body(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        code = color_code((r, g, b))
+        return [np.arange(len(runs)), np.array([(draw_hash(code, seed, start, 0) * CODES + code).min() for seed, start in runs])]
 
-def _first(colors: DataFrame, runs: Sequence[Run], n: int) -> list[Centers]:
-    """The colour of the least hash for each start; a bound on the hash keeps nearly all rows out of the product."""
-    code = color_code(_rgb())
-    centers: dict[int, Centers] = {}
-    for share in (40 / max(n, 1), 1.0):
-        left = [row for row in _named(runs) if row["j"] not in centers]
-        if not left:
-            break
-        hashed = F.transform(table(left), lambda x: F.struct(x["j"].alias("j"), draw_hash(code, x["seed"], x["start"], 0).alias("h")))
-        low = F.filter(hashed, lambda x: x["h"] < share * MODULUS)
-        rows = colors.select("r", "g", "b", code.alias("code"), F.explode(low).alias("run"))
-        least = rows.groupBy("run.j").agg(F.min(F.struct("run.h", "code", "r", "g", "b")).alias("m"))
-        centers |= {x.j: [(x.m.r, x.m.g, x.m.b)] for x in least.collect()}
-    return [centers[j] for j in range(len(runs))]
+    least = by_batch(colors.select("r", "g", "b"), body, "j long, m long").groupBy("j").agg(F.min("m").alias("m"))
+    found = {x.j: x.m % CODES for x in least.collect()}
+    return [[(found[j] // 65536, found[j] // 256 % 256, found[j] % 256)] for j in range(len(runs))]
+
+
+def _draw(colors: DataFrame, runs: Sequence[Run], centers: Sequence[Centers], k: int, step: int) -> DataFrame:
+    """(j, code) of the colours that each start draws in a round."""
+    errors = _errors(colors, centers)
+
+    def body(r: np.ndarray, g: np.ndarray, b: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        code, parts = color_code((r, g, b)), []
+        for j, (seed, start) in enumerate(runs):
+            d = squared((r, g, b), centers[j]).min(1).astype(np.int64)
+            drawn = code[draw_hash(code, seed, start, step) / float(MODULUS) * float(errors[j]) < (FACTOR * k * n * d).astype(np.float64)]
+            parts.append((np.full(len(drawn), j), drawn))
+        return stacked(parts, (np.int64, np.int64))
+
+    return by_batch(colors.select("r", "g", "b", "n"), body, "j long, code long")
+
+
+def _weights(colors: DataFrame, centers: Sequence[Centers]) -> DataFrame:
+    """(j, k, n): pixels nearest to each centre of each start, the first one among equals."""
+
+    def body(r: np.ndarray, g: np.ndarray, b: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        parts = []
+        for j, c in enumerate(centers):
+            k, total = sums(squared((r, g, b), c).argmin(1), len(c), [n])
+            parts.append((np.full(len(k), j), k, total))
+        return stacked(parts, (np.int64, np.int64, np.int64))
+
+    rows = by_batch(colors.select("r", "g", "b", "n"), body, "j long, k long, n long")
+    return rows.groupBy("j", "k").agg(F.sum("n").alias("n"))
 
 
 def reduce(candidates: Centers, weights: Sequence[int], k: int, seed: int, start: int) -> Centers:
@@ -97,22 +120,13 @@ def oversampled(colors: DataFrame, k: int, runs: Sequence[Run], n: int) -> list[
     """Up to k centres for each (seed, start) of runs, over n distinct colours (r, g, b, n)."""
     if not n or not k:
         return [[] for _ in runs]
-    code = color_code(_rgb())
-    centers = _first(colors, runs, n)
+    centers = _first(colors, runs)
     for step in range(1, ROUNDS + 1):
-        held = table(_named(runs, [{"e": float(e)} for e in _errors(colors, centers)]), centers)
-        drawn = F.filter(
-            held,
-            lambda x: draw_hash(code, x["seed"], x["start"], step) / F.lit(float(MODULUS)) * x["e"]
-            < F.lit(FACTOR * k) * F.col("n") * closest(x["p"], _rgb())["d"],
-        )
-        for x in colors.select("r", "g", "b", F.explode(F.transform(drawn, lambda x: x["j"])).alias("j")).collect():
-            centers[x.j].append((x.r, x.g, x.b))
+        for x in _draw(colors, runs, centers, k, step).collect():
+            centers[x.j].append((x.code // 65536, x.code // 256 % 256, x.code % 256))
     centers = [sorted(c) for c in centers]
-    rows = colors.select("r", "g", "b", "n", F.explode(table(_named(runs), centers)).alias("run"))
-    near = rows.select("run.j", closest(F.col("run.p"), _rgb())["k"].alias("k"), "n").groupBy("j", "k").agg(F.sum("n").alias("n"))
     weights = [[0] * len(c) for c in centers]
-    for x in near.collect():
+    for x in _weights(colors, centers).collect():
         weights[x.j][x.k] = x.n
     return [reduce(centers[j], weights[j], k, seed, start) for j, (seed, start) in enumerate(runs)]
 

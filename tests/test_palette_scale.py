@@ -131,6 +131,16 @@ def test_starts_are_those_of_a_plain_version(spark):
         assert got[seed] == min(tries, key=lambda x: x[1])[0]
 
 
+def test_centres_are_compared_by_batches(spark):
+    pixels, centers = clusters(), [colors_of(1, 40), colors_of(2, 3), [(30, 30, 30)] * 2]
+    rows = seeding._weights(histogram.distinct_colors(frame(spark, pixels)), centers)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan  # neither a row a colour and start nor interpreted distances
+    near = [[min(range(len(c)), key=lambda k: (sum((x - y) ** 2 for x, y in zip(p, c[k], strict=True)), k)) for p in pixels] for c in centers]
+    want = {(j, k): ks.count(k) for j, ks in enumerate(near) for k in ks}
+    assert {(x.j, x.k): x.n for x in rows.collect()} == want
+
+
 def test_starts_beat_hashed_ones(spark):
     colors = histogram.distinct_colors(frame(spark, clusters())).persist()
     hashed = [palette.at_ordinals(frame(spark, clusters()), range(at, 600, 80))[:8] for at in range(3)]
