@@ -37,12 +37,17 @@ def block_sample(pixels: DataFrame, rate: float, seed: int = 0) -> DataFrame:
 def nested_counts(pixels: DataFrame, rates: Sequence[float], seed: int = 0) -> DataFrame:
     """(r, g, b, n): for each colour an array of its pixels in the samples of all rates, over one pass.
 
-    A pixel's rank in its block decides on every rate of that block's size, so samples of one size are nested.
+    A pixel's rank in its block decides on every rate of that block's size, so samples of one size are nested. Blocks lie in
+    those of the next size (edges are powers of 2), so one shuffle, by the largest blocks, serves all sizes.
     """
     known = {rate: next((v for k, v in BLOCKS.items() if abs(rate - k) < 1e-9), None) for rate in rates}
     ranked = pixels
-    for edge in sorted({v[0] for v in known.values() if v}):
-        w = Window.partitionBy(F.expr(f"y div {edge}"), F.expr(f"x div {edge}")).orderBy(position_hash(seed), "ord")
+    edges = sorted({v[0] for v in known.values() if v}, reverse=True)
+    if edges:
+        places = [F.expr(f"{c} div {edge}").alias(f"_{c}{edge}") for edge in edges for c in "yx"]
+        ranked = pixels.select("*", *places).repartition(f"_y{edges[0]}", f"_x{edges[0]}")
+    for i, edge in enumerate(edges):
+        w = Window.partitionBy(*(f"_{c}{e}" for e in edges[: i + 1] for c in "yx")).orderBy(position_hash(seed), "ord")
         ranked = ranked.withColumn(f"_rank{edge}", F.row_number().over(w))
 
     def taken(rate: float) -> Column:

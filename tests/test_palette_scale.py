@@ -194,6 +194,20 @@ def test_runs_together_are_runs_alone_with_fewer_jobs(spark, policy):
     colors.unpersist()
 
 
+def test_samples_of_all_rates_take_one_shuffle_and_runs_are_compared_by_batches(spark):
+    colors = sampling.nested_counts(px.from_events(spark, DATA), (1.0, 0.5, 0.25, 0.125, 0.0625))
+    plan = colors._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # blocks of both sizes by the larger one, then colours
+    sums = kmeans._run_sums(colors, {0: [(0, 0, 0), (200, 90, 9)], 3: [(5, 5, 5)]})
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    rows, got = colors.collect(), {(x.j, x.k): (x.n, x.d, x.s1) for x in sums.collect()}
+    own = [(x, min((sum((a - b) ** 2 for a, b in zip((x.r, x.g, x.b), p, strict=True)), k) for k, p in enumerate([(0, 0, 0), (200, 90, 9)]))) for x in rows]
+    for k in (0, 1):
+        assert got[0, k] == tuple(sum(v) for v in zip(*((x.n[0], x.n[0] * d, x.n[0] * x.g) for x, (d, at) in own if at == k), strict=True))
+    assert got[3, 0][0] == sum(x.n[3] for x in rows)
+
+
 def test_runs_without_pixels_or_colours(spark):
     colors = spark.createDataFrame([(1, 2, 3, [4, 0])], "r long, g long, b long, n array<long>")
     full, empty = kmeans.kmeans_runs(colors, [[(0, 0, 0)], [(7, 7, 7)]])
