@@ -31,7 +31,9 @@ PLACE_BITS = 31
 _PLACE = (1 << PLACE_BITS) - 1
 _HASH = (1 << 63) - 1 - _PLACE
 #: So many of a text's first k-mers by rank hold two of every draw nearly always; draws they don't fill see all.
-_FIRST = 9 * DRAWS  # 4,096 at most: an index takes 12 bits
+_FIRST = 10 * DRAWS  # 4,096 at most: an index takes 12 bits
+#: So many of a long text's first k-mers, each repeat still under its first rank, give the first ones by rank.
+_SORTED = 11 * DRAWS
 #: Consecutive ids in one block of ``with_next``.
 BLOCK = 256
 
@@ -65,52 +67,87 @@ def _next_of(a: Column) -> Column:
 def kmers(text: Column, k: int = K, first_place: Column | int = 0) -> Column:
     """Packed k-mers of text in text order; a text of at most k code points is one k-mer, the empty text has none."""
     start = (F.lit(first_place) if isinstance(first_place, int) else first_place).cast("long")
+    place = lambda i: i.cast("long") if isinstance(first_place, int) and first_place == 0 else start + i
     none = F.slice(F.array(F.lit(0).cast("long")), 1, 0)  # of elements that can't be null, so that sorts are those of longs
-    each = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{k}}}))."), F.lit(1))
+    # an empty match at every place but the second half of a surrogate pair
+    each = F.regexp_extract_all(text, F.lit(rf"(?s)(?![\uDC00-\uDFFF])(?=(.{{{k}}}))"), F.lit(1))
     return (
         F.when(F.length(text) == 0, none)
         .when(F.length(text) <= k, F.array(_packed(F.xxhash64(text), start)))
-        .otherwise(F.transform(each, lambda x, i: _packed(F.xxhash64(x), start + i)))
+        .otherwise(F.transform(each, lambda x, i: _packed(F.xxhash64(x), place(i))))
     )
 
 
-def with_sketch(df: DataFrame, packed: str, name: str) -> DataFrame:
-    """df with the fingerprint ``name`` (array<int>, a value for every draw, by draw) of the k-mers in column packed.
+def _whole(s: str, l: str, r: str) -> Column:  # noqa: E741
+    """All numbered k-mers by rank."""
+    return F.sort_array(F.concat(F.array_except(F.col(s), F.col(l)), F.col(r)))
 
-    Steps are projections of their own, one array each: so each is computed once, and sorts are those of longs.
+
+def with_ranking(df: DataFrame, packed: str, name: str) -> DataFrame:
+    """df with the ranking's beginning (_<name>_t) of the k-mers in column packed, and what the whole is made of.
+
+    These are the sorted k-mers (s), the later occurrences among them (l) and these with their numbers (r). The whole
+    ranking is sorted only for texts with few k-mers or mostly repeats.
     """
-    s, l, ends, t, b, two = (f"_{name}_{x}" for x in ("s", "l", "ends", "t", "b", "two"))  # noqa: E741
+    s, l, r, c, t = (f"_{name}_{x}" for x in ("s", "l", "r", "c", "t"))  # noqa: E741
     col = F.col
     one = F.lit(1 << PLACE_BITS)
     df = df.withColumn(s, F.sort_array(col(packed)))
     # equal k-mers lie side by side: all but the first of each are later occurrences
     later = F.zip_with(col(s), _next_of(col(s)), lambda x, y: _or_none(F.when(x.bitwiseXOR(y) < one, y)))
     df = df.withColumn(l, _without(later))
-    last = F.zip_with(col(l), _next_of(col(l)), lambda x, y: F.coalesce(x.bitwiseXOR(y) >= one, F.lit(True)))
-    df = df.withColumn(ends, F.array_remove(F.transform(last, lambda e, i: F.when(e, i).otherwise(F.lit(-1))), F.lit(-1)))
-    counts = F.zip_with(
-        col(ends), F.concat(F.array(F.lit(-1)), col(ends)), lambda a, before: F.coalesce(a - before, F.lit(0))
+    last = F.transform(col(l), lambda x, i: F.when(x.bitwiseXOR(F.get(col(l), i + 1)) < one, -1).otherwise(i))
+    counts = let(
+        F.array_remove(last, F.lit(-1)),
+        lambda ends: F.zip_with(
+            ends, F.concat(F.array(F.lit(-1)), ends), lambda a, before: F.coalesce(a - before, F.lit(0))
+        ),
     )
     numbers = F.flatten(F.transform(F.filter(counts, lambda n: n > 0), lambda n: F.sequence(F.lit(2), n + 1)))
     renamed = F.zip_with(
         col(l), numbers, lambda x, n: _or_none(_packed(F.xxhash64(_key(x), n), x.bitwiseAND(F.lit(_PLACE).cast("long"))))
     )
-    unique = F.concat(F.array_except(col(s), col(l)), renamed)
-    df = df.withColumn(t, F.when(F.size(l) == 0, col(s)).otherwise(F.sort_array(unique)))
+    df = df.withColumn(r, renamed)
+    # all numbered k-mers up to the last one of the first originals: the ranking's beginning
+    first = F.slice(col(s), 1, _SORTED)
+    begins = let(F.get(col(s), F.lit(_SORTED - 1)), lambda bound: F.filter(col(r), lambda x: x <= bound))
+    df = df.withColumn(
+        c,
+        F.when((F.size(s) <= _SORTED) | (F.size(l) == 0), first).otherwise(
+            F.concat(F.array_except(first, F.slice(col(l), 1, _SORTED)), begins)
+        ),
+    )
+    few = (F.size(s) <= _SORTED) | (F.size(c) < _FIRST)
+    ranked = F.when(F.size(l) == 0, col(c)).when(few, _whole(s, l, r)).otherwise(F.sort_array(col(c)))
+    return df.withColumn(t, ranked).drop(c)
+
+
+def with_sketch(df: DataFrame, packed: str, name: str) -> DataFrame:
+    """df with the fingerprint ``name`` (array<int>, a value for every draw, by draw) of the k-mers in column packed.
+
+    Steps are projections of their own, one array each: so each is computed once, and sorts are those of longs.
+    """
+    s, l, r, t, b, two, rest = (f"_{name}_{x}" for x in ("s", "l", "r", "t", "b", "two", "rest"))  # noqa: E741
+    col = F.col
+    one = F.lit(1 << PLACE_BITS)
+    none = F.lit(-1).cast("long")
+    df = with_ranking(df, packed, name)
     # the first ones by rank, dealt to their draws: draw above, index below
+    in_draw = F.lit((DRAWS - 1) << PLACE_BITS).cast("long")
     df = df.withColumn(
-        b, F.sort_array(F.transform(F.slice(col(t), 1, _FIRST), lambda x, i: F.shiftleft(_draw(x), 32).bitwiseOR(i.cast("long"))))
+        b, F.sort_array(F.transform(F.slice(col(t), 1, _FIRST), lambda x, i: x.bitwiseAND(in_draw).bitwiseOR(i.cast("long"))))
     )
 
     # a draw's first one stands where the draw changes, its second one beside it: draw, index, index
-    before = F.concat(F.array(F.lit(-(1 << 32))), col(b))
-    lead = F.zip_with(col(b), before, lambda x, y: _or_none(F.when(F.shiftright(x, 32) != F.shiftright(y, 32), x)))
+    no_draw = F.lit(1 << 62)
+    before = F.concat(F.array(no_draw), col(b))
+    lead = F.zip_with(col(b), before, lambda x, y: F.when(x.bitwiseXOR(y) >= one, x).otherwise(no_draw))
     both = F.zip_with(
         lead,
         _next_of(col(b)),
-        lambda x, y: _or_none(
-            F.when(F.shiftright(x, 32) == F.shiftright(y, 32), F.shiftleft(x, 12).bitwiseOR(y.bitwiseAND(F.lit(4095).cast("long"))))
-        ),
+        lambda x, y: F.when(
+            x.bitwiseXOR(y) < one, F.shiftleft(x, 12).bitwiseOR(y.bitwiseAND(F.lit(4095).cast("long")))
+        ).otherwise(none),
     )
     df = df.withColumn(two, _without(both))
 
@@ -123,10 +160,10 @@ def with_sketch(df: DataFrame, packed: str, name: str) -> DataFrame:
     def of_all(draw: Column) -> Column:
         """The draw's value from its ranking of all k-mers."""
         ranks = F.transform(
-            col(t),
+            col(rest),
             lambda x, i: F.when(_draw(x) == draw, i.cast("long")).otherwise(_packed(F.xxhash64(_key(x), draw), i.cast("long"))),
         )
-        pick = lambda r: F.get(col(t), r.bitwiseAND(F.lit(_PLACE).cast("long")).cast("int"))
+        pick = lambda r: F.get(col(rest), r.bitwiseAND(F.lit(_PLACE).cast("long")).cast("int"))
         return let(
             ranks,
             lambda r: let(
@@ -137,10 +174,15 @@ def with_sketch(df: DataFrame, packed: str, name: str) -> DataFrame:
             ),
         )
 
+    # what draws that the beginning leaves open choose from
+    df = df.withColumn(
+        rest,
+        F.when(F.size(two) == DRAWS, F.slice(col(t), 1, 0)).when(F.size(t) == F.size(s), col(t)).otherwise(_whole(s, l, r)),
+    )
     filled = f"_{name}_filled"
-    df = df.withColumn(filled, F.transform(col(two), lambda x: F.shiftright(x, 44)))
+    df = df.withColumn(filled, F.transform(col(two), lambda x: F.shiftright(x, PLACE_BITS + 12)))
     here = lambda i: F.get(col(t), i.bitwiseAND(F.lit(4095).cast("long")).cast("int"))
-    own = F.transform(col(two), lambda x: value(F.shiftright(x, 44), here(F.shiftright(x, 12)), here(x)))
+    own = F.transform(col(two), lambda x: value(F.shiftright(x, PLACE_BITS + 12), here(F.shiftright(x, 12)), here(x)))
     every = F.sequence(F.lit(0).cast("long"), F.lit(DRAWS - 1).cast("long"))
     others = F.transform(F.array_except(every, col(filled)), of_all)
     values = f"_{name}_values"
@@ -153,7 +195,7 @@ def with_sketch(df: DataFrame, packed: str, name: str) -> DataFrame:
         .bitwiseOR(F.shiftright(v, 32))
         .cast("int"),
     )
-    return df.withColumn(name, out).drop(s, l, ends, t, b, two, filled, values)
+    return df.withColumn(name, out).drop(s, l, r, t, b, two, rest, filled, values)
 
 
 def as_text(fp: Column) -> Column:

@@ -182,3 +182,23 @@ def test_long_texts_and_wide_or_skewed_ids(spark):
     assert one == other and len(one) == len(rows)
     with pytest.raises(ValueError):
         fingerprint.compare_with_next(docs.withColumn("doc_id", F.lit("a")))
+
+
+def test_long_texts_sort_only_the_beginning_of_their_ranking(spark):
+    r = random.Random(9)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(900)]
+    prose = " ".join(r.choice(vocab) for _ in range(2000)) + "😀é " * 60
+    texts = [prose + prose[:3000], prose[:500], "lorem ipsum dolor " * 700, "zy" * 3000, "ab" * 20, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, a string").withColumn("k", fingerprint.kmers(F.col("a")))
+    df = fingerprint.with_ranking(df, "k", "x")
+    got = {x.i: x for x in df.select("i", F.size("k").alias("n"), "_x_t", fingerprint._whole("_x_s", "_x_l", "_x_r").alias("all")).collect()}
+    for i, text in enumerate(texts):
+        assert got[i].n == len(got[i].all) == max(len(text) - fingerprint.K + 1, min(len(text), 1))
+        assert got[i]._x_t == got[i].all[: len(got[i]._x_t)]
+        assert len(got[i]._x_t) >= min(got[i].n, fingerprint._FIRST)
+    assert len(got[0]._x_t) < got[0].n / 8
+    edited = [t[: len(t) // 2] + t[: len(t) // 3] for t in texts]
+    rows = sketched(spark.createDataFrame(list(zip(texts, edited)), "a string, b string"), x="a", y="b")
+    for row in rows.select("a", "b", fingerprint.likeness(F.col("x"), F.col("y")).alias("like")).collect():
+        a, b = plain(row.a), plain(row.b)
+        assert row.like == pytest.approx(sum(x == y for x, y in zip(a, b, strict=True)) / len(a) if a else 1.0)
